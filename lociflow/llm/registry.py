@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import language_id, near_dedup
+from lociflow.llm import decontaminate, language_id, near_dedup
 from lociflow.llm.common import fold, table
 
 
@@ -17,11 +17,16 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark item that it covers best."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the class of its near-duplicates; the class's smallest doc_id is the one to keep."""
     found = near_dedup.classes(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "class_rows", "texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op7_near_dedup": op7_near_dedup}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
