@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import decontaminate, language_id, near_dedup
+from lociflow.llm import decontaminate, language_id, near_dedup, secret_scan
 from lociflow.llm.common import fold, table
 
 
@@ -28,5 +28,10 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_rows", "texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup}
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document; a document's source is both its repository and its owner."""
+    return secret_scan.scan(table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
