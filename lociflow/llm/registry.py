@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import decontaminate, language_id, near_dedup, secret_scan
+from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan
 from lociflow.llm.common import fold, table
 
 
@@ -33,5 +33,16 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan}
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> byte_bpe.Vocabulary:
+    import public_tokenizers
+
+    return byte_bpe.read_vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and what they decode to, as digests."""
+    return byte_bpe.digests(table(spark, folder, "documents"), vocabulary())
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
