@@ -154,7 +154,9 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
             grams = [np.sort(tokens.shingles(h)).tobytes() for _, h, _, _ in tokens.each(pdf["text"].tolist())]
             yield pd.DataFrame({"fp": pdf["fp"], "grams": grams})
 
-    one = texts.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    # Joined by id as well, so that copies of one text do not meet in a task: each text's smallest id is needed alone.
+    same = (texts["fp"] == needed["fp"]) & texts["id"].eqNullSafe(needed["id"])
+    one = texts.join(needed, same, "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     return one.mapInPandas(shingled, "fp binary, grams binary")
 
 
@@ -242,9 +244,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     idf = spark.sparkContext.broadcast(frequencies(slim, "_text"))
     rows = written(_banded(slim, idf))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
-    buckets = nodes.select("fp", F.explode("bands").alias("band"))
+    buckets = nodes.select("fp", "id", F.explode("bands").alias("band"))
     members = written(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
-    sets = written(_sets(slim.select("fp", F.col("_text").alias("text")), members.select("fp").distinct()))
+    sets = written(_sets(slim.select("fp", "id", F.col("_text").alias("text")), members.select("fp", "id").distinct()))
     # Each bucket's most supported text meets all others.
     support = members.groupBy("fp").agg(F.sum("n").alias("support"))
     ranked = members.join(support, "fp")
