@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan
+from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan, topk_search
 from lociflow.llm.common import fold, table
 
 
@@ -22,6 +22,11 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest other vectors, by inner product, of every hundredth vector."""
+    return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the class of its near-duplicates; the class's smallest doc_id is the one to keep."""
     found = near_dedup.classes(table(spark, folder, "documents"))
@@ -44,5 +49,5 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op6_topk_search": op6_topk_search, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op10_byte_bpe": op10_byte_bpe}
+ORACLE_SQL: dict[str, str] = {"op6_topk_search": topk_search.ORACLE}
