@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan, topk_search
+from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, secret_scan, topk_search
 from lociflow.llm.common import fold, table
 
 
@@ -38,6 +38,15 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from three quarters of the labelled ones."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return quality.scored(docs, model).select("doc_id", held, "score", predicted)
+
+
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> byte_bpe.Vocabulary:
     import public_tokenizers
 
@@ -49,5 +58,5 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op6_topk_search": op6_topk_search, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op6_topk_search": op6_topk_search, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op9_quality": op9_quality, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_topk_search": topk_search.ORACLE}
