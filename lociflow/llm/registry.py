@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, secret_scan, topk_search
+from lociflow.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality, secret_scan, topk_search, url_filter
 from lociflow.llm.common import fold, table
 
 
@@ -17,11 +17,21 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of every document."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the benchmark item that it covers best."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(table(spark, folder, "pages"), url_filter.RULES)
+
+
 def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest other vectors, by inner product, of every hundredth vector."""
     return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -58,5 +68,20 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_decontaminate": op3_decontaminate, "op6_topk_search": op6_topk_search, "op7_near_dedup": op7_near_dedup, "op8_secret_scan": op8_secret_scan, "op9_quality": op9_quality, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {"op6_topk_search": topk_search.ORACLE}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_url_filter": op4_url_filter,
+    "op6_topk_search": op6_topk_search,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+#: The others are tested by brute force, exact round trip or held-out accuracy in tests/llm.
+ORACLE_SQL = {
+    "op2_license_scan": license_scan.oracle(),
+    "op4_url_filter": url_filter.oracle(),
+    "op6_topk_search": topk_search.ORACLE,
+}
