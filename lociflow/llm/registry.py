@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality, secret_scan, topk_search, url_filter
+from lociflow.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality, secret_scan, substring_dedup, topk_search, url_filter
 from lociflow.llm.common import fold, table
 
 
@@ -32,6 +32,13 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.RULES)
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of every document that near-duplicate one of another document."""
+    found = substring_dedup.repeats(table(spark, folder, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"], s["end"])), ",")
+    return found.select("doc_id", "n_words", "class_rows", "n_spans", spans.alias("spans"))
+
+
 def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest other vectors, by inner product, of every hundredth vector."""
     return topk_search.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -73,6 +80,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_topk_search": op6_topk_search,
     "op7_near_dedup": op7_near_dedup,
     "op8_secret_scan": op8_secret_scan,
