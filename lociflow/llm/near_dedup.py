@@ -56,7 +56,7 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(values)
-    at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    at = np.flatnonzero(np.concatenate(([True] * (len(ordered) > 0), ordered[1:] != ordered[:-1])))
     return ordered[at], np.diff(np.concatenate((at, [len(ordered)])))
 
 
