@@ -5,27 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Below and above, six significant digits take an exponent.
+LEAST, MOST = 9.999995e-5, 999999.5
+
+
+def _strip(s: Column) -> Column:
+    return F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+
 
 def general(x: Column) -> Column:
     """A number with six significant digits as C's %g writes it: ties to even, no trailing zeros, exponents where short.
 
-    The decimal exponent after rounding comes from the scientific form; within the range of plain notation the digits
-    are rounded as decimals.
+    Whole numbers are common and go first. Others are rounded as decimals, at a scale that comparisons choose, so that
+    a row computes one branch alone.
     """
     x = x.cast("double")
     size = F.abs(x)
-    science = F.format_string("%.5e", size)
-    exponent = F.regexp_extract(science, r"e([+-][0-9]+)$", 1).try_cast("int")
-    plain = F.lit(None).cast("string")
-    for e in range(-4, 6):
-        digits = F.bround(size.try_cast("decimal(38,18)"), 5 - e).cast("string")
-        plain = F.when(exponent == e, digits).otherwise(plain)
-    strip = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    tail = F.concat(strip(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))
-    for e in range(6, 19):
-        digits = F.substring_index(F.bround(size.try_cast("decimal(38,18)"), 5 - e).cast("string"), ".", 1)
-        mantissa = strip(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)))
-        tail = F.when(exponent == e, F.concat(mantissa, F.lit("e+"), F.lpad((F.length(digits) - 1).cast("string"), 2, "0"))).otherwise(tail)
-    text = F.when(size == 0, "0").when(plain.isNotNull(), strip(plain)).otherwise(tail)
+    decimal = size.try_cast("decimal(38,18)")
+    plain = _strip(F.bround(decimal, 0).cast("string"))
+    for e in range(4, -6, -1):
+        plain = F.when(size < 10.0 ** (e + 1), _strip(F.bround(decimal, 5 - e).cast("string"))).otherwise(plain)
+    text = F.when((size < MOST) & (size == F.floor(size)), size.try_cast("bigint").cast("string"))
+    text = text.when((size >= LEAST) & (size < MOST), plain).otherwise(_scientific(size, decimal))
     sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
     return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(F.concat(sign, text))
+
+
+def _scientific(size: Column, decimal: Column) -> Column:
+    science = F.format_string("%.5e", size)
+    out = F.concat(_strip(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))
+    for e in range(18, 4, -1):
+        digits = F.substring_index(F.bround(decimal, 5 - e).cast("string"), ".", 1)
+        mantissa = _strip(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)))
+        exact = F.concat(mantissa, F.lit("e+"), F.lpad((F.length(digits) - 1).cast("string"), 2, "0"))
+        out = F.when((size >= 10.0**e) & (size < 10.0 ** (e + 1)), exact).otherwise(out)
+    return out
