@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from lociflow.llm.common import small_batches
 
 #: Characters of a block whose distinct pieces are encoded together.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Pieces that a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _NONE = np.iinfo(np.int32).max
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import small_batches, vector_sums
+from lociflow.llm.tokens import by_character
 
 UNKNOWN = "und"
 #: Labelled rows per language that a fit expects to use; a larger table is thinned by a hash of the row's id.
@@ -41,8 +42,7 @@ RESULT = "lang_pred string, score double, ambiguous boolean, runner_up string"
 @functools.cache
 def _lower() -> np.ndarray:
     """Lower-case code point of every code point; 0 for what is not a letter."""
-    every = [chr(i) for i in range(0x110000)]
-    return np.fromiter(((ord(x) if len(x := c.lower()) == 1 else ord(c)) if c.isalpha() else 0 for c in every), np.uint32, len(every))
+    return by_character(lambda c: (ord(x) if len(x := c.lower()) == 1 else ord(c)) if c.isalpha() else 0, np.uint32)
 
 
 def grams(text: str | None) -> np.ndarray | None:

@@ -39,10 +39,8 @@ HIDDEN = 32
 @functools.cache
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
     """By code point: 0 white space, 1 word, 2 symbol; bits: 1 upper case, 2 lower case, 4 digit."""
-    every = [chr(i) for i in range(0x110000)]
-    kind = np.fromiter((1 if c.isalnum() else 0 if c.isspace() else 2 for c in every), np.int8, len(every))
-    bits = np.fromiter((c.isupper() + 2 * c.islower() + 4 * c.isdigit() for c in every), np.int8, len(every))
-    return kind, bits
+    kind = tokens.by_character(lambda c: 1 if c.isalnum() else 0 if c.isspace() else 2, np.int8)
+    return kind, tokens.by_character(lambda c: c.isupper() + 2 * c.islower() + 4 * c.isdigit(), np.int8)
 
 
 @functools.cache

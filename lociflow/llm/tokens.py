@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +32,16 @@ def randoms(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def by_character(value: Callable[[str], object], kind: type) -> np.ndarray:
+    """A value for every code point. No list of all characters is ever held: workers keep what they once took."""
+    return np.fromiter((value(chr(i)) for i in range(0x110000)), kind, 0x110000)
+
+
 @functools.cache
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """By code point: whether it belongs to a word; a random number that upper and lower case share."""
-    every = [chr(i) for i in range(0x110000)]
-    inside = np.fromiter((c.isalnum() or unicodedata.category(c)[0] == "M" for c in every), bool, len(every))
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every), np.uint64, len(every))
+    inside = by_character(lambda c: c.isalnum() or unicodedata.category(c)[0] == "M", bool)
+    lower = by_character(lambda c: ord(x) if len(x := c.lower()) == 1 else ord(c), np.uint64)
     return inside, mix((lower + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
