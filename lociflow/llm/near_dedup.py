@@ -251,6 +251,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     support = members.groupBy("fp").agg(F.sum("n").alias("support"))
     ranked = members.join(support, "fp")
     star = ranked.groupBy("band").agg(F.max(F.struct("support", "fp")).alias("r")).select("band", F.col("r.fp").alias("rep"))
+    star = written(star)  # so that Spark can split a hot bucket's join
     met = written(members.join(star, "band").where("fp != rep").select("band", "fp", "rep"))
     links = written(_verified(met.select("fp", "rep").distinct(), sets, idf))
     roots = _roots(links)
