@@ -1,59 +1,53 @@
-"""The conversion as a stream of files: the same operators, with first-wins state that lives across micro-batches."""
+"""The conversion as a stream of files: the batch operators on every micro-batch, with first-wins across batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lociflow.operators import calls
 from lociflow.sources import var
 
+KEY_KIND = "contig string, start bigint, ref_allele string, alt_allele string, batch bigint"
+
 
 def read_stream(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
-    """(ord, cells) of the lines of the folder's files as they arrive, blank lines left out."""
+    """Lines of the folder's files as they arrive, with what orders them: file and block."""
     reader = spark.readStream.format("text")
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    lines = reader.load(folder)
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return lines.select(order.alias("ord"), var.cells(F.regexp_replace("value", "\r$", "")).alias("cells"), "value").where("value != ''").drop("value")
-
-
-def first_of_each(typed: DataFrame, key: Sequence[str] = calls.KEY) -> DataFrame:
-    """The first row of each key over the life of the stream. Rows have no event time, so the keys stay in state."""
-    names = typed.columns
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema)
-
-    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        best = None
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                place = tuple(row["ord"].values()) if isinstance(row["ord"], dict) else tuple(row["ord"])
-                if best is None or place < best[0]:
-                    best = (place, row)
-        state.update((True,))
-        yield pd.DataFrame([best[1]], columns=names).astype({n: "Int32" for n in names if dict(typed.dtypes)[n] == "int"})
-
-    return typed.groupBy(*key).applyInPandasWithState(first, kind, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def convert_stream(rows: DataFrame, sample: str, contigs: Sequence[str], skip_non_variants: bool = False) -> DataFrame:
-    """Call rows to record columns, as in ``calls.convert``; a bad row fails the stream."""
-    needed = ["ord", "sample", *calls.KEY, "end", "depth", "alt_depth", "ref_forward", "ref_reverse", "af", "base_quality_mean", "mean_mismatches_in_reads", "variant_type"]
-    typed = calls.decode(calls.with_reference(rows))
-    if skip_non_variants:
-        typed = calls.variants_only(typed)
-    return calls.records(calls.of_sample(first_of_each(calls.checked(typed).select(*needed)), sample, contigs))
-
-
-def write_stream(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch's record lines as text files, exactly once, as far as files have arrived."""
-    out = records.select(calls.line(records).alias("value"))
-    return out.writeStream.format("text").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+    return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], skip_non_variants: bool = False) -> StreamingQuery:
+    """Process what has arrived: record lines go to ``folder/records``, a folder for each micro-batch.
+
+    Rows have no event time, so the keys of all records stay known, in ``folder/keys``; a row whose key an earlier batch
+    had is dropped before its sample and contig are checked, as a later duplicate in one file is. A batch that is run
+    again looks at earlier batches' keys alone and overwrites its own folders, so each record is written exactly once.
+    """
+    spark = lines.sparkSession
+    names = list(contigs)
+
+    def batch(df: DataFrame, number: int) -> None:
+        order = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
+        rows = df.where("value != ''").select(order.alias("ord"), var.cells(F.regexp_replace("value", "\r$", "")).alias("cells"))
+        typed = calls.decode(calls.with_reference(rows))
+        if skip_non_variants:
+            typed = calls.variants_only(typed)
+        fresh = calls.first_of_each(calls.checked(typed))
+        if number:
+            known = spark.read.schema(KEY_KIND).parquet(f"{folder}/keys").where(F.col("batch") < number)
+            fresh = fresh.join(known, calls.KEY, "left_anti")
+        fresh = fresh.persist()
+        try:
+            records = calls.records(calls.of_sample(fresh, sample, names))
+            records.select("ord", calls.line(records).alias("value")).orderBy("ord").select("value").write.mode("overwrite").text(f"{folder}/records/batch={number}")
+            fresh.select(*calls.KEY).write.mode("overwrite").parquet(f"{folder}/keys/batch={number}")
+        finally:
+            fresh.unpersist()
+
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -1,23 +1,30 @@
 """The stream gives the batch conversion's records, whatever the split into files."""
 
+import pytest
 from test_calls import SAMPLE, row
 
 from lociflow.operators import calls
 from lociflow.sources import var
-from lociflow.streaming.calls import convert_stream, read_stream, write_stream
+from lociflow.streaming.calls import read_stream, start
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    source = tmp_path / "in"
+    source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
     (source / "a.var").write_text("".join(row(start=i % 5 + 1, depth=i) + "\n" for i in range(20)))
-    records = convert_stream(read_stream(spark, str(source), 1), SAMPLE, ["chr1", "chr2"])
-    write_stream(records, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    # Keys seen before stay closed when further files arrive.
-    (source / "b.var").write_text(row(start=1, depth=99) + "\n" + row("chr2", 3, depth=42) + "\n")
-    records = convert_stream(read_stream(spark, str(source), 1), SAMPLE, ["chr1", "chr2"])
-    write_stream(records, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    start(read_stream(spark, str(source), 1), out, SAMPLE, ["chr1", "chr2"]).awaitTermination()
+    # Keys seen before stay closed when further files arrive, even for rows of another sample.
+    (source / "b.var").write_text(row(start=1, depth=99, sample="other") + "\n" + row("chr2", 3, depth=42) + "\n")
+    start(read_stream(spark, str(source), 1), out, SAMPLE, ["chr1", "chr2"]).awaitTermination()
+    got = [r.value for r in spark.read.text(f"{out}/records").collect()]
     batch = calls.convert(var.read_calls(spark, str(source)), SAMPLE, ["chr1", "chr2"])
-    assert got == sorted(r.value for r in batch.select(calls.line(batch).alias("value")).collect())
+    assert sorted(got) == sorted(r.value for r in batch.select(calls.line(batch).alias("value")).collect())
     assert len(got) == 6
+
+
+def test_bad_row_fails_the_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.var").write_text(row(sample="other") + "\n")
+    with pytest.raises(Exception, match="Expected sample"):
+        start(read_stream(spark, str(source)), str(tmp_path / "out"), SAMPLE, ["chr1"]).awaitTermination()
