@@ -92,4 +92,5 @@ ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle(),
     "op4_url_filter": url_filter.oracle(),
     "op6_topk_search": topk_search.ORACLE,
+    "op8_secret_scan": secret_scan.oracle(),
 }

@@ -129,3 +129,32 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", repositor
     out = joined.withColumn("_text", F.when(F.col("_live").isNull(), F.col(text)).otherwise(done))
     columns = [F.col("_text").alias(c) if c == text else F.when(F.col("_live").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == length else F.col(c) for c in docs.columns]
     return out.select(*columns).union(docs.where(~suspect))  # texts without candidates stay where they are
+
+
+def oracle() -> str:
+    """The same result in DuckDB SQL over documents, a source being repository and owner."""
+    found = []
+    for n, (pattern, group, least) in enumerate(KINDS.values()):
+        p = pattern.replace("'", "''")
+        found.append(f"""
+  SELECT doc_id, owner, {n} AS kind, v[i] AS value, length(w[i]) AS size,
+    coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS b
+  FROM (SELECT doc_id, owner, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS w, regexp_extract_all(t, '{p}', {group}) AS v FROM d) m, unnest(range(1, len(w) + 1)) AS u(i)
+  WHERE length(v[i]) >= {least}""")
+    opaque = list(KINDS).index("opaque")
+    mixed = " AND ".join(f"regexp_matches(value, '{x}')" for x in MIXED)
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    counts = ", ".join(f"count(*) FILTER (kind = {n}) AS n_{k}" for n, k in enumerate(BASE))
+    shown = f"string_agg({names}[kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+matches AS ({" UNION ALL ".join(found)}),
+spans AS (SELECT *, (b + size)::BIGINT AS e FROM matches),
+hits AS (SELECT * FROM spans s WHERE kind < {opaque} OR {mixed} AND NOT EXISTS (
+  SELECT 1 FROM spans x WHERE x.doc_id = s.doc_id AND x.kind < {opaque} AND x.b < s.e AND s.b < x.e)),
+holders AS (SELECT value, count(DISTINCT owner) < {EXAMPLE_OWNERS} AS live FROM hits GROUP BY value),
+per AS (SELECT doc_id, {counts}, {shown} FILTER (kind < {opaque}) AS base, {shown} FILTER (kind < {opaque} OR live) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM hits JOIN holders USING (value) GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN per USING (doc_id)
+"""
