@@ -237,7 +237,8 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of the input: its key, fp (of its text), class_id, class_rows and texts (different ones in its class)."""
+    """One row per row of the input: its key, fp (of its text), class (the fp that stands for it), class_id (smallest key),
+    class_rows and texts (different ones in its class)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp"), F.col(text).alias("_text"))
@@ -264,15 +265,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "id", "rows")
     named = written(named)
     summed = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_rows"), F.count(F.lit(1)).alias("texts"))
-    by_text = named.select("fp", "root").join(summed, "root").drop("root")
-    return rows.select(F.col("id").alias(key), "fp").join(by_text, "fp").select(key, "fp", "class_id", "class_rows", "texts")
+    by_text = named.select("fp", "root").join(summed, "root").withColumnRenamed("root", "class")
+    return rows.select(F.col("id").alias(key), "fp").join(by_text, "fp").select(key, "fp", "class", "class_id", "class_rows", "texts")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each class: that with the smallest key (nulls last), and of its equals the first."""
     found = written(classes(docs, key, text))
-    group = F.coalesce(F.col("class_id").cast("string"), F.hex("fp"))
-    best = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp")).alias("best"))
+    best = found.groupBy("class").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp")).alias("best"))
     best = best.select(F.col("best.key").alias("_key"), F.col("best.fp").alias("_kept"))
     marked = docs.withColumn("_fp", fingerprint(F.col(text)))
     kept = marked.join(best, (F.col("_fp") == F.col("_kept")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
