@@ -8,15 +8,17 @@
    texts with the smallest and the largest id (a hash of the text) stand for their group, so a signature of n texts
    gives at most 2 (n - 1) candidates. Candidates of the same two texts are joined, and two texts that agree on
    ``ENOUGH`` signatures are compared on the stretches that the agreeing windows cover.
-3. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if an aligned passage of the same
+3. What the representatives leave open is compared in full: in every signature group, each other text whose window
+   there is not all within spans meets all others of the group, in blocks of bounded size, so that no pair of a group
+   stays unmet. A block first drops the texts of whose shingles too few occur in any other of its texts.
+4. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if an aligned passage of the same
    length in the other text shares so many of its shingles that their Jaccard similarity is at least ``SIMILARITY``.
    Verified passages of a text are merged to spans.
 
 Equal texts are one node: a text of fifty words or more that several rows have is a repeated passage as a whole.
-Every verbatim passage of fifty words that two texts share agrees on all hash functions; it can be missed only where
-both its texts meet, for nearly all its signatures, representatives that hold no such passage. Edge cases: null counts as
-the empty text; texts of under fifty words have no spans; repeats within one text alone do not count; words are as in
-``tokens``; rows without an id take part; other columns play no part.
+Every verbatim passage of fifty words that two texts share agrees on all hash functions, so its texts meet, by step 2 or
+by step 3. Edge cases: null counts as the empty text; texts of under fifty words have no spans; repeats within one
+text alone do not count; words are as in ``tokens``; rows without an id take part; other columns play no part.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ ENOUGH = 2
 SIMILARITY = 0.8
 #: Common shingles that two passages of LENGTH need.
 COMMON = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
+#: Texts in a block of a signature group.
+BLOCK = 256
 _FACTORS = tokens.randoms(21, HASHES) | np.uint64(1)
+SPANS = "array<struct<begin:bigint,end:bigint>>"
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -165,6 +170,124 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "text_id bigint, begin bigint, end bigint")
 
 
+def _outside(shingles: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray, spans: Iterator) -> np.ndarray:
+    """Of each passage of a stretch of a text, whether it lies outside the spans that are known."""
+    first, last = begin + starts[: len(shingles) - LENGTH + 1], begin + ends[WORDS - 1 :]
+    out = np.ones(len(first), bool)
+    for s in spans:
+        out &= (first < s["begin"]) | (last > s["end"])
+    return out
+
+
+def crossing(names: list[int], mine: list[np.ndarray], outside: list[np.ndarray], others: list[int], theirs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each stretch in ``mine``, the beginnings of passages outside known spans that near-duplicate one in ``theirs``.
+
+    Every two stretches of different texts are held against each other unless the one has no passage left of which
+    enough shingles are in the other.
+    """
+    none = np.zeros(0, np.int64)
+    found = [none] * len(mine)
+    what = np.unique(np.concatenate(theirs)) if theirs else none
+    if not len(what):
+        return found
+    owned = [np.unique(np.searchsorted(what, b)) for b in theirs]
+    count = np.bincount(np.concatenate(owned), minlength=len(what))
+    place = {name: k for k, name in enumerate(others)}
+    held = None
+    for i, a in enumerate(mine):
+        at = np.minimum(np.searchsorted(what, a), len(what) - 1)
+        known = what[at] == a
+        seen = np.where(known, count[at], 0)
+        if names[i] in place:
+            seen = seen - np.isin(at, owned[place[names[i]]])
+        left = outside[i] & _enough((seen > 0)[None, :])[0]
+        if not left.any():
+            continue
+        if held is None:
+            held = np.zeros((len(theirs), len(what)), bool)
+            for k, own in enumerate(owned):
+                held[k, own] = True
+        likely = _enough(held[:, at] & known[None, :])
+        if names[i] in place:
+            likely[place[names[i]]] = False
+        for k in np.flatnonzero((likely & left).any(1)):
+            if (likely[k] & left).any():
+                here = passages(a, theirs[k])[0]
+                found[i] = np.union1d(found[i], here)
+                left[here] = False
+    return found
+
+
+def _enough(held: np.ndarray) -> np.ndarray:
+    """By row: for each passage, whether COMMON of its shingles are marked."""
+    total = np.zeros((held.shape[0], held.shape[1] + 1), np.int32)
+    np.cumsum(held, axis=1, out=total[:, 1:])
+    return total[:, LENGTH:] - total[:, :-LENGTH] >= COMMON
+
+
+def _crossed(windows: DataFrame, groups: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans that texts other than the two representatives of a signature give each other."""
+    others = windows.join(groups, "what").where("text_id != least and text_id != most").drop("least", "most")
+    others = others.select("what", "text_id", F.shiftright("where", 32).alias("begin"), F.col("where").bitwiseAND(0xFFFFFFFF).alias("end"))
+    others = others.join(spans, "text_id", "left").withColumn("spans", F.filter("spans", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin"))))
+    others = others.withColumn("open", ~F.coalesce(F.exists("spans", lambda s: (s["begin"] <= F.col("begin")) & (s["end"] >= F.col("end"))), F.lit(False)))
+    others = written(others)
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = others.groupBy("what").agg(parts(F.count(F.lit(1))).alias("all_parts"), parts(F.count_if("open")).alias("open_parts"), F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes.where("open_parts > 0 and n > 1").drop("n"))
+    dealt = others.join(sizes, "what").withColumn("own", F.xxhash64("text_id", "what"))
+    # Each block of open texts (left) meets each block of all texts.
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = lambda parts: F.pmod("own", parts).cast("int")
+    left = dealt.where("open").select("what", own("open_parts").alias("row"), every("all_parts").alias("col"), F.lit(True).alias("left"), "text_id", "begin", "end", "spans")
+    right = dealt.select("what", every("open_parts").alias("row"), own("all_parts").alias("col"), F.lit(False).alias("left"), "text_id", "begin", "end", F.lit(None).cast(SPANS).alias("spans"))
+    dealt = left.union(right)
+    dealt = written(dealt)  # so that Spark can split hot texts' joins
+    text = F.substring("text", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
+    dealt = dealt.join(known, "text_id").withColumn("text", text)
+
+    def compare(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
+        cut = [(h, s, e) for _, h, s, e in tokens.each(pdf["text"].tolist())]
+        grams = [tokens.shingles(h) if len(h) >= WORDS else np.zeros(0, np.uint64) for h, _, _ in cut]
+        left = pdf["left"].tolist()
+        names, begins, spans = pdf["text_id"].tolist(), pdf["begin"].tolist(), pdf["spans"].tolist()
+        mine = [k for k in range(len(pdf)) if left[k] and len(grams[k]) >= LENGTH]
+        theirs = [k for k in range(len(pdf)) if not left[k] and len(grams[k]) >= LENGTH]
+        outside = [_outside(grams[k], begins[k], *cut[k][1:], spans[k] if spans[k] is not None else ()) for k in mine]
+        found = crossing([names[k] for k in mine], [grams[k] for k in mine], outside, [names[k] for k in theirs], [grams[k] for k in theirs])
+        return [(names[k], *s) for k, here in zip(mine, found, strict=True) if len(here) for s in _spans(here, *cut[k][1:], begins[k])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted; a group may go on in the next batch.
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf[["what", "row", "col"]].to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            out = []
+            for a, b in zip(np.concatenate(([0], cuts))[:-1], cuts, strict=True):
+                out += compare(pdf.iloc[a:b])
+            rest = pdf.iloc[cuts[-1] if len(cuts) else 0 :]
+            yield pd.DataFrame(out, columns=["text_id", "begin", "end"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(compare(rest), columns=["text_id", "begin", "end"])
+
+    sorted_ = dealt.repartition("what", "row", "col").sortWithinPartitions("what", "row", "col")
+    return sorted_.select("what", "row", "col", "left", "text_id", "begin", "spans", "text").mapInPandas(run, "text_id bigint, begin bigint, end bigint")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Per text, its spans ascending and apart. A text has at most so many spans as beginnings of words."""
+
+    def merge(done, s):
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when(F.size(done) == 0, F.array(s)).when(s["begin"] <= last["end"], grown).otherwise(F.concat(done, F.array(s)))
+
+    spans = spans.groupBy("text_id", "begin").agg(F.max("end").alias("end")).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    return spans.select("text_id", F.aggregate("spans", F.array().cast(SPANS), merge).alias("spans"))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: key, n_words, class_rows (rows with an equal text), n_spans, and spans: array of
     struct(begin, end) of characters, ascending and apart, of passages that near-duplicate one in another row."""
@@ -175,8 +298,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = written(_windowed(slim))
     windows = rows.where("what is not null").select("text_id", F.explode(F.arrays_zip("what", "where")).alias("w")).select("text_id", "w.what", "w.where")
     at = F.struct("text_id", "where")
-    groups = windows.groupBy("what").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least.text_id != most.text_id")
-    groups = written(groups.select("what", F.explode(F.array("least", "most")).alias("rep")))
+    groups = windows.groupBy("what").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.count(F.lit(1)).alias("texts")).where("least.text_id != most.text_id")
+    groups = written(groups)
+    large = groups.where("texts > 3").select("what", F.col("least.text_id").alias("least"), F.col("most.text_id").alias("most"))
+    groups = groups.select("what", F.explode(F.array("least", "most")).alias("rep"))
     met = windows.join(groups, "what").where("text_id != rep.text_id")
     side = lambda c: (F.min(F.shiftright(c, 32)), F.max(F.col(c).bitwiseAND(0xFFFFFFFF)))
     met = met.select("what", "text_id", "where", F.col("rep.text_id").alias("rep"), F.col("rep.where").alias("rep_where"))
@@ -185,7 +310,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = rows.groupBy("text_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("class_rows"), F.max("words").alias("words"), F.max("begin").alias("begin"), F.max("end").alias("end"))
     texts = written(texts)
     # Each text is fetched by its smallest row id as well, so that copies do not meet in a task.
-    needed = texts.join(votes.select("text_id").union(votes.select("rep")).distinct(), "text_id").select("text_id", "id")
+    compared = votes.select("text_id").union(votes.select("rep")).union(windows.join(large, "what", "left_semi").select("text_id"))
+    needed = texts.join(compared.distinct(), "text_id").select("text_id", "id")
     known = slim.join(needed, (slim["text_id"] == needed["text_id"]) & slim["id"].eqNullSafe(needed["id"]), "left_semi")
     known = written(known.groupBy("text_id").agg(F.first("text").alias("text")))  # so that Spark can split hot texts' joins
     cut = lambda t, b, e: F.substring(t, F.col(b).cast("int") + 1, (F.col(e) - F.col(b)).cast("int"))
@@ -193,16 +319,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     pairs = pairs.join(known.select(F.col("text_id").alias("rep"), F.col("text").alias("rep_text")), "rep").withColumn("rep_text", cut("rep_text", "rep_begin", "rep_end"))
     spans = _compared(pairs.select("text_id", "begin", "text", "rep", "rep_begin", "rep_text"))
     spans = spans.union(texts.where((F.col("class_rows") > 1) & (F.col("words") >= WORDS)).select("text_id", "begin", "end"))
-    # A text has at most so many spans as beginnings of words.
-    spans = spans.groupBy("text_id", "begin").agg(F.max("end").alias("end")).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-
-    def merge(done, s):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["begin"] <= last["end"], grown).otherwise(F.concat(done, F.array(s)))
-
-    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    spans = spans.select("text_id", F.aggregate("spans", none, merge).alias("spans"))
+    spans = written(_merged(spans))
+    spans = _merged(spans.select("text_id", F.inline("spans")).union(_crossed(windows, large, known, spans)))
+    none = F.array().cast(SPANS)
     per_text = written(texts.select("text_id", "class_rows").join(spans, "text_id", "left"))
     out = rows.select(F.col("id").alias(key), "text_id", F.col("words").alias("n_words")).join(per_text, "text_id")
     return out.select(key, "n_words", "class_rows", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce("spans", none).alias("spans"))

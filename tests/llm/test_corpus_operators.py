@@ -313,6 +313,20 @@ def test_verbatim_passages_match_brute_force(spark):
     assert [got[i] for i in range(60)] == want and any(want) and not all(want)
 
 
+def test_passages_of_frequent_lines_meet_beyond_representatives(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    texts, want = [], set()
+    for k in range(10):  # two lines that many texts hold follow each other in two of them only
+        one, two = prose(800 + k, 25), prose(820 + k, 25)
+        for j in range(10):
+            middle = [] if j in (4, 7) else prose((k, j).__hash__(), 30, 50_000)
+            if not middle:
+                want.add(len(texts))
+            texts.append(" ".join(prose((k, j, 1).__hash__(), 40, 50_000) + one + middle + two + prose((k, j, 2).__hash__(), 40, 50_000)))
+    got = {r.doc_id for r in substring_dedup.repeats(docs(spark, texts)).collect() if r.n_spans}
+    assert got == want
+
+
 def test_secrets_and_licences_equal_their_sql(spark):
     import duckdb
 
