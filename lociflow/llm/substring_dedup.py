@@ -11,8 +11,9 @@
 3. What the representatives leave open is compared in full: in every signature group, each other text whose window
    there is not all within spans meets all others of the group, in blocks of bounded size, so that no pair of a group
    stays unmet. A block first drops the texts of whose shingles too few occur in any other of its texts.
-4. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if an aligned passage of the same
-   length in the other text shares so many of its shingles that their Jaccard similarity is at least ``SIMILARITY``.
+4. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if any passage of the same length
+   in the other text shares so many of its shingles that their Jaccard similarity, as multisets, is at least
+   ``SIMILARITY``; each text's passages are looked for in the other.
    Verified passages of a text are merged to spans.
 
 Equal texts are one node: a text of fifty words or more that several rows have is a repeated passage as a whole.
@@ -42,6 +43,9 @@ SIMILARITY = 0.8
 COMMON = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
 #: Texts in a block of a signature group.
 BLOCK = 256
+#: Alignments of two texts that are tried first, and passages that are counted out at once.
+ALIGNMENTS = 8
+_STEPS = 512
 _FACTORS = tokens.randoms(21, HASHES) | np.uint64(1)
 SPANS = "array<struct<begin:bigint,end:bigint>>"
 _PLACE = np.uint64((1 << 26) - 1)
@@ -91,36 +95,89 @@ def _signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return what[at].view(np.int64), starts[begin] << 32 | ends[end]
 
 
-def passages(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Beginnings of the passages of LENGTH shingles of a that are near-duplicates, and of those of b aligned to them.
+def _enough(held: np.ndarray) -> np.ndarray:
+    """By row: for each passage, whether COMMON of its shingles are marked."""
+    total = np.zeros((held.shape[0], held.shape[1] + 1), np.int32)
+    np.cumsum(held, axis=1, out=total[:, 1:])
+    return total[:, LENGTH:] - total[:, :-LENGTH] >= COMMON
+
 
-    A passage of a is held against those of b that its first, middle and last common shingles point to, by their first
-    and by their last occurrence in b.
+def passages(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Beginnings of the passages of LENGTH shingles of a that share COMMON shingles, as multisets, with one of b.
+
+    Most are found by counts that cannot be too large: equal shingles at one alignment, and shingles that both texts
+    hold once, around a common one. What is left of passages with enough shingles anywhere in b is counted out.
     """
-    none = np.zeros(0, np.int64)
+    if min(len(a), len(b)) < LENGTH:
+        return np.zeros(0, np.int64)
     order = np.argsort(b, kind="stable")
     ordered = b[order]
     low, high = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
     hit = high > low
+    left = _enough(hit[None, :])[0]
+    if not left.any():
+        return np.zeros(0, np.int64)
+    likely = left.copy()
     p = np.flatnonzero(hit)
-    if len(p) < COMMON or len(b) < LENGTH:
-        return none, none
-    total = np.concatenate(([0], np.cumsum(hit)))
-    begin = np.flatnonzero(total[LENGTH:] - total[:-LENGTH] >= COMMON)
-    ends = [order[low[hit]], order[high[hit] - 1]]
-    out = [np.zeros((0, 2), np.int64)]
-    for q in ends if (ends[0] != ends[1]).any() else ends[:1]:
-        for some in np.array_split(begin, max(1, len(begin) // 4096)):
-            first, last = total[some], total[some + LENGTH]
-            index = first[:, None] + np.arange(LENGTH)[None, :]
-            inside = index < last[:, None]
-            other = q[np.minimum(index, len(q) - 1)]
-            for anchor in (first, (first + last) // 2, last - 1):
-                there = np.clip(some + q[anchor] - p[anchor], 0, len(b) - LENGTH)
-                common = (inside & (other >= there[:, None]) & (other < there[:, None] + LENGTH)).sum(1)
-                out.append(np.column_stack((some, there))[common >= COMMON])
-    found = np.concatenate(out)
-    return found[:, 0], found[:, 1]
+    shifts, times = np.unique(np.concatenate((order[low[hit]] - p, order[high[hit] - 1] - p)), return_counts=True)
+    for shift in shifts[np.argsort(-times, kind="stable")[:ALIGNMENTS]]:
+        x, y = max(0, -shift), min(len(a), len(b) - shift)
+        if y - x >= LENGTH:
+            left[x : y - LENGTH + 1] &= ~_enough((a[x:y] == b[x + shift : y + shift])[None, :])[0]
+    ordered = np.sort(a)
+    once = hit & (high - low == 1) & (np.searchsorted(ordered, a, "right") - np.searchsorted(ordered, a, "left") == 1)
+    p = np.flatnonzero(once)
+    q = order[low[p]]
+    total = np.concatenate(([0], np.cumsum(once)))
+    begin = np.flatnonzero(left & _enough(once[None, :])[0])
+    for some in np.array_split(begin, max(1, len(begin) // 4096)) if len(begin) else ():
+        first, last = total[some], total[some + LENGTH]
+        index = first[:, None] + np.arange(LENGTH)[None, :]
+        inside = index < last[:, None]
+        other = q[np.minimum(index, len(q) - 1)]
+        for anchor in (first, (first + last) // 2, last - 1):
+            there = np.clip(some + q[anchor] - p[anchor], 0, len(b) - LENGTH)
+            common = (inside & (other >= there[:, None]) & (other < there[:, None] + LENGTH)).sum(1)
+            left[some[common >= COMMON]] = False
+    begin = np.flatnonzero(left)
+    for some in np.split(begin, np.flatnonzero((np.diff(begin) > LENGTH) | (np.diff(begin // _STEPS) > 0)) + 1):
+        if len(some):
+            left[some[_counted(a, b, some)]] = False
+    return np.flatnonzero(likely & ~left)
+
+
+def _counted(a: np.ndarray, b: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether the passages of a at ``begin``, which lie close together, share COMMON shingles with any passage of b."""
+    base = begin[0]
+    what, mine = np.unique(a[base : begin[-1] + LENGTH], return_inverse=True)
+    at = np.minimum(np.searchsorted(what, b), len(what) - 1)
+    theirs = np.where(what[at] == b, at, -1)
+    # held[s, i]: how often passage i of a holds shingle s.
+    total = np.zeros((len(what), len(mine) + 1), np.int32)
+    total[mine, np.arange(len(mine)) + 1] = 1
+    np.cumsum(total, axis=1, out=total)
+    held = total[:, begin - base + LENGTH] - total[:, begin - base]
+    found = np.zeros(len(begin), bool)
+    places = np.flatnonzero(_enough((theirs >= 0)[None, :])[0])
+    last = None
+    for j in places.tolist():
+        if last is None or j != last + 1:
+            now = np.bincount(theirs[j : j + LENGTH][theirs[j : j + LENGTH] >= 0], minlength=len(what))
+            common = np.minimum(held, now[:, None]).sum(0)
+        else:  # one shingle leaves b's passage, one enters
+            out, new = theirs[j - 1], theirs[j + LENGTH - 1]
+            if out != new:
+                if out >= 0:
+                    common = common - (held[out] >= now[out])
+                    now[out] -= 1
+                if new >= 0:
+                    now[new] += 1
+                    common = common + (held[new] >= now[new])
+        last = j
+        found |= common >= COMMON
+        if found.all():
+            break
+    return found
 
 
 def _spans(begin: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
@@ -161,7 +218,8 @@ def _compared(pairs: DataFrame) -> DataFrame:
             for (i, a, a_starts, a_ends), (_, b, b_starts, b_ends) in zip(mine, theirs, strict=True):
                 if min(len(a), len(b)) < WORDS:
                     continue
-                here, there = passages(tokens.shingles(a), tokens.shingles(b))
+                a, b = tokens.shingles(a), tokens.shingles(b)
+                here, there = passages(a, b), passages(b, a)
                 row = pdf.iloc[i]
                 out += [(row["text_id"], *s) for s in _spans(here, a_starts, a_ends, row["begin"])]
                 out += [(row["rep"], *s) for s in _spans(there, b_starts, b_ends, row["rep_begin"])]
@@ -212,19 +270,12 @@ def crossing(names: list[int], mine: list[np.ndarray], outside: list[np.ndarray]
             likely[place[names[i]]] = False
         for k in np.flatnonzero((likely & left).any(1)):
             if (likely[k] & left).any():
-                here = passages(a, theirs[k])[0]
+                here = passages(a, theirs[k])
                 found[i] = np.union1d(found[i], here)
                 left[here] = False
     return found
 
 
-def _enough(held: np.ndarray) -> np.ndarray:
-    """By row: for each passage, whether COMMON of its shingles are marked."""
-    total = np.zeros((held.shape[0], held.shape[1] + 1), np.int32)
-    np.cumsum(held, axis=1, out=total[:, 1:])
-    return total[:, LENGTH:] - total[:, :-LENGTH] >= COMMON
-
-
 def _crossed(windows: DataFrame, groups: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans that texts other than the two representatives of a signature give each other."""
     others = windows.join(groups, "what").where("text_id != least and text_id != most").drop("least", "most")

@@ -313,6 +313,45 @@ def test_verbatim_passages_match_brute_force(spark):
     assert [got[i] for i in range(60)] == want and any(want) and not all(want)
 
 
+def test_passages_share_multisets_of_shingles():
+    def brute(a, b):
+        n = substring_dedup.LENGTH
+        theirs = [Counter(b[j : j + n]) for j in range(len(b) - n + 1)]
+        return [i for i in range(len(a) - n + 1) for mine in [Counter(a[i : i + n])] if any((mine & other).total() >= substring_dedup.COMMON for other in theirs)]
+
+    def shingled(words):
+        return tokens.shingles(tokens.words([" ".join(words)]).hashes)
+
+    line = prose(900, 10)
+    held = prose(901, 20) + line + prose(902, 20)
+    a = line + prose(903, 30) + held + prose(904, 30) + line
+    b = line + prose(905, 30) + held + prose(906, 30) + line
+    pairs = [(a, b), (held, held[25:] + held[:25]), (["same"] * 60, prose(907, 30) + ["same"] * 5 + prose(908, 30))]
+    rng = random.Random(17)
+    for k in range(60):  # phrases in any order, with words changed, dropped and added
+        pool = [prose(910 + j, rng.randrange(3, 40)) for j in range(4)]
+        one, two = ([w for _ in range(rng.randrange(3, 9)) for w in rng.choice(pool)] for _ in range(2))
+        two = [w for w in (two if k % 2 else one) for w in {0: [], 1: [w, "new"], 2: ["new"]}.get(rng.randrange(60), [w])]
+        pairs.append((one, two))
+    flagged = 0
+    for one, two in pairs:
+        x, y = shingled(one), shingled(two)
+        for p, q in ((x, y), (y, x)):
+            want = brute(p.tolist(), q.tolist())
+            assert substring_dedup.passages(p, q).tolist() == want
+            flagged += bool(want)
+    assert len(substring_dedup.passages(shingled(a), shingled(b))) and 10 < flagged < 120
+
+
+def test_repeated_line_inside_and_around_a_passage(spark):
+    line = prose(900, 10)
+    held = prose(901, 20) + line + prose(902, 20)
+    around = [line + prose(903 + 2 * k, 30) + held + prose(904 + 2 * k, 30) + line for k in range(2)]
+    texts = [" ".join(w) for w in around]
+    got = {r.doc_id: [texts[r.doc_id][s.begin : s.end] for s in r.spans] for r in substring_dedup.repeats(docs(spark, texts)).collect()}
+    assert all(len(spans) == 1 and " ".join(held) in spans[0] for spans in got.values())
+
+
 def test_passages_of_frequent_lines_meet_beyond_representatives(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 3)
     texts, want = [], set()
