@@ -313,6 +313,23 @@ def test_verbatim_passages_match_brute_force(spark):
     assert [got[i] for i in range(60)] == want and any(want) and not all(want)
 
 
+def near_passages(k):
+    """Two texts of which one holds fifty words of the other with the middle one changed, and nothing else in common."""
+    held = prose((k, 0).__hash__(), 50, 50_000)
+    near = [*held[:25], "changed", *held[26:]]
+    return [prose((k, 1 + 2 * j).__hash__(), 30, 50_000) + words + prose((k, 2 + 2 * j).__hash__(), 30, 50_000) for j, words in enumerate((held, near))]
+
+
+def test_near_passages_become_candidates():
+    agreed = []
+    for k in range(1000):
+        cut = [(tokens.shingles(h), s, e) for _, h, s, e in tokens.each([" ".join(w) for w in near_passages(k)])]
+        one, two = (substring_dedup._signatures(*c)[0] for c in cut)
+        assert len(substring_dedup.passages(cut[0][0], cut[1][0]))
+        agreed.append(len(np.intersect1d(one, two)) >= substring_dedup.ENOUGH)
+    assert sum(agreed) >= 995
+
+
 def test_passages_share_multisets_of_shingles():
     def brute(a, b):
         n = substring_dedup.LENGTH
