@@ -193,21 +193,23 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
 
         return seeded
 
-    known = benchmark.select(F.col(item).alias("key"), F.col(item_text).alias("text"))
+    # Items have a key of their own: ids may be null or repeated. As when held, of equal shares the smallest id and text win, null last.
+    known = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
+    known = known.withColumn("key", F.md5(F.to_json(F.struct("item", "text"))))
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     texts = written(texts)
     mine = texts.mapInPandas(seeds_of(tuple(range(1, LEAST + 1))), "key string, width int, seed bigint")
-    theirs = known.mapInPandas(seeds_of((LEAST,)), f"key {kind}, width int, seed bigint").withColumnRenamed("key", "item")
-    pairs = mine.join(theirs, ["width", "seed"]).select("key", "item").distinct()
-    both = pairs.join(texts, "key").join(known.select(F.col("key").alias("item"), F.col("text").alias("item_text")), "item")
+    theirs = known.mapInPandas(seeds_of((LEAST,)), "key string, width int, seed bigint").withColumnRenamed("key", "item_key")
+    pairs = mine.join(theirs, ["width", "seed"]).select("key", "item_key").distinct()
+    both = pairs.join(texts, "key").join(known.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text")), "item_key")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [coverage(a, b) for a, b in zip(_hashed(pdf["text"].tolist()), _hashed(pdf["item_text"].tolist()), strict=True)]
-            yield pdf[["key", "item"]].assign(coverage=[f[0] for f in found], tiles=[f[1] for f in found])
+            yield pdf[["key", "item", "item_text"]].assign(coverage=[f[0] for f in found], tiles=[f[1] for f in found])
 
-    judged = both.mapInPandas(tile, f"key string, item {kind}, coverage double, tiles int")
-    best = judged.where("coverage > 0").groupBy("key").agg(F.min(F.struct((-F.col("coverage")).alias("c"), "item", "coverage", "tiles")).alias("b"))
+    judged = both.mapInPandas(tile, f"key string, item {kind}, item_text string, coverage double, tiles int")
+    best = judged.where("coverage > 0").groupBy("key").agg(F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item").isNull().alias("none"), "item", "item_text", "coverage", "tiles")).alias("b"))
     best = best.select(F.col("key").alias("_leak_key"), F.struct("b.item", "b.coverage", "b.tiles").alias("_leak"))
     none = F.struct(F.lit(None).cast(kind).alias("item"), F.lit(0.0).alias("coverage"), F.lit(0).alias("tiles"))
     out = docs.join(best, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_leak_key"), "left")

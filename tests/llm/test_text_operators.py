@@ -120,6 +120,14 @@ def test_contamination_reordered_short_items_and_both_paths(spark):
     assert decontaminate.clean(rows, bench.limit(0)).count() == len(texts)
 
 
+def test_contamination_by_items_without_an_id(spark):
+    words = [" ".join(prose(950 + k, 30)) for k in range(3)]
+    items = spark.createDataFrame([(None, words[0]), (None, words[1]), (7, words[1]), (7, words[2])], "item_id long, text string")
+    rows = docs(spark, [*words, "nothing of them"])
+    held, joined = (sorted(map(tuple, decontaminate.leaks(rows, items, held_words=n).select("doc_id", "_leak.item", "_leak.coverage", "_leak.tiles").collect())) for n in (decontaminate.HELD_WORDS, 0))
+    assert joined == held == [(0, None, 1.0, 1), (1, 7, 1.0, 1), (2, 7, 1.0, 1), (3, None, 0.0, 0)]
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return vocabulary()
