@@ -28,8 +28,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import small_batches
-
 #: Characters of a block whose distinct pieces are encoded together.
 BLOCK_CHARS = 4_000_000
 #: Pieces that a task remembers.
@@ -224,7 +222,6 @@ def digests(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
 
 def _mapped(docs: DataFrame, vocab: Vocabulary, key: str, text: str, kind: str, make) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocab)
     names = [x.split()[0] for x in kind.split(", ")]
     slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,38 +16,66 @@ from pyspark.sql import functions as F
 
 #: Numbers in one row of a count vector that is being added up.
 CHUNK = 8192
-#: Rows that Python gets at once; texts may be long.
-BATCH_ROWS = "1000"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts holds, unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of this session where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. A local session without one gets a
+    temporary folder; on a cluster that is an error, as executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lociflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Folders of scratch tables, oldest first.
+_scratch: list[str] = []
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside go at the end. What is to outlive them must have been written by other means."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for path in _scratch[before:]:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        del _scratch[before:]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
+    """df as a Parquet table in the shared folder: lineage ends there and a lost executor costs no recomputation. Spark
+    also splits the hot keys of a join with it, which it cannot do with the result of an aggregate."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lociflow/{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(text: Column) -> Column:
+    """What equal texts share; null counts as the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string")) % n

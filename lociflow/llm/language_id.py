@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import small_batches, vector_sums
+from lociflow.llm.common import vector_sums
 from lociflow.llm.tokens import by_character
 
 UNKNOWN = "und"
@@ -115,7 +115,6 @@ class Model:
 
 def fit(rows: DataFrame, text: str = "text", language: str = "lang", per_language: int = FIT_ROWS_PER_LANGUAGE) -> Model:
     """Learn from rows that have a language; about ``per_language`` rows of each, chosen by a hash of the text."""
-    small_batches(rows.sparkSession)
     labelled = rows.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
@@ -173,6 +172,5 @@ def predicted(model: Model, text: Column) -> Column:
 
 def predict(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: its key and the columns of RESULT."""
-    small_batches(rows.sparkSession)
     slim = rows.select(F.col(key), F.col(text).alias("_text"))
     return slim.select(F.col(key), predicted(model, F.col("_text")).alias("_p")).select(key, "_p.*")

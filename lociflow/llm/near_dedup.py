@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import small_batches, vector_sums, written
+from lociflow.llm.common import vector_sums, written
 from lociflow.llm.components import components
 
 SIMILARITY = 0.8
@@ -240,7 +240,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """One row per row of the input: its key, fp (of its text), class (the fp that stands for it), class_id (smallest key),
     class_rows and texts (different ones in its class)."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp"), F.col(text).alias("_text"))
     idf = spark.sparkContext.broadcast(frequencies(slim, "_text"))
     rows = written(_banded(slim, idf))

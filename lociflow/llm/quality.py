@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import small_batches, vector_sums, written
+from lociflow.llm.common import vector_sums, written
 
 #: Labelled documents that a fit expects to use; more are thinned by a hash of their id.
 FIT_DOCUMENTS = 8000
@@ -173,7 +173,6 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", documents: int = FIT_DOCUMENTS) -> Model:
     """Learn from the documents that have a label, about ``documents`` of them."""
-    small_batches(docs.sparkSession)
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label"))
     share = min(1.0, documents / max(1, labels.count()))
     chosen = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -202,7 +201,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: its key and score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,22 +1,24 @@
 """Near-duplicate passages by compact windows.
 
-1. A text is a sequence of five-word shingles. For each of ``HASHES`` hash functions the text's passages of at least
-   ``LENGTH`` shingles fall into compact windows (l, c, r): all passages that begin in l..c and end in c..r have the
-   hash of shingle c as their minimum. The windows are the nodes of the Cartesian tree over the hashes; only nodes
-   wide enough are built, from the minima of sliding passages.
-2. Windows of different texts that share a signature (hash function and minimum) are candidates. Per signature the
-   texts with the smallest and the largest id (a hash of the text) stand for their group, so a signature of n texts
-   gives at most 2 (n - 1) candidates. Candidates of the same two texts are joined, and two texts that agree on
-   ``ENOUGH`` signatures are compared on the stretches that the agreeing windows cover.
-3. What the representatives leave open is compared in full: in every signature group, each other text whose window
-   there is not all within spans meets all others of the group, in blocks of bounded size, so that no pair of a group
-   stays unmet. A block first drops the texts of whose shingles too few occur in any other of its texts.
+1. A text is a sequence of five-word shingles. For each of ``HASHES`` hash functions its passages of ``LENGTH`` shingles
+   fall into compact windows (l, c, r): all those that begin at l or later, hold shingle c and end at r or before have
+   the hash of c as their minimum. The windows are the nodes of the Cartesian tree over the hashes, as far as passages
+   of that length see them: a node reaches to the nearest smaller hash on each side, LENGTH - 1 shingles at most.
+2. Windows of different texts that share a signature (hash function and minimum) form a group. In every group the text
+   with the smallest id stands for it and meets all others, which gives n - 1 rectangles (a window here, a window
+   there) for n windows. The rectangles of two texts are joined over the hash functions: where those of ``ENOUGH``
+   functions meet, in one cell of a grid over both texts, the stretches that they cover are compared.
+3. What those comparisons leave open is compared in full: in every group, each other text whose window there is not
+   all within known spans meets all others of the group, in blocks of bounded size, so that no pair of a group stays
+   unmet. A block first drops all passages of whose shingles too few occur in any other of its texts.
 4. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if any passage of the same length
    in the other text shares so many of its shingles that their Jaccard similarity, as multisets, is at least
    ``SIMILARITY``; each text's passages are looked for in the other.
    Verified passages of a text are merged to spans.
 
-Equal texts are one node: a text of fifty words or more that several rows have is a repeated passage as a whole.
+Equal texts are one node, known by 128 bits: a text of fifty words or more that several rows have is a repeated passage
+as a whole. Candidates carry 64 of those bits; texts that share them are told apart before they are compared, so a
+collision can only hide what the two colliding texts have in common with each other alone.
 Every verbatim passage of fifty words that two texts share agrees on all hash functions, so its texts meet, by step 2 or
 by step 3. Passages of similarity 0.8 become candidates with probability 0.993 at least. Edge cases: null counts as
 the empty text; texts of under fifty words have no spans; repeats within one text alone do not count; words are as in
@@ -25,20 +27,21 @@ the empty text; texts of under fifty words have no spans; repeats within one tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import small_batches, written
+from lociflow.llm.common import fingerprint, written
 
 WORDS = 50
 LENGTH = WORDS - tokens.WIDTH + 1
-#: Two passages of similarity J agree on ENOUGH of the hashes with probability 1 - (1-J)^5 - 5 J (1-J)^4: 0.993 at 0.8. Parts that passages
-#: beside them share add to that.
+#: Two passages of similarity J agree on ENOUGH of the hash functions with probability 1 - (1-J)^5 - 5 J (1-J)^4: 0.993
+#: at 0.8. Parts that passages beside them share add to that.
 HASHES = 5
 ENOUGH = 2
 SIMILARITY = 0.8
@@ -49,13 +52,21 @@ BLOCK = 256
 #: Alignments of two texts that are tried first, and passages that are counted out at once.
 ALIGNMENTS = 8
 _STEPS = 512
+#: Characters of a cell in which windows of two texts meet.
+CELL = 2048
+#: Shingles of a text that are looked at together; places among them take the low bits of their hashes.
+_SLICE = 1 << 25
+_FUNCTION = np.uint64(7)
 _FACTORS = tokens.randoms(21, HASHES) | np.uint64(1)
 SPANS = "array<struct<begin:bigint,end:bigint>>"
 _PLACE = np.uint64((1 << 26) - 1)
 
 
 def compact_windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Rows (l, c, r) of all compact windows at least ``length`` wide, by c. Of equal minima the leftmost counts."""
+    """Rows (l, c, r), by l: of the passages of ``length`` within l..r, all have their minimum at c, and no others do.
+
+    Of equal minima the leftmost counts.
+    """
     n = len(hashes)
     if n < length:
         return np.zeros((0, 3), np.int64)
@@ -66,36 +77,28 @@ def compact_windows(hashes: np.ndarray, length: int) -> np.ndarray:
         width *= 2
     if width < length:
         least = np.minimum(least[: len(least) - (length - width)], least[length - width :])
-    # Minima move right only. Their nearest smaller neighbours are ancestors in the Cartesian tree, so minima as well.
-    centres = least[np.concatenate(([True], least[1:] != least[:-1]))] & _PLACE
-    centres = centres.astype(np.int64)
-    rank = ((hashes[centres] & ~_PLACE) | centres.astype(np.uint64)).tolist()
-    left, right, stack = [0] * len(rank), [n - 1] * len(rank), []
-    place = centres.tolist()
-    for i, value in enumerate(rank):
-        while stack and rank[stack[-1]] > value:
-            right[stack.pop()] = place[i] - 1
-        left[i] = place[stack[-1]] + 1 if stack else 0
-        stack.append(i)
-    return np.column_stack((left, centres, right))
+    at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    last = np.concatenate((at[1:], [len(least)])) + length - 2
+    return np.column_stack((at, (least[at] & _PLACE).astype(np.int64), last))
 
 
 def _signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct signatures, and the stretch of characters that each one's windows cover, as begin << 32 | end."""
+    """A text's signatures, whose last bits name the hash function, and the stretch of characters of each one's window,
+    as begin << 32 | end. Windows of one signature that begin in the same CELL of characters are one."""
     what, begin, end = [], [], []
-    for k in range(HASHES):
-        hashes = tokens.mix(shingles * _FACTORS[k])
-        windows = compact_windows(hashes, LENGTH)
-        what.append(tokens.mix(hashes[windows[:, 1]] + np.uint64(k)))
-        # More than LENGTH around the centre need not be looked at: longer passages have windows of their own.
-        begin.append(np.maximum(windows[:, 0], windows[:, 1] - LENGTH))
-        end.append(np.minimum(windows[:, 2], windows[:, 1] + LENGTH) + tokens.WIDTH - 1)
+    for base in range(0, len(shingles) - LENGTH + 1, _SLICE):
+        part = shingles[base : base + _SLICE + LENGTH - 1]
+        for k in range(HASHES):
+            hashes = tokens.mix(part * _FACTORS[k])
+            windows = compact_windows(hashes, LENGTH)
+            what.append((tokens.mix(hashes[windows[:, 1]]) & ~_FUNCTION) | np.uint64(k))
+            begin.append(starts[base + windows[:, 0]])
+            end.append(ends[base + windows[:, 2] + tokens.WIDTH - 1])
     what, begin, end = map(np.concatenate, (what, begin, end))
-    order = np.argsort(what, kind="stable")
+    order = np.lexsort((begin, what))
     what, begin, end = what[order], begin[order], end[order]
-    at = np.flatnonzero(np.concatenate(([True], what[1:] != what[:-1])))
-    begin, end = np.minimum.reduceat(begin, at), np.maximum.reduceat(end, at)
-    return what[at].view(np.int64), starts[begin] << 32 | ends[end]
+    at = np.flatnonzero(np.concatenate(([True], (what[1:] != what[:-1]) | (begin[1:] // CELL != begin[:-1] // CELL))))
+    return what[at].view(np.int64), begin[at] << 32 | np.maximum.reduceat(end, at)
 
 
 def _enough(held: np.ndarray) -> np.ndarray:
@@ -199,39 +202,36 @@ def _windowed(docs: DataFrame) -> DataFrame:
             n = len(pdf)
             size, begin, end, what, where = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n
             names = pdf["text_id"].tolist()
-            for i, hashes, starts, ends in tokens.each(pdf["text"].tolist()):
-                size[i] = len(hashes)
-                if len(hashes) >= WORDS:
+            for i, grams, starts, ends in tokens.each_shingled(pdf["text"].tolist(), WORDS):
+                size[i] = len(starts)
+                if len(grams):
                     begin[i], end[i] = starts[0], ends[-1]
                     if names[i] not in seen:
                         seen.add(names[i])
-                        what[i], where[i] = _signatures(tokens.shingles(hashes), starts, ends)
-            yield pd.DataFrame({"id": pdf["id"], "text_id": names, "words": size, "begin": begin, "end": end, "what": what, "where": where})
+                        what[i], where[i] = _signatures(grams, starts, ends)
+            yield pdf.drop(columns="text").assign(words=size, begin=begin, end=end, what=what, where=where)
 
-    kind = f"id {docs.schema['id'].dataType.simpleString()}, text_id bigint, words bigint, begin bigint, end bigint, what array<bigint>, where array<bigint>"
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, fp binary, text_id bigint, words bigint, begin bigint, end bigint, what array<bigint>, where array<bigint>"
     return docs.mapInPandas(run, kind)
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            names, others, begins, rep_begins = (pdf[c].tolist() for c in ("fp", "rep_fp", "begin", "rep_begin"))
+            mine = tokens.each_shingled(pdf["text"].tolist(), WORDS)
+            theirs = tokens.each_shingled(pdf["rep_text"].tolist(), WORDS)
             out = []
-            mine = tokens.each(pdf["text"].tolist())
-            theirs = tokens.each(pdf["rep_text"].tolist())
             for (i, a, a_starts, a_ends), (_, b, b_starts, b_ends) in zip(mine, theirs, strict=True):
-                if min(len(a), len(b)) < WORDS:
-                    continue
-                a, b = tokens.shingles(a), tokens.shingles(b)
-                here, there = passages(a, b), passages(b, a)
-                row = pdf.iloc[i]
-                out += [(row["text_id"], *s) for s in _spans(here, a_starts, a_ends, row["begin"])]
-                out += [(row["rep"], *s) for s in _spans(there, b_starts, b_ends, row["rep_begin"])]
-            yield pd.DataFrame(out, columns=["text_id", "begin", "end"])
+                if len(a) and len(b):
+                    out += [(names[i], *s) for s in _spans(passages(a, b), a_starts, a_ends, begins[i])]
+                    out += [(others[i], *s) for s in _spans(passages(b, a), b_starts, b_ends, rep_begins[i])]
+            yield pd.DataFrame(out, columns=["fp", "begin", "end"])
 
-    return pairs.mapInPandas(run, "text_id bigint, begin bigint, end bigint")
+    return pairs.mapInPandas(run, "fp binary, begin bigint, end bigint")
 
 
-def _outside(shingles: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray, spans: Iterator) -> np.ndarray:
+def _outside(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int, spans: Iterable) -> np.ndarray:
     """Of each passage of a stretch of a text, whether it lies outside the spans that are known."""
     first, last = begin + starts[: len(shingles) - LENGTH + 1], begin + ends[WORDS - 1 :]
     out = np.ones(len(first), bool)
@@ -279,104 +279,150 @@ def crossing(names: list[int], mine: list[np.ndarray], outside: list[np.ndarray]
     return found
 
 
-def _crossed(windows: DataFrame, groups: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans that texts other than the two representatives of a signature give each other."""
-    others = windows.join(groups, "what").where("text_id != least and text_id != most").drop("least", "most")
-    others = others.select("what", "text_id", F.shiftright("where", 32).alias("begin"), F.col("where").bitwiseAND(0xFFFFFFFF).alias("end"))
-    others = others.join(spans, "text_id", "left").withColumn("spans", F.filter("spans", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin"))))
+def alive(grams: list[np.ndarray], groups: np.ndarray, names: np.ndarray, outside: list[np.ndarray | None], theirs: np.ndarray) -> np.ndarray:
+    """Of each stretch with an ``outside``, whether it has such a passage of which enough shingles are in other texts of its group.
+
+    ``names`` number the texts, ``theirs`` marks the stretches that count as others. All groups are looked at at once.
+    """
+    size = np.array([len(g) for g in grams])
+    out = np.zeros(len(grams), bool)
+    if not size.sum():
+        return out
+    element = np.concatenate(grams) ^ np.repeat(tokens.mix(groups.astype(np.uint64) + np.uint64(1)), size)
+    owner = np.repeat(names, size)
+    order = np.lexsort((owner, element))
+    order = order[np.repeat(theirs, size)[order]]
+    if not len(order):
+        return out
+    what, who = element[order], owner[order]
+    new = np.concatenate(([True], what[1:] != what[:-1]))
+    at = np.flatnonzero(new)
+    several = np.maximum.reduceat(who, at) != who[at]  # who ascends within an element
+    what, first = what[at], who[at]
+    place = np.minimum(np.searchsorted(what, element), len(what) - 1)
+    shared = (what[place] == element) & (several[place] | (first[place] != owner))
+    total = np.concatenate(([0], np.cumsum(shared)))
+    begin = np.cumsum(size) - size
+    for i, free in enumerate(outside):
+        if free is not None and size[i] >= LENGTH:
+            part = total[begin[i] : begin[i] + size[i] + 1]
+            out[i] = (free & (part[LENGTH:] - part[:-LENGTH] >= COMMON)).any()
+    return out
+
+
+def _crossed(members: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans that texts other than the one that stands for a signature give each other."""
+    others = members.where("n > 2 and text_id != least").select("what", "text_id", "begin", "end")
+    others = others.join(spans.select("text_id", "spans"), "text_id", "left")
+    others = others.withColumn("spans", F.filter("spans", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin"))))
     others = others.withColumn("open", ~F.coalesce(F.exists("spans", lambda s: (s["begin"] <= F.col("begin")) & (s["end"] >= F.col("end"))), F.lit(False)))
     others = written(others)
     parts = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = others.groupBy("what").agg(parts(F.count(F.lit(1))).alias("all_parts"), parts(F.count_if("open")).alias("open_parts"), F.count(F.lit(1)).alias("n"))
-    sizes = written(sizes.where("open_parts > 0 and n > 1").drop("n"))
+    sizes = others.groupBy("what").agg(parts(F.count(F.lit(1))).alias("all_parts"), parts(F.count_if("open")).alias("open_parts"), F.min("text_id").alias("a"), F.max("text_id").alias("b"))
+    sizes = written(sizes.where("open_parts > 0 and a != b").drop("a", "b"))
     dealt = others.join(sizes, "what").withColumn("own", F.xxhash64("text_id", "what"))
-    # Each block of open texts (left) meets each block of all texts.
+    # Each block of open texts (left) meets each block of all texts; a group of one block is sent once.
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     own = lambda parts: F.pmod("own", parts).cast("int")
-    left = dealt.where("open").select("what", own("open_parts").alias("row"), every("all_parts").alias("col"), F.lit(True).alias("left"), "text_id", "begin", "end", "spans")
-    right = dealt.select("what", every("open_parts").alias("row"), own("all_parts").alias("col"), F.lit(False).alias("left"), "text_id", "begin", "end", F.lit(None).cast(SPANS).alias("spans"))
-    dealt = left.union(right)
-    dealt = written(dealt)  # so that Spark can split hot texts' joins
+    once = F.col("all_parts") == 1
+    place = ["text_id", "begin", "end", "spans"]
+    left = dealt.where(F.col("open") & ~once).select("what", own("open_parts").alias("row"), every("all_parts").alias("col"), F.lit(True).alias("left"), F.lit(False).alias("right"), *place)
+    right = dealt.select("what", every("open_parts").alias("row"), own("all_parts").alias("col"), (F.col("open") & once).alias("left"), F.lit(True).alias("right"), *place)
+    dealt = written(left.union(right))  # so that Spark can split hot texts' joins
     text = F.substring("text", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
     dealt = dealt.join(known, "text_id").withColumn("text", text)
 
-    def compare(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
-        cut = [(h, s, e) for _, h, s, e in tokens.each(pdf["text"].tolist())]
-        grams = [tokens.shingles(h) if len(h) >= WORDS else np.zeros(0, np.uint64) for h, _, _ in cut]
-        left = pdf["left"].tolist()
-        names, begins, spans = pdf["text_id"].tolist(), pdf["begin"].tolist(), pdf["spans"].tolist()
-        mine = [k for k in range(len(pdf)) if left[k] and len(grams[k]) >= LENGTH]
-        theirs = [k for k in range(len(pdf)) if not left[k] and len(grams[k]) >= LENGTH]
-        outside = [_outside(grams[k], begins[k], *cut[k][1:], spans[k] if spans[k] is not None else ()) for k in mine]
-        found = crossing([names[k] for k in mine], [grams[k] for k in mine], outside, [names[k] for k in theirs], [grams[k] for k in theirs])
-        return [(names[k], *s) for k, here in zip(mine, found, strict=True) if len(here) for s in _spans(here, *cut[k][1:], begins[k])]
+    def compare(pdf: pd.DataFrame) -> list[tuple[bytes, int, int]]:
+        """Spans of the open stretches of whole groups."""
+        rows = [r[1:] for r in tokens.each_shingled(pdf["text"].tolist(), WORDS)]
+        grams = [r[0] for r in rows]
+        left, right, begins, spans, names = (pdf[c].tolist() for c in ("left", "right", "begin", "spans", "fp"))
+        number = pd.factorize(pdf["text_id"])[0]
+        groups = pd.factorize(pd.MultiIndex.from_frame(pdf[["what", "row", "col"]]))[0]
+        outside = [_outside(*r, b, s if s is not None else ()) if f and len(r[0]) else None for r, b, s, f in zip(rows, begins, spans, left, strict=True)]
+        mine = alive(grams, groups, number, outside, np.array(right, bool))
+        out = []
+        bounds = np.searchsorted(groups, np.arange(groups.max() + 2 if len(groups) else 1))
+        for g in np.unique(groups[mine]).tolist():
+            inside = range(bounds[g], bounds[g + 1])
+            ours, theirs = [i for i in inside if mine[i]], [i for i in inside if right[i]]
+            found = crossing([number[i] for i in ours], [grams[i] for i in ours], [outside[i] for i in ours], [number[i] for i in theirs], [grams[i] for i in theirs])
+            out += [(names[i], *s) for i, here in zip(ours, found, strict=True) if len(here) for s in _spans(here, *rows[i][1:], begins[i])]
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted; a group may go on in the next batch.
+        # Rows come sorted; the last group of a batch may go on in the next.
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             key = pdf[["what", "row", "col"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            out = []
-            for a, b in zip(np.concatenate(([0], cuts))[:-1], cuts, strict=True):
-                out += compare(pdf.iloc[a:b])
-            rest = pdf.iloc[cuts[-1] if len(cuts) else 0 :]
-            yield pd.DataFrame(out, columns=["text_id", "begin", "end"])
+            whole = int(cuts[-1]) if len(cuts) else 0
+            rest = pdf.iloc[whole:]
+            yield pd.DataFrame(compare(pdf.iloc[:whole]), columns=["fp", "begin", "end"])
         if rest is not None and len(rest):
-            yield pd.DataFrame(compare(rest), columns=["text_id", "begin", "end"])
+            yield pd.DataFrame(compare(rest), columns=["fp", "begin", "end"])
 
     sorted_ = dealt.repartition("what", "row", "col").sortWithinPartitions("what", "row", "col")
-    return sorted_.select("what", "row", "col", "left", "text_id", "begin", "spans", "text").mapInPandas(run, "text_id bigint, begin bigint, end bigint")
+    return sorted_.select("what", "row", "col", "left", "right", "text_id", "fp", "begin", "spans", "text").mapInPandas(run, "fp binary, begin bigint, end bigint")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
     """Per text, its spans ascending and apart. A text has at most so many spans as beginnings of words."""
+    spans = spans.groupBy("fp", "begin").agg(F.max("end").alias("end"))
+    order = W.partitionBy("fp").orderBy("begin")
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(before >= F.col("begin"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
+    spans = spans.groupBy("fp", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
 
-    def merge(done, s):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["begin"] <= last["end"], grown).otherwise(F.concat(done, F.array(s)))
+def _cells(begin: str, end: str) -> Column:
+    """The cells of the grid that a stretch of characters touches."""
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    return F.explode(F.sequence(cell(begin), cell(end)))
 
-    spans = spans.groupBy("text_id", "begin").agg(F.max("end").alias("end")).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    return spans.select("text_id", F.aggregate("spans", F.array().cast(SPANS), merge).alias("spans"))
+
+def _met(members: DataFrame) -> DataFrame:
+    """Stretches of two texts to be compared: those of windows of ENOUGH hash functions that meet in one cell of both."""
+    reps = members.where("text_id = least").select("what", F.col("text_id").alias("rep"), F.col("begin").alias("rep_begin"), F.col("end").alias("rep_end"))
+    met = members.where("text_id != least").select("what", "text_id", "begin", "end").join(reps, "what")
+    met = met.withColumn("here", _cells("begin", "end")).withColumn("there", _cells("rep_begin", "rep_end"))
+    function = F.expr(f"shiftleft(1, cast(what & {int(_FUNCTION)} as int))")
+    sides = [F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("rep_begin").alias("rep_begin"), F.max("rep_end").alias("rep_end")]
+    met = met.groupBy("text_id", "rep", "here", "there").agg(F.bit_count(F.bit_or(function)).alias("functions"), *sides)
+    return met.where(F.col("functions") >= ENOUGH).drop("functions", "here", "there").distinct()
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: key, n_words, class_rows (rows with an equal text), n_spans, and spans: array of
     struct(begin, end) of characters, ascending and apart, of passages that near-duplicate one in another row."""
-    spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim = slim.select("id", F.xxhash64(F.md5("text")).alias("text_id"), "text")
+    slim = slim.select("id", fingerprint(F.col("text")).alias("fp"), "text").withColumn("text_id", F.xxhash64("fp")).select("id", "fp", "text_id", "text")
     rows = written(_windowed(slim))
     windows = rows.where("what is not null").select("text_id", F.explode(F.arrays_zip("what", "where")).alias("w")).select("text_id", "w.what", "w.where")
-    at = F.struct("text_id", "where")
-    groups = windows.groupBy("what").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.count(F.lit(1)).alias("texts")).where("least.text_id != most.text_id")
-    groups = written(groups)
-    large = groups.where("texts > 3").select("what", F.col("least.text_id").alias("least"), F.col("most.text_id").alias("most"))
-    groups = groups.select("what", F.explode(F.array("least", "most")).alias("rep"))
-    met = windows.join(groups, "what").where("text_id != rep.text_id")
-    side = lambda c: (F.min(F.shiftright(c, 32)), F.max(F.col(c).bitwiseAND(0xFFFFFFFF)))
-    met = met.select("what", "text_id", "where", F.col("rep.text_id").alias("rep"), F.col("rep.where").alias("rep_where"))
-    votes = met.groupBy("text_id", "rep").agg(F.count_distinct("what").alias("votes"), *[c.alias(n) for c, n in zip(side("where") + side("rep_where"), ("begin", "end", "rep_begin", "rep_end"), strict=True)])
-    votes = written(votes.where(F.col("votes") >= ENOUGH).drop("votes"))
-    texts = rows.groupBy("text_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("class_rows"), F.max("words").alias("words"), F.max("begin").alias("begin"), F.max("end").alias("end"))
-    texts = written(texts)
+    groups = windows.groupBy("what").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where("least != most").drop("most"))
+    # Copies of a text in several partitions give equal windows.
+    members = windows.join(groups, "what").distinct()
+    members = written(members.select("what", "text_id", F.shiftright("where", 32).alias("begin"), F.col("where").bitwiseAND(0xFFFFFFFF).alias("end"), "least", "n"))
+    met = written(_met(members))
+    texts = written(rows.groupBy("fp", "text_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("class_rows"), F.max("begin").alias("begin"), F.max("end").alias("end")))
     # Each text is fetched by its smallest row id as well, so that copies do not meet in a task.
-    compared = votes.select("text_id").union(votes.select("rep")).union(windows.join(large, "what", "left_semi").select("text_id"))
-    needed = texts.join(compared.distinct(), "text_id").select("text_id", "id")
-    known = slim.join(needed, (slim["text_id"] == needed["text_id"]) & slim["id"].eqNullSafe(needed["id"]), "left_semi")
-    known = written(known.groupBy("text_id").agg(F.first("text").alias("text")))  # so that Spark can split hot texts' joins
+    compared = met.select("text_id").union(met.select("rep")).union(members.where("n > 2").select("text_id"))
+    needed = texts.join(compared.distinct(), "text_id").select("fp", "id")
+    known = slim.join(needed, (slim["fp"] == needed["fp"]) & slim["id"].eqNullSafe(needed["id"]), "left_semi")
+    known = written(known.groupBy("fp", "text_id").agg(F.first("text").alias("text")))  # so that Spark can split hot texts' joins
     cut = lambda t, b, e: F.substring(t, F.col(b).cast("int") + 1, (F.col(e) - F.col(b)).cast("int"))
-    pairs = votes.join(known, "text_id").withColumn("text", cut("text", "begin", "end"))
-    pairs = pairs.join(known.select(F.col("text_id").alias("rep"), F.col("text").alias("rep_text")), "rep").withColumn("rep_text", cut("rep_text", "rep_begin", "rep_end"))
-    spans = _compared(pairs.select("text_id", "begin", "text", "rep", "rep_begin", "rep_text"))
-    spans = spans.union(texts.where((F.col("class_rows") > 1) & (F.col("words") >= WORDS)).select("text_id", "begin", "end"))
-    spans = written(_merged(spans))
-    spans = _merged(spans.select("text_id", F.inline("spans")).union(_crossed(windows, large, known, spans)))
+    pairs = met.join(known, "text_id").withColumn("text", cut("text", "begin", "end"))
+    other = known.select(F.col("text_id").alias("rep"), F.col("fp").alias("rep_fp"), F.col("text").alias("rep_text"))
+    pairs = pairs.join(other, "rep").withColumn("rep_text", cut("rep_text", "rep_begin", "rep_end"))
+    spans = _compared(pairs.select("fp", "begin", "text", "rep_fp", "rep_begin", "rep_text"))
+    spans = spans.union(texts.where("class_rows > 1 and end > begin").select("fp", "begin", "end"))
+    spans = written(_merged(spans).withColumn("text_id", F.xxhash64("fp")))
+    crossed = _crossed(members, known, spans)
+    spans = _merged(spans.select("fp", F.inline("spans")).union(crossed))
     none = F.array().cast(SPANS)
-    per_text = written(texts.select("text_id", "class_rows").join(spans, "text_id", "left"))
-    out = rows.select(F.col("id").alias(key), "text_id", F.col("words").alias("n_words")).join(per_text, "text_id")
+    per_text = written(texts.select("fp", "class_rows").join(spans, "fp", "left"))
+    out = rows.select(F.col("id").alias(key), "fp", F.col("words").alias("n_words")).join(per_text, "fp")
     return out.select(key, "n_words", "class_rows", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce("spans", none).alias("spans"))
-

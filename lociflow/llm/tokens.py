@@ -114,3 +114,15 @@ def each(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         for i in range(b - a):
             x, y = block.first[i], block.first[i + 1]
             yield a + i, block.hashes[x:y], block.starts[x:y], block.ends[x:y]
+
+
+def each_shingled(texts: Sequence[str | None], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, shingles, starts and ends of words) of every text; no shingles if it has fewer than ``least`` words (WIDTH or more)."""
+    none = np.zeros(0, np.uint64)
+    for a, b in blocks(texts):
+        block = words(texts[a:b])
+        # Shingles that reach from one text into the next are left out below.
+        every = shingles(block.hashes) if len(block.hashes) >= least else none
+        for i in range(b - a):
+            x, y = block.first[i], block.first[i + 1]
+            yield a + i, every[x : y - WIDTH + 1] if y - x >= least else none, block.starts[x:y], block.ends[x:y]

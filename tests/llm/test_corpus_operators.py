@@ -259,22 +259,25 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
 
 
 def brute_windows(hashes, length):
-    out = set()
-    for i in range(len(hashes)):
-        for j in range(i + length - 1, len(hashes)):
-            c = min(range(i, j + 1), key=lambda x: (int(hashes[x]) >> 26, x))
-            out.add((c, i, j))
-    found = defaultdict(lambda: [10**9, -1])
-    for c, i, j in out:
-        found[c] = [min(found[c][0], i), max(found[c][1], j)]
+    """Runs of passages of a length that have their minimum at the same place."""
+    found = {}
+    for i in range(len(hashes) - length + 1):
+        c = min(range(i, i + length), key=lambda x: (int(hashes[x]) >> 26, x))
+        found.setdefault(c, [i, i])[1] = i + length - 1
     return sorted((left, c, right) for c, (left, right) in found.items())
 
 
 def test_compact_windows_group_all_passages():
     rng = np.random.default_rng(3)
-    for n, kinds in ((5, 9), (30, 40), (45, 6), (40, 1)):
+    for n, kinds in ((5, 9), (7, 9), (30, 40), (45, 6), (40, 1)):
         hashes = tokens.mix(rng.integers(0, kinds, n).astype(np.uint64))
-        assert sorted(map(tuple, substring_dedup.compact_windows(hashes, 7).tolist())) == brute_windows(hashes, 7)
+        found = substring_dedup.compact_windows(hashes, 7)
+        assert sorted(map(tuple, found.tolist())) == brute_windows(hashes, 7)
+        for left, centre, right in found.tolist():  # nodes of the Cartesian tree, as far as passages of seven see them
+            rank = [(int(h) >> 26, x) for x, h in enumerate(hashes)]
+            smaller = [x for x in range(n) if rank[x] < rank[centre]]
+            assert left == max([0, centre - 6, *(x + 1 for x in smaller if x < centre)])
+            assert right == min([n - 1, centre + 6, *(x - 1 for x in smaller if x > centre)])
 
 
 def test_repeated_passages(spark):
@@ -330,6 +333,46 @@ def test_near_passages_become_candidates():
     assert sum(agreed) >= 995
 
 
+@pytest.mark.parametrize("variants", [1, 3, 10, 30])
+def test_near_passages_in_groups_of_variants(spark, variants):
+    """A text and variants of one of its passages, each with another word changed: near it, but not near each other."""
+    texts, rng = [], random.Random(variants)
+    for k in range(max(4, 60 // variants)):
+        held = prose((variants, k).__hash__(), 50, 50_000)
+        for j in range(variants + 1):
+            words = [*held] if not j else [w if i != at else f"new{k}x{j}" for at in [rng.randrange(50)] for i, w in enumerate(held)]
+            texts.append(" ".join(prose((k, j, 1).__hash__(), 20, 50_000) + words + prose((k, j, 2).__hash__(), 20, 50_000)))
+    got = {r.doc_id: r.n_spans for r in substring_dedup.repeats(docs(spark, texts)).collect()}
+    assert sum(n > 0 for n in got.values()) >= 0.98 * len(texts)
+
+
+def test_near_passages_match_brute_force(spark, monkeypatch):
+    """Passages of any similarity: what is found is all verified, and nearly all that brute force over all pairs finds."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4)
+    rng = random.Random(21)
+    pool = [prose(1200 + k, rng.randrange(52, 90)) for k in range(6)]
+    texts = []
+    for i in range(50):
+        part = list(rng.choice(pool))
+        for at in rng.sample(range(len(part)), rng.randrange(4)):
+            part[at] = f"n{i}x{at}"
+        texts.append(" ".join(prose((i, 3).__hash__(), rng.randrange(5, 30), 50_000) + part + prose((i, 4).__hash__(), 10, 50_000)))
+    grams = [tokens.shingles(h) for _, h, _, _ in tokens.each(texts)]
+    want = {i for i, a in enumerate(grams) if any(i != j and len(substring_dedup.passages(a, b)) for j, b in enumerate(grams))}
+    got = {r.doc_id for r in substring_dedup.repeats(docs(spark, texts)).collect() if r.n_spans}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) < 50
+
+
+def test_texts_that_are_alive_in_a_group():
+    x = [tokens.shingles(h) for _, h, _, _ in tokens.each([" ".join(prose(k, 60)) for k in range(4)])]
+    grams = [x[0], x[0], x[1], x[1], x[2], x[3][:20]]
+    groups, names = np.array([0, 0, 0, 1, 1, 1]), np.array([0, 1, 2, 2, 3, 4])
+    every = [np.ones(max(len(g) - substring_dedup.LENGTH + 1, 0), bool) for g in grams]
+    assert substring_dedup.alive(grams, groups, names, every, np.ones(6, bool)).tolist() == [True, True, False, False, False, False]
+    assert not substring_dedup.alive(grams, groups, np.zeros(6, int), every, np.ones(6, bool)).any()  # one text alone
+    assert substring_dedup.alive(grams, groups, names, [every[0], *[None] * 5], np.array([False, True, *[False] * 4])).tolist() == [True, *[False] * 5]
+
+
 def test_passages_share_multisets_of_shingles():
     def brute(a, b):
         n = substring_dedup.LENGTH
