@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan
-from lociflow.llm.common import fold, small_batches, table, written
+from lociflow.llm.common import fold, table, written
 from lociflow.llm.registry import vocabulary
 
 
 def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a known language go on; those that language identification rejects, as they hold no letter, go."""
-    small_batches(spark)
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
     return docs.where(language_id.predicted(model, F.col("text"))["lang_pred"] != language_id.UNKNOWN)
 
