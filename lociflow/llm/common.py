@@ -6,16 +6,18 @@ import contextlib
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Numbers in one row of a count vector that is being added up.
-CHUNK = 8192
+CHUNK = 1 << 16
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,21 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Folders of scratch tables, oldest first.
-_scratch: list[str] = []
+#: Folders of scratch tables: those of no ``swept``, then those of each one that is open.
+_scratch: list[list[str]] = [[]]
 
 
 @contextlib.contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
-    """Scratch tables written inside go at the end. What is to outlive them must have been written by other means."""
-    before = len(_scratch)
+    """Scratch tables written inside go at the end, but for lasting ones."""
+    _scratch.append([])
     try:
         yield
     finally:
-        for path in _scratch[before:]:
+        for path in _scratch.pop():
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        del _scratch[before:]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -61,12 +62,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and a lost executor costs no recomputation. Spark
-    also splits the hot keys of a join with it, which it cannot do with the result of an aggregate."""
+    also splits the hot keys of a join with it, which it cannot do with the result of an aggregate. A lasting table
+    outlives the innermost ``swept``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lociflow/{uuid.uuid4().hex}"
-    _scratch.append(path)
+    _scratch[-2 if lasting and len(_scratch) > 1 else -1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,34 +83,59 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
 
-def vector_sums(rows: DataFrame, count: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]], size: int) -> dict[str, np.ndarray]:
-    """Add up one vector of doubles per key over all partitions.
+def sampled(rows: DataFrame, group: str, item: str, k: int, **kept: Column) -> DataFrame:
+    """(group, item, ``kept``): of each group the k different items of smallest hash, one row each; all if there are fewer.
 
-    ``count`` sees a partition's batches and gives its vector for each key. The vectors travel in chunks that Spark
-    adds up in two steps (some tasks together, then all), so no task gets more than a bounded part of them. Only the
+    ``kept`` are aggregates over the rows of an item. The bound holds however often an item repeats and however many
+    there are: an approximate count of items only sets a cut on the hash, at about twice the bound, that spares the rest
+    the shuffle. Groups are few: their counts come to the driver.
+    """
+    place = F.xxhash64(item)
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(item, 0.03).alias("n")).collect()
+    if not sizes:
+        return rows.groupBy(group, item).agg(*[c.alias(n) for n, c in kept.items()])
+    cuts = [(r[group], -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * min(1.0, 2 * k / max(r["n"], 1))))) for r in sizes]
+    cuts = rows.sparkSession.createDataFrame(cuts, f"{group} {rows.schema[group].dataType.simpleString()}, cut long")
+    few = rows.join(F.broadcast(cuts), group).where(place <= F.col("cut"))
+    one = few.groupBy(group, item).agg(*[c.alias(n) for n, c in kept.items()]).withColumn("_place", place)
+    order = W.partitionBy(group).orderBy("_place", item)
+    return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n", "_place")
+
+
+def vector_sums(rows: DataFrame, count: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]], size: int, kind: type = np.float64, merge: np.ufunc = np.add) -> dict[str, np.ndarray]:
+    """Add up (or merge otherwise) one vector per key over all partitions.
+
+    ``count`` sees a partition's batches and gives its vector for each key. The vectors travel in compressed chunks that
+    Spark merges in two steps (some tasks together, then all), so no task gets more than a bounded part of them. Only the
     finished vectors, whose size the model fixes, come to the driver.
     """
 
+    def pack(part: np.ndarray) -> bytes:
+        return zlib.compress(part.astype(kind).tobytes(), 1)
+
+    def unpack(part: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(part), kind)
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = TaskContext.get().partitionId() % 32
         for key, vector in count(batches).items():
             for k in range(0, size, CHUNK):
                 part = vector[k : k + CHUNK]
                 if part.any():
-                    yield pd.DataFrame({"key": [key], "chunk": [k], "salt": [salt], "part": [part.astype(np.float64).tobytes()]})
+                    yield pd.DataFrame({"key": [key], "chunk": [k], "salt": [salt], "part": [pack(part)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["part"].iloc[0], np.float64).copy()
+        total = unpack(pdf["part"].iloc[0]).copy()
         for part in pdf["part"].iloc[1:]:
-            total += np.frombuffer(part, np.float64)
-        return pdf.iloc[:1].assign(part=[total.tobytes()])
+            merge(total, unpack(part), out=total)
+        return pdf.iloc[:1].assign(part=[pack(total)])
 
-    kind = "key string, chunk int, salt int, part binary"
-    parts = rows.mapInPandas(emit, kind)
+    columns = "key string, chunk int, salt int, part binary"
+    parts = rows.mapInPandas(emit, columns)
     for by in (["key", "chunk", "salt"], ["key", "chunk"]):
-        parts = parts.groupBy(*by).applyInPandas(add, kind)
+        parts = parts.groupBy(*by).applyInPandas(add, columns)
     out: dict[str, np.ndarray] = {}
     for row in parts.toLocalIterator():
-        part = np.frombuffer(row["part"], np.float64)
-        out.setdefault(row["key"], np.zeros(size))[row["chunk"] : row["chunk"] + len(part)] = part
+        part = unpack(row["part"])
+        out.setdefault(row["key"], np.zeros(size, kind))[row["chunk"] : row["chunk"] + len(part)] = part
     return out

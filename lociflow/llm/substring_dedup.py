@@ -27,7 +27,7 @@ the empty text; texts of under fifty words have no spans; repeats within one tex
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import fingerprint, written
+from lociflow.llm.common import fingerprint, swept, written
 
 WORDS = 50
 LENGTH = WORDS - tokens.WIDTH + 1
@@ -47,13 +47,13 @@ ENOUGH = 2
 SIMILARITY = 0.8
 #: Common shingles that two passages of LENGTH need.
 COMMON = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
-#: Texts in a block of a signature group.
-BLOCK = 256
+#: Texts in a block of a signature group, and of those that look for others at once.
+BLOCK, ROUND = 2048, 64
 #: Alignments of two texts that are tried first, and passages that are counted out at once.
 ALIGNMENTS = 8
 _STEPS = 512
 #: Characters of a cell in which windows of two texts meet.
-CELL = 2048
+CELL = 1 << 14
 #: Shingles of a text that are looked at together; places among them take the low bits of their hashes.
 _SLICE = 1 << 25
 _FUNCTION = np.uint64(7)
@@ -62,43 +62,63 @@ SPANS = "array<struct<begin:bigint,end:bigint>>"
 _PLACE = np.uint64((1 << 26) - 1)
 
 
-def compact_windows(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Rows (l, c, r), by l: of the passages of ``length`` within l..r, all have their minimum at c, and no others do.
-
-    Of equal minima the leftmost counts.
-    """
-    n = len(hashes)
-    if n < length:
-        return np.zeros((0, 3), np.int64)
-    least = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
+def sliding_minima(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Of every passage of ``length``, its least hash, with the place in its low bits. Of equal ones the leftmost counts."""
+    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while width * 2 <= length:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < length:
-        least = np.minimum(least[: len(least) - (length - width)], least[length - width :])
-    at = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    last = np.concatenate((at[1:], [len(least)])) + length - 2
-    return np.column_stack((at, (least[at] & _PLACE).astype(np.int64), last))
-
-
-def _signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's signatures, whose last bits name the hash function, and the stretch of characters of each one's window,
-    as begin << 32 | end. Windows of one signature that begin in the same CELL of characters are one."""
-    what, begin, end = [], [], []
-    for base in range(0, len(shingles) - LENGTH + 1, _SLICE):
-        part = shingles[base : base + _SLICE + LENGTH - 1]
-        for k in range(HASHES):
-            hashes = tokens.mix(part * _FACTORS[k])
-            windows = compact_windows(hashes, LENGTH)
-            what.append((tokens.mix(hashes[windows[:, 1]]) & ~_FUNCTION) | np.uint64(k))
-            begin.append(starts[base + windows[:, 0]])
-            end.append(ends[base + windows[:, 2] + tokens.WIDTH - 1])
-    what, begin, end = map(np.concatenate, (what, begin, end))
-    order = np.lexsort((begin, what))
-    what, begin, end = what[order], begin[order], end[order]
-    at = np.flatnonzero(np.concatenate(([True], (what[1:] != what[:-1]) | (begin[1:] // CELL != begin[:-1] // CELL))))
-    return what[at].view(np.int64), begin[at] << 32 | np.maximum.reduceat(end, at)
+    return np.minimum(least[: len(least) - (length - width)], least[length - width :]) if width < length else least
+
+
+def _windows(hashes: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the compact windows of many texts that stand one after another; ``valid`` marks where a passage may begin."""
+    left, centre, right = [], [], []
+    for base in range(0, len(valid), _SLICE):  # places take the low bits of the hashes
+        here = np.flatnonzero(valid[base : base + _SLICE])
+        if not len(here):
+            continue
+        least = sliding_minima(hashes[base : base + _SLICE + LENGTH - 1], LENGTH)[here]
+        new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (owner[base + here[1:]] != owner[base + here[:-1]]))))
+        left.append(base + here[new])
+        centre.append(base + (least[new] & _PLACE).astype(np.int64))
+        right.append(base + here[np.concatenate((new[1:], [len(here)])) - 1] + LENGTH - 1)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, centre, right))
+
+
+def signatures(texts: Sequence[str], wanted: Sequence[bool]) -> Iterator[tuple[int, int, int, np.ndarray | None, np.ndarray | None]]:
+    """Of each text: its number of words, where they begin and end (for texts of WORDS or more), and, if wanted, its
+    signatures, whose last bits name the hash function, and the stretch of characters of each one's window, as
+    begin << 32 | end. Windows of one signature that begin in the same CELL are one."""
+    for a, b in tokens.blocks(texts):
+        block = tokens.words(texts[a:b])
+        size = np.diff(block.first)
+        long = size >= WORDS
+        some = long & np.array(wanted[a:b], bool)
+        places = range(b - a)
+        what = where = bounds = None
+        if some.any():
+            every = tokens.shingles(block.hashes)
+            owner = np.repeat(np.arange(b - a), size)[: len(every)]
+            # No passage reaches from one text into the next.
+            valid = (some[owner] & (np.arange(len(every)) + WORDS <= block.first[owner + 1]))[: len(every) - LENGTH + 1]
+            found = []
+            for k in range(HASHES):
+                hashes = tokens.mix(every * _FACTORS[k])
+                left, centre, right = _windows(hashes, valid, owner)
+                name = (tokens.mix(hashes[centre]) & ~_FUNCTION) | np.uint64(k)
+                found.append((owner[left], name, block.starts[left], block.ends[right + tokens.WIDTH - 1]))
+            who, what, begin, end = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((begin, what, who))
+            who, what, begin, end = who[order], what[order], begin[order], end[order]
+            at = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (what[1:] != what[:-1]) | (begin[1:] // CELL != begin[:-1] // CELL))))
+            who, what, where = who[at], what[at].view(np.int64), begin[at] << 32 | np.maximum.reduceat(end, at)
+            bounds = np.searchsorted(who, np.arange(b - a + 1))
+        for i in places:
+            x, y = block.first[i], block.first[i + 1]
+            part = slice(bounds[i], bounds[i + 1]) if some[i] else None
+            yield int(size[i]), int(block.starts[x]) if long[i] else 0, int(block.ends[y - 1]) if long[i] else 0, *((what[part], where[part]) if part else (None, None))
 
 
 def _enough(held: np.ndarray) -> np.ndarray:
@@ -199,17 +219,13 @@ def _windowed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # one number for each text of this partition
         for pdf in batches:
-            n = len(pdf)
-            size, begin, end, what, where = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n, [None] * n
             names = pdf["text_id"].tolist()
-            for i, grams, starts, ends in tokens.each_shingled(pdf["text"].tolist(), WORDS):
-                size[i] = len(starts)
-                if len(grams):
-                    begin[i], end[i] = starts[0], ends[-1]
-                    if names[i] not in seen:
-                        seen.add(names[i])
-                        what[i], where[i] = _signatures(grams, starts, ends)
-            yield pdf.drop(columns="text").assign(words=size, begin=begin, end=end, what=what, where=where)
+            wanted = []
+            for x in names:
+                wanted.append(x not in seen)
+                seen.add(x)
+            found = pd.DataFrame(signatures(pdf["text"].tolist(), wanted), columns=["words", "begin", "end", "what", "where"])
+            yield pd.concat([pdf.drop(columns="text"), found], axis=1)
 
     kind = f"id {docs.schema['id'].dataType.simpleString()}, fp binary, text_id bigint, words bigint, begin bigint, end bigint, what array<bigint>, where array<bigint>"
     return docs.mapInPandas(run, kind)
@@ -248,34 +264,28 @@ def crossing(names: list[int], mine: list[np.ndarray], outside: list[np.ndarray]
     """
     none = np.zeros(0, np.int64)
     found = [none] * len(mine)
-    what = np.unique(np.concatenate(theirs)) if theirs else none
-    if not len(what):
-        return found
-    owned = [np.unique(np.searchsorted(what, b)) for b in theirs]
-    count = np.bincount(np.concatenate(owned), minlength=len(what))
     place = {name: k for k, name in enumerate(others)}
-    held = None
-    for i, a in enumerate(mine):
-        at = np.minimum(np.searchsorted(what, a), len(what) - 1)
-        known = what[at] == a
-        seen = np.where(known, count[at], 0)
-        if names[i] in place:
-            seen = seen - np.isin(at, owned[place[names[i]]])
-        left = outside[i] & _enough((seen > 0)[None, :])[0]
-        if not left.any():
-            continue
-        if held is None:
-            held = np.zeros((len(theirs), len(what)), bool)
-            for k, own in enumerate(owned):
-                held[k, own] = True
-        likely = _enough(held[:, at] & known[None, :])
-        if names[i] in place:
-            likely[place[names[i]]] = False
-        for k in np.flatnonzero((likely & left).any(1)):
-            if (likely[k] & left).any():
-                here = passages(a, theirs[k])
-                found[i] = np.union1d(found[i], here)
-                left[here] = False
+    size = np.array([len(b) for b in theirs], np.int64)
+    if not size.sum():
+        return found
+    every, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), size)
+    for begin in range(0, len(mine), ROUND):
+        some = range(begin, min(begin + ROUND, len(mine)))
+        what = np.unique(np.concatenate([mine[i] for i in some]))
+        at = np.minimum(np.searchsorted(what, every), len(what) - 1)
+        known = what[at] == every
+        held = np.zeros((len(theirs), len(what)), bool)
+        held[owner[known], at[known]] = True
+        for i in some:
+            likely = _enough(held[:, np.searchsorted(what, mine[i])])
+            if names[i] in place:
+                likely[place[names[i]]] = False
+            left = outside[i] & likely.any(0)
+            for k in np.flatnonzero((likely & left).any(1)):
+                if (likely[k] & left).any():
+                    here = passages(mine[i], theirs[k])
+                    found[i] = np.union1d(found[i], here)
+                    left[here] = False
     return found
 
 
@@ -310,9 +320,13 @@ def alive(grams: list[np.ndarray], groups: np.ndarray, names: np.ndarray, outsid
     return out
 
 
-def _crossed(members: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans that texts other than the one that stands for a signature give each other."""
-    others = members.where("n > 2 and text_id != least").select("what", "text_id", "begin", "end")
+def _dealt(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """Stretches of the groups in which a comparison with the group's representative left something open, in blocks.
+
+    Where two blocks meet, those marked left are looked for in those marked right.
+    """
+    # Texts that agree on ENOUGH of the hash functions agree on one of any HASHES - ENOUGH + 1.
+    others = members.where("n > 2 and text_id != least").where(F.col("what").bitwiseAND(int(_FUNCTION)) <= HASHES - ENOUGH).select("what", "text_id", "begin", "end")
     others = others.join(spans.select("text_id", "spans"), "text_id", "left")
     others = others.withColumn("spans", F.filter("spans", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin"))))
     others = others.withColumn("open", ~F.coalesce(F.exists("spans", lambda s: (s["begin"] <= F.col("begin")) & (s["end"] >= F.col("end"))), F.lit(False)))
@@ -328,9 +342,11 @@ def _crossed(members: DataFrame, known: DataFrame, spans: DataFrame) -> DataFram
     place = ["text_id", "begin", "end", "spans"]
     left = dealt.where(F.col("open") & ~once).select("what", own("open_parts").alias("row"), every("all_parts").alias("col"), F.lit(True).alias("left"), F.lit(False).alias("right"), *place)
     right = dealt.select("what", every("open_parts").alias("row"), own("all_parts").alias("col"), (F.col("open") & once).alias("left"), F.lit(True).alias("right"), *place)
-    dealt = written(left.union(right))  # so that Spark can split hot texts' joins
-    text = F.substring("text", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))
-    dealt = dealt.join(known, "text_id").withColumn("text", text)
+    return left.union(right)
+
+
+def _crossed(dealt: DataFrame) -> DataFrame:
+    """Spans that texts other than the one that stands for a signature give each other."""
 
     def compare(pdf: pd.DataFrame) -> list[tuple[bytes, int, int]]:
         """Spans of the open stretches of whole groups."""
@@ -394,33 +410,49 @@ def _met(members: DataFrame) -> DataFrame:
     return met.where(F.col("functions") >= ENOUGH).drop("functions", "here", "there").distinct()
 
 
+def _cut(slim: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (text_id, begin, end and more) with each stretch's text and the fp of the whole text.
+
+    Only stretches leave the scan of the texts. A text is fetched by its smallest row id as well, so that copies do not
+    meet in a task.
+    """
+    asked = wanted.groupBy("text_id").agg(F.collect_list(F.struct(*wanted.columns)).alias("asked"))
+    asked = written(texts.select("fp", "text_id", "id").join(asked, "text_id").drop("text_id"))
+    (fp, number) = (asked["fp"], asked["id"])
+    found = slim.select("fp", "id", "text").join(asked.select(fp.alias("asked_fp"), number.alias("asked_id"), "asked"), (F.col("fp") == F.col("asked_fp")) & F.col("id").eqNullSafe(F.col("asked_id")))
+    if not texts.where("again").isEmpty():
+        found = written(found).dropDuplicates(["fp"])  # rows that repeat an id and its text
+    found = found.select("fp", "text", F.explode("asked").alias("asked")).select("fp", "text", "asked.*")
+    return found.withColumn("text", F.substring("text", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int")))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: key, n_words, class_rows (rows with an equal text), n_spans, and spans: array of
     struct(begin, end) of characters, ascending and apart, of passages that near-duplicate one in another row."""
+    spark = docs.sparkSession
     slim = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.select("id", fingerprint(F.col("text")).alias("fp"), "text").withColumn("text_id", F.xxhash64("fp")).select("id", "fp", "text_id", "text")
-    rows = written(_windowed(slim))
-    windows = rows.where("what is not null").select("text_id", F.explode(F.arrays_zip("what", "where")).alias("w")).select("text_id", "w.what", "w.where")
-    groups = windows.groupBy("what").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.where("least != most").drop("most"))
-    # Copies of a text in several partitions give equal windows.
-    members = windows.join(groups, "what").distinct()
-    members = written(members.select("what", "text_id", F.shiftright("where", 32).alias("begin"), F.col("where").bitwiseAND(0xFFFFFFFF).alias("end"), "least", "n"))
+    with swept(spark):  # windows take much room and are needed no longer than it takes to find groups
+        every = written(_windowed(slim))
+        rows = written(every.drop("what", "where"), lasting=True)
+        windows = every.where("what is not null").select("text_id", F.explode(F.arrays_zip("what", "where")).alias("w")).select("text_id", "w.what", "w.where")
+        groups = windows.groupBy("what").agg(F.min("text_id").alias("least"), F.max("text_id").alias("most"), F.count(F.lit(1)).alias("n"))
+        groups = written(groups.where("least != most").drop("most"))
+        # Copies of a text in several partitions give equal windows.
+        members = windows.join(groups, "what").distinct()
+        members = members.select("what", "text_id", F.shiftright("where", 32).alias("begin"), F.col("where").bitwiseAND(0xFFFFFFFF).alias("end"), "least", "n")
+        members = written(members, lasting=True)
+    by_id = rows.groupBy("fp", "text_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("begin").alias("begin"), F.max("end").alias("end"))
+    texts = written(by_id.groupBy("fp", "text_id").agg(F.min("id").alias("id"), F.sum("n").alias("class_rows"), (F.max("n") > 1).alias("again"), F.max("begin").alias("begin"), F.max("end").alias("end")))
     met = written(_met(members))
-    texts = written(rows.groupBy("fp", "text_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("class_rows"), F.max("begin").alias("begin"), F.max("end").alias("end")))
-    # Each text is fetched by its smallest row id as well, so that copies do not meet in a task.
-    compared = met.select("text_id").union(met.select("rep")).union(members.where("n > 2").select("text_id"))
-    needed = texts.join(compared.distinct(), "text_id").select("fp", "id")
-    known = slim.join(needed, (slim["fp"] == needed["fp"]) & slim["id"].eqNullSafe(needed["id"]), "left_semi")
-    known = written(known.groupBy("fp", "text_id").agg(F.first("text").alias("text")))  # so that Spark can split hot texts' joins
-    cut = lambda t, b, e: F.substring(t, F.col(b).cast("int") + 1, (F.col(e) - F.col(b)).cast("int"))
-    pairs = met.join(known, "text_id").withColumn("text", cut("text", "begin", "end"))
-    other = known.select(F.col("text_id").alias("rep"), F.col("fp").alias("rep_fp"), F.col("text").alias("rep_text"))
-    pairs = pairs.join(other, "rep").withColumn("rep_text", cut("rep_text", "rep_begin", "rep_end"))
+    sides = met.select("text_id", "begin", "end").union(met.select("rep", "rep_begin", "rep_end")).distinct()
+    pieces = written(_cut(slim, texts, sides))
+    place = [F.col("text_id").alias("rep"), F.col("begin").alias("rep_begin"), F.col("end").alias("rep_end")]
+    pairs = met.join(pieces, ["text_id", "begin", "end"]).join(pieces.select(*place, F.col("fp").alias("rep_fp"), F.col("text").alias("rep_text")), ["rep", "rep_begin", "rep_end"])
     spans = _compared(pairs.select("fp", "begin", "text", "rep_fp", "rep_begin", "rep_text"))
     spans = spans.union(texts.where("class_rows > 1 and end > begin").select("fp", "begin", "end"))
     spans = written(_merged(spans).withColumn("text_id", F.xxhash64("fp")))
-    crossed = _crossed(members, known, spans)
+    crossed = _crossed(_cut(slim, texts, _dealt(members, spans)))
     spans = _merged(spans.select("fp", F.inline("spans")).union(crossed))
     none = F.array().cast(SPANS)
     per_text = written(texts.select("fp", "class_rows").join(spans, "fp", "left"))

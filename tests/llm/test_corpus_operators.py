@@ -267,13 +267,15 @@ def brute_windows(hashes, length):
     return sorted((left, c, right) for c, (left, right) in found.items())
 
 
-def test_compact_windows_group_all_passages():
+def test_compact_windows_group_all_passages(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LENGTH", 7)
     rng = np.random.default_rng(3)
     for n, kinds in ((5, 9), (7, 9), (30, 40), (45, 6), (40, 1)):
         hashes = tokens.mix(rng.integers(0, kinds, n).astype(np.uint64))
-        found = substring_dedup.compact_windows(hashes, 7)
-        assert sorted(map(tuple, found.tolist())) == brute_windows(hashes, 7)
-        for left, centre, right in found.tolist():  # nodes of the Cartesian tree, as far as passages of seven see them
+        found = substring_dedup._windows(hashes, np.arange(n - 6) >= 0, np.zeros(n, int)) if n >= 7 else [np.zeros(0, int)] * 3
+        found = np.column_stack(found).tolist()
+        assert sorted(map(tuple, found)) == brute_windows(hashes, 7)
+        for left, centre, right in found:  # nodes of the Cartesian tree, as far as passages of seven see them
             rank = [(int(h) >> 26, x) for x, h in enumerate(hashes)]
             smaller = [x for x in range(n) if rank[x] < rank[centre]]
             assert left == max([0, centre - 6, *(x + 1 for x in smaller if x < centre)])
@@ -326,9 +328,9 @@ def near_passages(k):
 def test_near_passages_become_candidates():
     agreed = []
     for k in range(1000):
-        cut = [(tokens.shingles(h), s, e) for _, h, s, e in tokens.each([" ".join(w) for w in near_passages(k)])]
-        one, two = (substring_dedup._signatures(*c)[0] for c in cut)
-        assert len(substring_dedup.passages(cut[0][0], cut[1][0]))
+        texts = [" ".join(w) for w in near_passages(k)]
+        one, two = (found[3] for found in substring_dedup.signatures(texts, [True, True]))
+        assert len(substring_dedup.passages(*(tokens.shingles(h) for _, h, _, _ in tokens.each(texts))))
         agreed.append(len(np.intersect1d(one, two)) >= substring_dedup.ENOUGH)
     assert sum(agreed) >= 995
 
