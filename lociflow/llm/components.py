@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps, on DataFrames only.
 
-Every step is a grouped minimum (combined before its shuffle) and a join with it, so a vertex with very many
-neighbours is split like any skewed join key; no neighbour list is ever gathered. Components shrink to stars around
-their smallest vertex in a number of rounds that grows with the logarithm of their size.
+Every step is a grouped minimum (combined before its shuffle), written, and a join with it. Both sides of that join are
+plain shuffles, so Spark splits a vertex with very many neighbours like any skewed join key; no neighbour list is ever
+gathered. Components shrink to stars around their smallest vertex in a number of rounds that grows with the logarithm
+of their size.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from lociflow.llm.common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m")))
     return both.join(least, F.col("u") == F.col("hub")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "hub")
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "hub"))
     moved = down.join(least, F.col("u") == F.col("hub")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("hub", "m"))
 
@@ -43,7 +44,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(_distinct(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     state = _state(now)
     while state[0]:
-        now = written(_distinct(_small_star(_distinct(_large_star(now)))))
+        now = written(_distinct(_small_star(written(_distinct(_large_star(now))))))
         after = _state(now)
         if after == state:
             break

@@ -1,13 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents, in a hashed table of fixed size, and
-   give each shingle of a document its weight tf * idf.
+1. Each five-word shingle of a document has the weight tf * idf. Its document frequency counts families, not rows: texts
+   whose smallest shingle hash is the same, as copies and most near-copies have, count once, so that a large group of
+   copies does not make its own shingles look common. Families are counted over all documents by small sketches
+   (HyperLogLog) in a hashed table of fixed size.
 2. Improved consistent weighted sampling draws ``SAMPLES`` (shingle, level) pairs per document; two documents agree
    on a draw with the probability of their weighted Jaccard similarity. Runs of ``ROWS`` draws make the bands.
 3. Documents that share a band are candidates. In each bucket the most supported document meets all others, and
-   connected components of the verified links give first classes. Only buckets whose other members are still of
-   different classes are looked at further: those members meet each other in blocks of bounded size, so that no link
-   between texts of one bucket is lost and no pair becomes a row unless it joins two classes.
+   connected components of the verified links give first classes. In buckets whose other members are still of
+   different classes, the members outside the largest class meet all others, in blocks of bounded size. Members of one
+   class never meet again, so no link between texts of one bucket is lost and pairs become rows only if they join classes.
 4. Verification compares the whole texts: weighted Jaccard similarity of at least ``SIMILARITY``. Connected components
    of all verified links are the classes.
 
@@ -28,28 +30,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import vector_sums, written
+from lociflow.llm.common import fingerprint, unused, vector_sums, written
 from lociflow.llm.components import components
 
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 10
 SAMPLES = ROWS * BANDS
-#: Entries of the table of document frequencies. Shingles that share an entry add to its count by about one part in
-#: a thousand of the documents, at any size of the corpus; that is far below SMOOTHING.
+#: Entries of the table of frequencies. Shingles that share an entry add to its count by about one part in a thousand of
+#: the families, at any size of the corpus; that is far below SMOOTHING.
 FREQUENCIES = 1 << 20
-#: Share of all documents that smooths the frequencies: rarer shingles than this weigh about the same.
-SMOOTHING = 0.1
+#: Registers of the sketch in an entry, and of the one that counts all families.
+REGISTERS, ALL = 8, 1 << 12
+#: Share of all families that smooths the frequencies: rarer shingles than this weigh about the same.
+SMOOTHING = 0.02
 #: Texts in a block of a bucket; two blocks are compared at once.
 BLOCK = 256
 _LEVELS = 4096
 _SLICE = 1 << 13
 
 
-def fingerprint(text: Column) -> Column:
-    """What equal texts share."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
 def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(FREQUENCIES - 1)).astype(np.int64)
 
@@ -60,27 +59,48 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[at], np.diff(np.concatenate((at, [len(ordered)])))
 
 
+def _ranked(key: int, registers: int) -> tuple[int, int]:
+    """Where a hash goes in a sketch of so many registers: the register, and the rank that it has at least."""
+    rest = key // registers
+    return key % registers, (rest & -rest).bit_length() if rest else 64
+
+
+def _estimates(sketches: np.ndarray) -> np.ndarray:
+    """Numbers of different hashes that sketches (by row) have seen, with the correction for small numbers."""
+    m = sketches.shape[1]
+    raw = (0.7213 / (1 + 1.079 / m)) * m * m / np.ldexp(1.0, -sketches.astype(int)).sum(1)
+    empty = (sketches == 0).sum(1)
+    return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
+
+
 def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequencies over all documents, one per table entry."""
+    """Inverse frequencies over the families of all documents, one per table entry."""
+    size = FREQUENCIES * REGISTERS + ALL
 
     def count(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
-        seen = np.zeros(FREQUENCIES + 1)
+        seen = np.zeros(size, np.uint8)
+        table, total = seen[:-ALL].reshape(FREQUENCIES, REGISTERS), seen[-ALL:]
         for pdf in batches:
             for _, hashes, _, _ in tokens.each(pdf["_text"].tolist()):
-                found = _distinct(tokens.shingles(hashes))[0]
-                np.add.at(seen, _slots(found), 1)
-                seen[-1] += 1
+                if len(found := tokens.shingles(hashes)):
+                    family = int(tokens.mix(found.min()))
+                    at, rank = _ranked(family, ALL)
+                    total[at] = max(total[at], rank)
+                    at, rank = _ranked(family, REGISTERS)
+                    slots = _slots(found)
+                    table[slots, at] = np.maximum(table[slots, at], rank)
         return {"df": seen}
 
-    sums = vector_sums(docs.select(F.col(text).alias("_text")), count, FREQUENCIES + 1).get("df", np.zeros(FREQUENCIES + 1))
-    total = max(sums[-1], 1)
-    return np.log1p(total / (sums[:-1] + SMOOTHING * total + 1)).astype(np.float32)
+    seen = vector_sums(docs.select(F.col(text).alias("_text")), count, size, np.uint8, np.maximum).get("df", np.zeros(size, np.uint8))
+    total = max(float(_estimates(seen[-ALL:][None, :])[0]), 1)
+    table = seen[:-ALL].reshape(FREQUENCIES, REGISTERS)
+    held = np.concatenate([_estimates(part) for part in np.array_split(table, 16)])
+    return np.log1p(total / (np.minimum(held, total) + SMOOTHING * total + 1)).astype(np.float32)
 
 
 def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct shingles, ascending, and their weights."""
-    found, times = _distinct(tokens.shingles(hashes))
-    return found, times.astype(np.float32) * idf[_slots(found)]
+    return _weights(tokens.shingles(hashes), idf)
 
 
 @functools.cache
@@ -160,11 +180,15 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
     return one.mapInPandas(shingled, "fp binary, grams binary")
 
 
-def _read(grams: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, times = _distinct(np.frombuffer(grams, np.uint64))
+def _weights(grams: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, times = _distinct(grams)
     return found, times.astype(np.float32) * idf[_slots(found)]
 
 
+def _read(grams: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _weights(np.frombuffer(grams, np.uint64), idf)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
     """The pairs (fp, rep) whose texts are similar enough."""
 
@@ -207,29 +231,35 @@ def overlaps(grams: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     return common / np.maximum(total[:, None] + total[None, :] - common, 1e-9)
 
 
-def _crossing(members: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
-    """Links (fp, rep) between members of one bucket that are of different classes, a few for each joined class.
+def _crossing(left: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
+    """Links (fp, rep) between members (band, fp, class) of one bucket that are of different classes, a few for each joined class.
 
-    A bucket is cut into blocks of about BLOCK members; each two of its blocks meet in a group of bounded size.
+    Members outside a bucket's largest class meet all of its members, in blocks of about BLOCK each.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("fp", "band"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.join(sets, "fp").select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", "class", "grams")
+    sizes = left.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"))
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.where("classes > 1").select("band", F.col("most.class").alias("largest"), parts(F.col("n")).alias("all_parts"), parts(F.col("n") - F.col("most.n")).alias("some_parts"))
+    dealt = left.join(written(sizes), "band").withColumn("own", F.xxhash64("fp", "band")).withColumn("some", F.col("class") != F.col("largest"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod("own", c).cast("int")
+    some = dealt.where("some").select("band", own("some_parts").alias("row"), every("all_parts").alias("col"), F.lit(True).alias("some"), "fp", "class")
+    rest = dealt.select("band", every("some_parts").alias("row"), own("all_parts").alias("col"), F.lit(False).alias("some"), "fp", "class")
+    dealt = written(some.union(rest)).join(sets, "fp")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = overlaps([np.frombuffer(g, np.uint64) for g in pdf["grams"]], idf.value) >= SIMILARITY - 1e-6
-        kind = pd.factorize(pdf["class"])[0]
+        grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        near = overlaps(grams, idf.value) >= SIMILARITY - 1e-3
+        kind, first = pd.factorize(pdf["class"])[0], pdf["some"].to_numpy(bool)
         boss = np.arange(kind.max() + 1)
         links = []
-        for i, j in zip(*np.nonzero(np.triu(same & (kind[:, None] != kind[None, :]))), strict=True):
+        for i, j in zip(*np.nonzero(near & first[:, None] & ~first[None, :] & (kind[:, None] != kind[None, :])), strict=True):
             a, b = boss[kind[i]], boss[kind[j]]
-            if a != b:
+            if a != b and similarity(_weights(grams[i], idf.value), _weights(grams[j], idf.value)) >= SIMILARITY:
                 boss[boss == b] = a
                 links.append((pdf["fp"].iloc[i], pdf["fp"].iloc[j]))
         return pd.DataFrame(links, columns=["fp", "rep"])
 
-    return dealt.groupBy("band", "low", "high").applyInPandas(compare, "fp binary, rep binary")
+    return dealt.groupBy("band", "row", "col").applyInPandas(compare, "fp binary, rep binary")
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -242,29 +272,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp"), F.col(text).alias("_text"))
     idf = spark.sparkContext.broadcast(frequencies(slim, "_text"))
+    # Every aggregate that is joined on its own key is written first, so that Spark can split a hot key of the other side.
     rows = written(_banded(slim, idf))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")))
     buckets = nodes.select("fp", "id", F.explode("bands").alias("band"))
-    members = written(buckets.join(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    sizes = written(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = written(buckets.join(sizes, "band"))
     sets = written(_sets(slim.select("fp", "id", F.col("_text").alias("text")), members.select("fp", "id").distinct()))
     # Each bucket's most supported text meets all others.
     support = members.groupBy("fp").agg(F.sum("n").alias("support"))
-    ranked = members.join(support, "fp")
+    ranked = members.join(support, "fp")  # a text is in BANDS buckets at most
     star = ranked.groupBy("band").agg(F.max(F.struct("support", "fp")).alias("r")).select("band", F.col("r.fp").alias("rep"))
-    star = written(star)  # so that Spark can split a hot bucket's join
-    met = written(members.join(star, "band").where("fp != rep").select("band", "fp", "rep"))
+    met = written(members.join(written(star), "band").where("fp != rep").select("band", "fp", "rep"))
     links = written(_verified(met.select("fp", "rep").distinct(), sets, idf))
     roots = _roots(links)
     # Its others meet each other where they are still of different classes.
-    left = met.join(roots, met["fp"] == roots["node"], "left").select("band", "fp", F.coalesce("root", "fp").alias("class"))
-    mixed = left.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("band")
-    more = written(_crossing(left.join(mixed, "band", "left_semi"), sets, idf))
+    left = written(met.join(roots, met["fp"] == roots["node"], "left").select("band", "fp", F.coalesce("root", "fp").alias("class")))
+    more = written(_crossing(left, sets, idf))
     if not more.isEmpty():
         roots = _roots(links.union(more))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "id", "rows")
     named = written(named)
-    summed = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_rows"), F.count(F.lit(1)).alias("texts"))
-    by_text = named.select("fp", "root").join(summed, "root").withColumnRenamed("root", "class")
+    summed = written(named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_rows"), F.count(F.lit(1)).alias("texts")))
+    by_text = written(named.select("fp", "root").join(summed, "root").withColumnRenamed("root", "class"))
     return rows.select(F.col("id").alias(key), "fp").join(by_text, "fp").select(key, "fp", "class", "class_id", "class_rows", "texts")
 
 
@@ -272,7 +302,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of docs, one of each class: that with the smallest key (nulls last), and of its equals the first."""
     found = written(classes(docs, key, text))
     best = found.groupBy("class").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp")).alias("best"))
-    best = best.select(F.col("best.key").alias("_key"), F.col("best.fp").alias("_kept"))
-    marked = docs.withColumn("_fp", fingerprint(F.col(text)))
-    kept = marked.join(best, (F.col("_fp") == F.col("_kept")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_fp", key]).select(*docs.columns)
+    fp, best_key, best_fp = unused(docs, "fp", "best_key", "best_fp")
+    best = best.select(F.col("best.key").alias(best_key), F.col("best.fp").alias(best_fp))
+    marked = docs.withColumn(fp, fingerprint(F.col(text)))
+    kept = written(marked.join(best, (F.col(fp) == F.col(best_fp)) & F.col(key).eqNullSafe(F.col(best_key)), "left_semi"))
+    return kept.dropDuplicates([fp, key]).select(*docs.columns)
