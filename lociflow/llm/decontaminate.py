@@ -7,15 +7,19 @@ does not depend on their order, so passages that were cut up and reordered are c
 it covers at least ``COVERAGE`` of an item.
 
 A benchmark of up to ``HELD_WORDS`` words is held by every task, and documents are judged where they are read, without
-a shuffle. A larger one is joined with the documents by seed.
+a shuffle. A larger one is joined with the documents by seed; both ways give the same rows. The join looks an item up
+by its rarest seeds only: a text that covers the asked share of an item has so many of its seeds that one of those
+must be among them, so a phrase that many texts share makes no candidates. Whole texts are fetched for candidates alone.
 
 Edge cases: words are as in ``tokens``; an item of fewer than LEAST words must occur whole; items without words match
-nothing; null or empty texts are clean with coverage 0. Of several items the best covered is named, then the smallest
-id. Rows are judged one by one, so repeated rows get equal results. An empty benchmark finds nothing.
+nothing; null or empty texts are clean with coverage 0; items that are covered less than asked are not named. Of several
+items the best covered is named, then the smallest id (null last), then the smallest text. Rows are judged one by one,
+so repeated rows get equal results. Repeated items count once. An empty benchmark finds nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -23,16 +27,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import written
+from lociflow.llm.common import fingerprint, unused, vector_sums, written
 
 LEAST = 5
 COVERAGE = 0.5
 #: Benchmark words that a task may hold, 8 bytes each and as much again for their seeds.
 HELD_WORDS = 2_000_000
 _FILTER = 1 << 22
+#: Bits of the sieve for a benchmark that is not held.
+_SIEVE = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,13 +142,15 @@ class Benchmark:
                     out.setdefault(int(k), np.zeros(len(words), bool))[at : at + width] = True
         return out
 
-    def judge(self, words: np.ndarray) -> tuple[object, float, int]:
-        """The best covered item, its covered share and the number of tiles."""
+    def judge(self, words: np.ndarray, least: float) -> tuple[object, float, int]:
+        """The best covered item, its covered share and the number of tiles; nothing if that share is below ``least``."""
         best: tuple[object, float, int] = (None, 0.0, 0)
         for k, inside in sorted(self.near(words).items()):
             name, item = self.items[k]
+            if inside.sum() < least * len(item):
+                continue  # tiles lie inside shared seeds
             share, number = coverage(words, item, inside)
-            if share > best[1]:
+            if share > best[1] and share >= least:
                 best = (name, share, number)
         return best
 
@@ -162,65 +171,97 @@ def _hashed(texts: Sequence[str | None]) -> list[np.ndarray]:
     return [h for _, h, _, _ in tokens.each(texts)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", held_words: int = HELD_WORDS) -> DataFrame:
-    """docs with one more column ``_leak``: struct of item (best covered), coverage and tiles."""
+def positions(words: int, least: float) -> int:
+    """How many seeds, at different places of an item of so many words, a text at least has that covers ``least`` of it."""
+    width = min(LEAST, words)
+    covered = max(width, math.ceil(least * words - 1e-9))
+    return covered - covered // width * (width - 1)  # as many tiles as there can be, each a seed and more
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = COVERAGE, held_words: int = HELD_WORDS) -> DataFrame:
+    """docs with one more column ``name``: struct of item (best covered, at least so much), coverage and tiles."""
     kind = benchmark.schema[item].dataType.simpleString()
-    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
+    items = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > 2 * held_words:  # a word and what separates it take two characters at least
-        return _joined(docs, benchmark, text, item, item_text, kind)
-    rows = sorted(benchmark.select(item, item_text).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        return _joined(docs, items, name, text, kind, least)
+    rows = items.orderBy(F.asc_nulls_last("item"), "text").collect()
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark(list(zip([r[0] for r in rows], _hashed([r[1] for r in rows]), strict=True))))
 
     @F.pandas_udf(f"item {kind}, coverage double, tiles int")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.judge(words) for words in _hashed(texts.tolist())]
+        found = [shared.value.judge(words, least) for words in _hashed(texts.tolist())]
         return pd.DataFrame({"item": pd.Series([f[0] for f in found], dtype=object), "coverage": [f[1] for f in found], "tiles": [f[2] for f in found]})
 
-    return docs.withColumn("_leak", judge(F.col(text)))
+    return docs.withColumn(name, judge(F.col(text)))
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, kind: str) -> DataFrame:
-    def seeds_of(widths: tuple[int, ...]):
-        """Maps texts to seeds of these widths: an item has one width, a text may meet items of any."""
+def _joined(docs: DataFrame, items: DataFrame, name: str, text: str, kind: str, least: float) -> DataFrame:
+    # Items have a key of their own: ids may be null or repeated.
+    known = written(items.withColumn("item_key", F.md5(F.to_json(F.struct("item", "text")))).where("text != ''"))
 
-        def seeded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for key, words in zip(pdf["key"], _hashed(pdf["text"].tolist()), strict=True):
-                    for width in {min(w, len(words)) for w in widths} - {0}:
-                        seeds = np.unique(tokens.shingles(words, width)).view(np.int64)
-                        yield pd.DataFrame({"key": [key] * len(seeds), "width": np.int32(width), "seed": seeds})
+    def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, words in zip(pdf["item_key"], _hashed(pdf["text"].tolist()), strict=True):
+                if len(words):
+                    width = min(LEAST, len(words))
+                    seeds, times = np.unique(tokens.shingles(words, width), return_counts=True)
+                    spare = len(words) - width + 1 - positions(len(words), least)
+                    yield pd.DataFrame({"item_key": [key] * len(seeds), "width": np.int32(width), "seed": seeds.view(np.int64), "times": times, "spare": spare})
 
-        return seeded
+    theirs = written(known.mapInPandas(item_seeds, "item_key string, width int, seed bigint, times bigint, spare bigint"))
 
-    # Items have a key of their own: ids may be null or repeated. As when held, of equal shares the smallest id and text win, null last.
-    known = benchmark.select(F.col(item).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
-    known = known.withColumn("key", F.md5(F.to_json(F.struct("item", "text"))))
-    texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    texts = written(texts)
-    mine = texts.mapInPandas(seeds_of(tuple(range(1, LEAST + 1))), "key string, width int, seed bigint")
-    theirs = known.mapInPandas(seeds_of((LEAST,)), "key string, width int, seed bigint").withColumnRenamed("key", "item_key")
-    pairs = mine.join(theirs, ["width", "seed"]).select("key", "item_key").distinct()
-    both = pairs.join(texts, "key").join(known.select(F.col("key").alias("item_key"), "item", F.col("text").alias("item_text")), "item_key")
+    def sieve(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
+        bits = np.zeros(_SIEVE // 8, np.uint8)
+        for pdf in batches:
+            at = pdf["seed"].to_numpy().view(np.uint64) & np.uint64(_SIEVE - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        return {"": bits}
+
+    # Of fixed size: it spares the shuffle most seeds that no item has.
+    bits = docs.sparkSession.sparkContext.broadcast(vector_sums(theirs, sieve, _SIEVE // 8, np.uint8, np.bitwise_or).get("", np.zeros(_SIEVE // 8, np.uint8)))
+
+    def seeds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, words in zip(pdf["fp"], _hashed(pdf["text"].tolist()), strict=True):
+                for width in range(1, min(LEAST, len(words)) + 1):
+                    seeds = np.unique(tokens.shingles(words, width))
+                    at = seeds & np.uint64(_SIEVE - 1)
+                    seeds = seeds[(bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                    if len(seeds):
+                        yield pd.DataFrame({"fp": [key] * len(seeds), "width": np.int32(width), "seed": seeds.view(np.int64)})
+
+    texts = written(docs.select(fingerprint(F.col(text)).alias("fp"), F.col(text).alias("text")).groupBy("fp").agg(F.first("text").alias("text")))
+    mine = written(texts.mapInPandas(seeds_of, "fp binary, width int, seed bigint"))
+    # Of each item the rarest seeds among texts, as many as no text can do without that covers ``least`` of it.
+    often = written(mine.groupBy("width", "seed").agg(F.count(F.lit(1)).alias("often")))
+    order = W.partitionBy("item_key").orderBy("often", "seed").rowsBetween(W.unboundedPreceding, -1)
+    ranked = theirs.join(often, ["width", "seed"], "left").withColumn("before", F.coalesce(F.sum("times").over(order), F.lit(0)))
+    looked_up = written(ranked.where("before <= spare and often is not null").select("item_key", "width", "seed"))
+    pairs = written(mine.join(looked_up, ["width", "seed"]).select("fp", "item_key").distinct())
+    both = pairs.join(texts, "fp").join(known.select("item_key", "item", F.col("text").alias("item_text")), "item_key")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [coverage(a, b) for a, b in zip(_hashed(pdf["text"].tolist()), _hashed(pdf["item_text"].tolist()), strict=True)]
-            yield pdf[["key", "item", "item_text"]].assign(coverage=[f[0] for f in found], tiles=[f[1] for f in found])
+            found = [Benchmark([(None, b)]).judge(a, least) for a, b in zip(_hashed(pdf["text"].tolist()), _hashed(pdf["item_text"].tolist()), strict=True)]
+            yield pdf[["fp", "item", "item_text"]].assign(coverage=[f[1] for f in found], tiles=[f[2] for f in found])
 
-    judged = both.mapInPandas(tile, f"key string, item {kind}, item_text string, coverage double, tiles int")
-    best = judged.where("coverage > 0").groupBy("key").agg(F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item").isNull().alias("none"), "item", "item_text", "coverage", "tiles")).alias("b"))
-    best = best.select(F.col("key").alias("_leak_key"), F.struct("b.item", "b.coverage", "b.tiles").alias("_leak"))
+    judged = both.mapInPandas(tile, f"fp binary, item {kind}, item_text string, coverage double, tiles int")
+    best = judged.where("coverage > 0").groupBy("fp").agg(F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item").isNull().alias("none"), "item", "item_text", "coverage", "tiles")).alias("b"))
+    (key,) = unused(docs, "leak_key")
+    best = written(best.select(F.col("fp").alias(key), F.struct("b.item", "b.coverage", "b.tiles").alias(name)))
     none = F.struct(F.lit(None).cast(kind).alias("item"), F.lit(0.0).alias("coverage"), F.lit(0).alias("tiles"))
-    out = docs.join(best, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_leak_key"), "left")
-    return out.withColumn("_leak", F.coalesce("_leak", none)).drop("_leak_key")
+    out = docs.join(best, fingerprint(F.col(text)) == F.col(key), "left")
+    return out.withColumn(name, F.coalesce(name, none)).drop(key)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of the input: its key, contaminated, item_id, coverage and tiles."""
-    found = leaks(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_text")
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = COVERAGE) -> DataFrame:
+    """One row per row of the input: its key, contaminated, item_id, coverage and tiles (of an item covered at least so much)."""
+    found = leaks(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_leak", "_text", least=least)
     return found.select(F.col("_key").alias(key), (F.col("_leak.coverage") >= COVERAGE).alias("contaminated"), F.col("_leak.item").alias("item_id"), F.col("_leak.coverage").alias("coverage"), F.col("_leak.tiles").alias("tiles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated."""
-    return leaks(docs, benchmark, text).where(F.col("_leak.coverage") < COVERAGE).select(*docs.columns)
+    (name,) = unused(docs, "leak")
+    return leaks(docs, benchmark, name, text).where(F.col(name)["coverage"] < COVERAGE).select(*docs.columns)

@@ -111,7 +111,7 @@ def test_contamination_reordered_short_items_and_both_paths(spark):
     texts = ["lead " + " ".join(items[0]) + " tail", " ".join(turned).upper(), " ".join(prose(88, 200)), " ".join(items[2][:15]), "so Only, three; WORDS here", *ODD]
     rows = docs(spark, texts).withColumn("item_id", F.lit(0)).withColumn("coverage", F.lit(0))
     for held in (decontaminate.HELD_WORDS, 0):
-        found = decontaminate.leaks(rows, bench, held_words=held).select("doc_id", "_leak.*").orderBy("doc_id").collect()
+        found = decontaminate.leaks(rows, bench, "leak", least=0.0, held_words=held).select("doc_id", "leak.*").orderBy("doc_id").collect()
         assert [r.coverage for r in found[:5]] == [1.0, 1.0, 0.0, 0.375, 1.0] and [r["item"] for r in found[:5]] == [0, 1, None, 2, 5]
         assert all(r.coverage == 0 for r in found[5:]) and len(found) == len(texts)
     got = decontaminate.contaminated(rows, bench).where("contaminated").select("doc_id").collect()
@@ -124,10 +124,40 @@ def test_contamination_by_items_without_an_id(spark):
     words = [" ".join(prose(950 + k, 30)) for k in range(3)]
     items = spark.createDataFrame([(None, words[0]), (None, words[1]), (7, words[1]), (7, words[2])], "item_id long, text string")
     rows = docs(spark, [*words, "nothing of them"])
-    held, joined = (sorted(map(tuple, decontaminate.leaks(rows, items, held_words=n).select("doc_id", "_leak.item", "_leak.coverage", "_leak.tiles").collect())) for n in (decontaminate.HELD_WORDS, 0))
+    held, joined = (sorted(map(tuple, decontaminate.leaks(rows, items, "leak", held_words=n).select("doc_id", "leak.item", "leak.coverage", "leak.tiles").collect())) for n in (decontaminate.HELD_WORDS, 0))
     assert joined == held == [(0, None, 1.0, 1), (1, 7, 1.0, 1), (2, 7, 1.0, 1), (3, None, 0.0, 0)]
 
 
+@pytest.mark.parametrize("least", [0.0, decontaminate.COVERAGE])
+def test_both_paths_equal_brute_force(spark, least):
+    """Items that share phrases, repeat, are short, empty or have no id; texts that hold pieces of them in any order."""
+    rng = random.Random(31)
+    phrases = [prose(1300 + k, rng.randrange(2, 9), 60) for k in range(12)]
+    draw = lambda n: [w for _ in range(n) for w in rng.choice(phrases)]
+    items = [(rng.choice([None, k % 9, k]), " ".join(draw(rng.randrange(5)))) for k in range(30)] + [(1, None), (None, None), (2, "!"), (3, "w1"), (3, "w1")]
+    texts = [" ".join(draw(rng.randrange(9)) + prose(k, rng.randrange(6), 60)) for k in range(60)] + [None, "", "W1", items[0][1], items[0][1]]
+    bench, rows = spark.createDataFrame(items, "item_id int, text string"), docs(spark, texts)
+    held, joined = ({r[0]: tuple(r)[1:] for r in decontaminate.leaks(rows, bench, "leak", least=least, held_words=n).select("doc_id", "leak.item", "leak.coverage", "leak.tiles").collect()} for n in (decontaminate.HELD_WORDS, 0))
+    assert held == joined and len(held) == len(texts) and len({v for v in held.values()}) > 5
+    words = lambda t: [h for _, h, _, _ in tokens.each([t])][0]
+    known = sorted({(i is None, i or 0, t or "") for i, t in items})
+    for k, text in enumerate(texts):
+        best = (None, 0.0)
+        for none, i, t in known:
+            share = decontaminate.coverage(words(text), words(t))[0]
+            if share > best[1] and share >= least:
+                best = (None if none else i, share)
+        assert held[k][:2] == best, k
+
+
+def test_a_text_that_covers_an_item_has_enough_of_its_seeds():
+    for n in range(1, 60):
+        for least in (0.0, 0.3, 0.5, 1.0):
+            width, covered = min(decontaminate.LEAST, n), max(min(decontaminate.LEAST, n), int(np.ceil(least * n)))
+            fewest = min(covered - m * (width - 1) for m in range(1, covered // width + 1))
+            assert decontaminate.positions(n, least) == fewest
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return vocabulary()
