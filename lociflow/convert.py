@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 from lociflow.operators import calls
 from lociflow.sources import var, vcf
+from lociflow.sources.shared import upload
 
 MODES = ("TumorOnly",)
 log = logging.getLogger("lociflow")
 
 
-def convert(spark: SparkSession, source: str, target: str | None, reference: str, sample: str, mode: str = "TumorOnly", skip_non_variants: bool = False) -> int:
-    """Convert a file of calls; ``target`` None or ``-`` is standard output. Returns the number of records."""
+def convert(spark: SparkSession, source: str, target: str | None, reference: str, sample: str, mode: str = "TumorOnly", skip_non_variants: bool = False, parts: bool = False) -> int:
+    """Convert a file of calls, or a folder of them. Returns the number of records.
+
+    With ``parts`` executors write a folder of part files to any file system; a path that ends in .gz gives gzipped ones.
+    Without, the records meet in one local file; ``target`` None or ``-`` is standard output.
+    """
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode}")
     contigs = var.read_index(spark, var.index_path(reference))
@@ -29,7 +34,12 @@ def convert(spark: SparkSession, source: str, target: str | None, reference: str
     width = var.first_width(rows)
     records = calls.convert(rows, sample, [c for c, _ in contigs], skip_non_variants, width)
     try:
-        n = vcf.show(records, head) if target in (None, "-") else vcf.save(records, target, head)
+        if target in (None, "-"):
+            n = vcf.show(records, head)
+        elif parts:
+            n = vcf.save_parts(records, target, head, vcf.is_gzip_path(target))
+        else:
+            n = vcf.save(records, target, head)
     except Exception as error:
         raise ValueError(first_problem(rows, sample, [c for c, _ in contigs], skip_non_variants, width) or str(error)) from error
     log.info("Processed %d variant records", n)
@@ -42,9 +52,7 @@ def first_problem(rows: DataFrame, sample: str, contigs: list[str], skip_non_var
     good = typed.where("problem is null")
     if skip_non_variants:
         good = calls.variants_only(good)
-    names = rows.sparkSession.createDataFrame([(c,) for c in contigs], "_contig string").distinct()
-    late = calls.first_of_each(good).join(names, F.col("contig") == F.col("_contig"), "left")
-    bad = late.select("ord", calls.complaint(sample, F.col("_contig").isNotNull()).alias("problem"))
+    bad = calls.complaints(calls.first_of_each(good), sample, contigs).select("ord", "problem")
     row = typed.select("ord", "problem").union(bad).where("problem is not null").agg(F.min_by("problem", "ord")).first()
     return row[0]
 
@@ -56,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-i", "--input", help="file of calls; standard input by default or for -")
     parser.add_argument("-o", "--output", help="VCF file; standard output by default or for -")
     parser.add_argument("-m", "--mode", choices=MODES, default="TumorOnly")
+    parser.add_argument("--parts", action="store_true", help="write a folder of part files, by the executors, instead of one file")
     parser.add_argument("--skip-non-variants", action="store_true", help="leave out rows whose alleles are equal")
     args = parser.parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=os.environ.get("LOCIFLOW_LOG", "INFO").upper(), format="[%(asctime)s %(levelname)s %(name)s] %(message)s")
@@ -68,11 +77,11 @@ def main(argv: list[str] | None = None) -> int:
             spool = tempfile.NamedTemporaryFile(suffix=".var", delete=False)
             with spool:
                 shutil.copyfileobj(sys.stdin.buffer, spool)
-            source = spool.name
+            source = upload(spark, spool.name)
         else:
             log.info("Input file: %s", source)
         log.info("Output stream: STDOUT" if args.output in (None, "-") else "Output file: %s", *([] if args.output in (None, "-") else [args.output]))
-        convert(spark, source, args.output, args.reference, args.sample, args.mode, args.skip_non_variants)
+        convert(spark, source, args.output, args.reference, args.sample, args.mode, args.skip_non_variants, args.parts)
     finally:
         if spool:
             os.unlink(spool.name)

@@ -79,10 +79,11 @@ def decoded(cells: Column) -> list[Column]:
 
 
 def problem(cells: Column) -> Column:
-    """What makes a row undecodable, null for nothing: the first bad field in order of position."""
+    """What makes a row undecodable, null for nothing: the first bad field in order of position. The decoded fields stand
+    beside the cells as columns of their names."""
     checks = []
     for i, (name, kind) in enumerate(schema.FIELDS):
-        cell, value = F.get(cells, F.lit(i)), DECODERS[kind](F.get(cells, F.lit(i)))
+        cell, value = F.get(cells, F.lit(i)), F.col(name)
         bad = value.isNull() & ~(cell == "0") if kind in ("rate", "sv") else value.isNull()
         if i >= schema.REQUIRED:
             bad &= cell.isNotNull()

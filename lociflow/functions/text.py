@@ -16,10 +16,15 @@ def _strip(s: Column) -> Column:
 def general(x: Column) -> Column:
     """A number with six significant digits as C's %g writes it: ties to even, no trailing zeros, exponents where short.
 
-    Whole numbers are common and go first. Others are rounded as decimals, at a scale that comparisons choose, so that
-    a row computes one branch alone.
+    A number whose shortest text has six digits at most is common and goes first: that text is what %g writes. Others are
+    rounded as decimals, at a scale that comparisons choose, so that a row computes one branch alone.
     """
-    x = x.cast("double")
+    short = x.cast("string")
+    plain = F.when(short.endswith(".0"), F.substring(short, 1, F.length(short) - 2)).otherwise(short)
+    return F.when((F.length(short) <= 7) & short.rlike(r"^[0-9]+\.[0-9]+$"), plain).otherwise(_rounded(x.cast("double")))
+
+
+def _rounded(x: Column) -> Column:
     size = F.abs(x)
     decimal = size.try_cast("decimal(38,18)")
     plain = _strip(F.bround(decimal, 0).cast("string"))

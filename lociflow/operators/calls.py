@@ -20,17 +20,18 @@ def with_reference(calls: DataFrame) -> DataFrame:
     return calls.where(F.coalesce(F.get("cells", F.lit(schema.REF_FIELD)), F.lit("")) != "")
 
 
-def decode(calls: DataFrame, width: int | None = None) -> DataFrame:
-    """Typed fields, and ``problem``: what is wrong with the row, null for nothing."""
+def decode(calls: DataFrame, width: int | None = None, *more: str) -> DataFrame:
+    """Typed fields, and ``problem``: what is wrong with the row, null for nothing. ``more`` columns go along."""
+    typed = calls.select("ord", *more, *parse.decoded(F.col("cells")), "cells")  # each field is parsed once
     ragged = F.lit(None).cast("string")
     if width is not None:
         ragged = F.when(F.size("cells") != width, F.concat(F.lit(f"expected {width} fields, found "), F.size("cells").cast("string")))
-    return calls.select("ord", *parse.decoded(F.col("cells")), F.coalesce(ragged, parse.problem(F.col("cells"))).alias("problem"))
+    return typed.withColumn("problem", F.coalesce(ragged, parse.problem(F.col("cells")))).drop("cells")
 
 
 def checked(typed: DataFrame) -> DataFrame:
     """Fails on a row with a problem. The key's start carries the check, so it cannot be pruned from any later plan."""
-    return typed.withColumn("start", F.when(F.col("problem").isNull(), F.col("start")).otherwise(F.raise_error("problem").cast("bigint"))).drop("problem")
+    return typed.withColumn("start", F.when(F.col("problem").isNull(), F.col("start")).otherwise(F.raise_error(F.col("problem")).cast("bigint"))).drop("problem")
 
 
 def variants_only(typed: DataFrame) -> DataFrame:
@@ -50,19 +51,31 @@ def complaint(sample: str, known: Column) -> Column:
     return F.coalesce(wrong, F.when(~known, F.concat(F.lit("Unknown contig: "), F.col("contig"))))
 
 
-def of_sample(typed: DataFrame, sample: str, contigs: Sequence[str]) -> DataFrame:
-    """Fails on a row of another sample, or on a contig that the index does not name. Spark broadcasts the names if small."""
-    names = typed.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(contigs)], "_contig string")
+def complaints(typed: DataFrame, sample: str, contigs: DataFrame | Sequence[str]) -> DataFrame:
+    """Rows with one more column ``problem``: a sample or contig that is wrong. Contigs are a table of names (in its first
+    column) or a list; Spark broadcasts them if they are small."""
+    if not isinstance(contigs, DataFrame):
+        contigs = typed.sparkSession.createDataFrame([(c,) for c in contigs], "name string")
+    names = contigs.select(F.col(contigs.columns[0]).alias("_contig")).distinct()
     joined = typed.join(names, F.col("contig") == F.col("_contig"), "left")
-    bad = complaint(sample, F.col("_contig").isNotNull())
-    return joined.withColumn("start", F.when(bad.isNull(), F.col("start")).otherwise(F.raise_error(bad).cast("bigint"))).drop("_contig")
+    return joined.withColumn("problem", complaint(sample, F.col("_contig").isNotNull())).drop("_contig")
 
 
-def records(typed: DataFrame) -> DataFrame:
-    """The columns of finished records, typed."""
+def of_sample(typed: DataFrame, sample: str, contigs: DataFrame | Sequence[str]) -> DataFrame:
+    """Fails on a row of another sample, or on a contig that the index does not name."""
+    return checked(complaints(typed, sample, contigs))
+
+
+#: What the columns of a record are made of.
+NEEDED = ["contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "base_quality_mean", "mean_mismatches_in_reads", "variant_type", "af", "ref_forward", "ref_reverse", "depth"]
+
+
+def records(typed: DataFrame, *more: str) -> DataFrame:
+    """The columns of finished records, typed. ``more`` columns go along."""
     c = F.col
     return typed.select(
         "ord",
+        *more,
         c("contig").alias("chrom"),
         c("start").alias("pos"),
         c("ref_allele").alias("ref"),
@@ -87,7 +100,7 @@ def line(r: DataFrame) -> Column:
     return F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", general(c("qual")), F.lit("."), info, F.lit(record.FORMAT), values)
 
 
-def convert(calls: DataFrame, sample: str, contigs: Sequence[str], skip_non_variants: bool = False, width: int | None = None) -> DataFrame:
+def convert(calls: DataFrame, sample: str, contigs: DataFrame | Sequence[str], skip_non_variants: bool = False, width: int | None = None) -> DataFrame:
     """Call rows to record columns: skip rows without reference, decode, filter, keep firsts, check, project."""
     typed = decode(with_reference(calls), width)
     if skip_non_variants:

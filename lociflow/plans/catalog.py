@@ -1,7 +1,8 @@
 """Queries by name, and the SQL that gives the same rows.
 
-The driver's tables hold no call rows, so each query derives some from ``lineitem`` (``derived``), as texts where an
-operator parses texts, and applies one operator to all of them. The SQL derives the same rows.
+The driver's tables hold no call rows, so each query derives some from ``lineitem``: as decoded columns where an operator
+takes those, or as the text cells of a file (``cells``). It applies one operator to all of them, or the whole conversion.
+Results are compared row by row: they carry the row's order and line number. The SQL derives the same rows.
 """
 
 from __future__ import annotations
@@ -12,56 +13,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow import schema
+from lociflow.convert import convert
 from lociflow.functions import parse, record
 from lociflow.functions.text import general
 from lociflow.operators import calls
+from lociflow.sources import var, vcf
+from lociflow.sources.shared import scratch
 
 FLAGSHIP = "vcf_line"
 
 LINE_ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+ROW = ["l_orderkey", "l_linenumber"]
 
-#: What the derived rows hold, as SQL that Spark and DuckDB read alike.
-TEXTS = {
+
+def _text(x: str) -> str:
+    return f"cast({x} as varchar(20))"
+
+
+#: A row's cells by field, as SQL that Spark and DuckDB read alike; every field's kind is met with several values.
+CELLS = {
     "sample": "'s1'",
-    "contig": "concat('chr', cast(l_suppkey as varchar(20)))",
-    "start": "cast(l_partkey as bigint)",
-    "end": "cast(l_partkey + l_linenumber - 1 as bigint)",
+    "interval_name": f"concat('g', {_text('l_orderkey % 50')})",
+    "contig": f"concat('chr', {_text('l_suppkey')})",
+    "start": _text("l_partkey"),
+    "end": _text("l_partkey + l_linenumber - 1"),
     "ref_allele": "substr('ACGT', cast(1 + l_linenumber % 4 as int), 1)",
     "alt_allele": "substr('ACGT', cast(1 + l_orderkey % 4 as int), 1)",
-    "depth": "cast(l_quantity as int)",
-    "alt_depth": "cast(l_quantity as int) % 7",
-    "ref_forward": "cast(l_orderkey % 100 as int)",
-    "ref_reverse": "cast(l_partkey % 100 as int)",
-    "af": "cast(l_discount * 10 as float)",
-    "base_quality_mean": "cast(l_tax * 1000 as float)",
-    "mean_mismatches_in_reads": "cast(l_linenumber / 4.0 as float)",
+    "depth": _text("cast(l_quantity as int)"),
+    "alt_depth": _text("cast(l_quantity as int) % 7"),
+    "ref_forward": _text("l_orderkey % 100"),
+    "ref_reverse": _text("l_partkey % 100"),
+    "alt_forward": _text("l_suppkey % 10"),
+    "alt_reverse": _text("l_linenumber"),
+    "gt": "'A/T'",
+    "af": f"concat('0.', {_text('(l_orderkey * 7 + l_linenumber) % 100')})",
+    "strand_bias": f"concat({_text('l_orderkey % 3')}, ';', {_text('l_linenumber % 3')})",
+    "mean_position_in_read": f"concat({_text('l_partkey % 70')}, '.5')",
+    "stdev_position_in_read": "'1'",
+    "base_quality_mean": f"concat({_text('20 + l_orderkey % 20')}, '.', {_text('l_linenumber')})",
+    "stdev_base_stdev": "'1'",
+    "strand_bias_p_value": f"concat('1e-', {_text('l_linenumber')})",
+    "strand_bias_odds_ratio": f"case cast(l_orderkey % 5 as int) when 0 then 'Inf' when 1 then '-Inf' when 2 then '0' when 3 then concat('0.', {_text('1 + l_linenumber')}) else {_text('l_linenumber')} end",
+    "mean_mapping_quality": "'60'",
+    "signal_to_noise": f"concat({_text('l_orderkey % 9')}, '.25')",
+    "af_high_quality_bases": "'0.125'",
+    "af_adjusted": "'0'",
+    "num_bases_3_prime_shift_for_deletions": _text("l_linenumber % 3 - 1"),
+    "microsatellite": "'2.5'",
+    "microsatellite_length": "'1'",
+    "mean_mismatches_in_reads": f"concat({_text('l_linenumber')}, '.', {_text('(l_orderkey * 13 + l_partkey) % 1000')})",
+    "high_quality_variant_reads": _text("l_orderkey % 5"),
+    "high_quality_total_reads": "'50'",
+    "flank_seq_5_prime": "'ACGT'",
+    "flank_seq_3_prime": "''",
+    "segment": f"concat('chr1:', {_text('l_partkey')})",
     "variant_type": "case cast(l_orderkey % 8 as int) when 0 then 'SNV' when 1 then 'DEL' when 2 then 'INV' when 3 then 'DUP' when 4 then 'Deletion' when 5 then '' when 6 then 'BND' else 'INS' end",
-    "odds": "case cast(l_orderkey % 5 as int) when 0 then 'Inf' when 1 then '-Inf' when 2 then '0' when 3 then concat('0.', cast(1 + l_linenumber as varchar(5))) else cast(l_linenumber as varchar(5)) end",
-    "sv": "case cast(l_orderkey % 3 as int) when 0 then '0' when 1 then concat(cast(l_linenumber as varchar(5)), '-', cast(l_suppkey % 9 as varchar(5)), '-2') else concat('1-', cast(l_linenumber as varchar(5)), '-3-9') end",
-    "rate": "case when l_orderkey % 4 = 0 then '0' else concat('0.', cast(l_linenumber as varchar(5))) end",
-    "bias": "concat(cast(l_orderkey % 3 as varchar(5)), ';', cast(l_linenumber % 3 as varchar(5)))",
-    "empty_ref": "case when l_orderkey % 10 = 0 then '' else 'A' end",
-    "who": "case when l_suppkey % 4 = 0 then 's2' else 's1' end",
+    "duplication_rate": f"case when l_orderkey % 4 = 0 then '0' else concat('0.', {_text('l_linenumber')}) end",
+    "sv_info": f"case cast(l_orderkey % 3 as int) when 0 then '0' when 1 then concat({_text('l_linenumber')}, '-', {_text('l_suppkey % 9')}, '-2') else concat('1-', {_text('l_linenumber')}, '-3-9') end",
+    "distance_to_crispr_site": _text("l_suppkey % 100"),
 }
+#: What stands beside the cells: a reference that may be empty, and a sample that may be another.
+MORE = {"empty_ref": "case when l_orderkey % 10 = 0 then '' else 'A' end", "who": "case when l_suppkey % 4 = 0 then 's2' else 's1' end"}
+CAST = {"int": "int", "unsigned": "bigint", "float": "float"}
+#: The decoded columns that need no parser of their own.
+TYPED = {n: f"cast({CELLS[n]} as {CAST[k]})" for n, k in schema.FIELDS if k in CAST}
 KEYED = ", ".join(LINE_ITEM)
-BASE = "SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in TEXTS.items()) + " FROM lineitem"
+BASE = f"SELECT {KEYED}, " + ", ".join(f'{v} AS "{k}"' for k, v in (CELLS | TYPED | MORE).items()) + " FROM lineitem"
+
+
+def _spark(sql: str) -> str:
+    return sql.replace("varchar(20)", "string")
 
 
 def derived(spark: SparkSession, folder: str, *names: str, ordered: bool = False) -> DataFrame:
-    """Call rows; only the named columns, plus ``ord``, which puts all columns of lineitem in order, where asked for."""
+    """The named columns of call rows and ROW, plus ``ord``, which puts all columns of lineitem in order, where asked for."""
     rows = spark.read.parquet(f"{folder}/lineitem.parquet")
-    columns = [F.expr(TEXTS[n].replace("varchar(20)", "string").replace("varchar(5)", "string")).alias(n) for n in names or TEXTS]
     order = [F.struct(*LINE_ITEM).alias("ord")] if ordered else []
-    return rows.select(*order, *columns)
+    return rows.select(*ROW, *order, *[F.expr(_spark((CELLS | TYPED | MORE)[n])).alias(n) for n in names])
 
 
-def tally(rows: DataFrame, *by: str) -> DataFrame:
-    """How often each result occurs: the whole result in a form that compares without a key."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as a reader of files gives them: ord and cells."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    return rows.select(*ROW, F.struct(*LINE_ITEM).alias("ord"), F.array(*[F.expr(_spark(CELLS[n])) for n, _ in schema.FIELDS]).alias("cells"))
 
 
-def _sql_tally(select: str, by: str, where: str = "") -> str:
-    return f"WITH t AS ({BASE}), r AS (SELECT {select} FROM t {where}) SELECT {by}, count(*) AS n FROM r GROUP BY {by}"
+def contigs(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of contigs (name, length): one for each supplier."""
+    return spark.read.parquet(f"{folder}/supplier.parquet").select(F.concat(F.lit("chr"), F.col("s_suppkey").cast("string")).alias("name"), ((F.col("s_suppkey") + 1) * 1000).alias("length"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,86 +111,116 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -
     QUERIES[name], ORACLE_SQL[name] = query, sql
 
 
+def _rows(select: str, where: str = "") -> str:
+    return f"WITH t AS ({BASE}) SELECT l_orderkey, l_linenumber, {select} FROM t {where}"
+
+
 c = F.col
 
-_add("empty_ref_skip", lambda s, d: tally(calls.with_reference(derived(s, d, "contig", "empty_ref").withColumn("cells", F.array(*[F.lit("x")] * schema.REF_FIELD, "empty_ref"))), "contig"), _sql_tally("contig", "contig", "WHERE empty_ref <> ''"))
-_add("skip_non_variants", lambda s, d: tally(calls.variants_only(derived(s, d, "ref_allele", "alt_allele")), "ref_allele", "alt_allele"), _sql_tally("ref_allele, alt_allele", "ref_allele, alt_allele", "WHERE ref_allele <> alt_allele"))
+_add("empty_ref_skip", lambda s, d: calls.with_reference(derived(s, d, "contig", "empty_ref").withColumn("cells", F.array(*[F.lit("x")] * schema.REF_FIELD, "empty_ref"))).drop("cells"), _rows("contig, empty_ref", "WHERE empty_ref <> ''"))
+_add("skip_non_variants", lambda s, d: calls.variants_only(derived(s, d, "ref_allele", "alt_allele")), _rows("ref_allele, alt_allele", "WHERE ref_allele <> alt_allele"))
 
 FIRSTS = f"""
-WITH t AS (SELECT l.*, row_number() OVER (PARTITION BY "contig", "start", ref_allele, alt_allele ORDER BY {KEYED}) AS k FROM (SELECT {KEYED}, {", ".join(f'{v} AS "{n}"' for n, v in TEXTS.items())} FROM lineitem) l)
+WITH t AS (SELECT l.*, row_number() OVER (PARTITION BY contig, "start", ref_allele, alt_allele ORDER BY {KEYED}) AS k FROM ({BASE}) l)
 """
 
 
 def dedupe_first(spark: SparkSession, folder: str) -> DataFrame:
     kept = calls.first_of_each(derived(spark, folder, "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "af", ordered=True))
-    return kept.select("contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", c("af").cast("double").alias("af"))
+    return kept.select(*ROW, "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", c("af").cast("double").alias("af"))
 
 
-_add("dedupe_first", dedupe_first, FIRSTS + 'SELECT contig, "start", "end", ref_allele, alt_allele, alt_depth, af::DOUBLE AS af FROM t WHERE k = 1')
+_add("dedupe_first", dedupe_first, FIRSTS + 'SELECT l_orderkey, l_linenumber, contig, "start", "end", ref_allele, alt_allele, alt_depth, af::DOUBLE AS af FROM t WHERE k = 1')
 
-_add(
-    "sample_match",
-    lambda s, d: tally(derived(s, d, "who", "contig").select(c("who").alias("sample"), "contig").select(F.coalesce(calls.complaint("s1", F.lit(True)), F.lit("ok")).alias("verdict")), "verdict"),
-    _sql_tally("CASE WHEN who <> 's1' THEN 'Expected sample ''s1'' found ''' || who || '''!' ELSE 'ok' END AS verdict", "verdict"),
-)
+SAMPLE_SQL = "CASE WHEN who <> 's1' THEN 'Expected sample ''s1'' found ''' || who || '''!' END"
+_add("sample_match", lambda s, d: derived(s, d, "who", "contig").withColumnRenamed("who", "sample").select(*ROW, calls.complaint("s1", F.lit(True)).alias("problem")), _rows(f"{SAMPLE_SQL} AS problem"))
 
 
 def contig_known(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows whose contig a table of contigs names: half of the suppliers."""
-    known = spark.read.parquet(f"{folder}/supplier.parquet").where("s_suppkey % 2 = 0").select(F.concat(F.lit("chr"), "s_suppkey").alias("contig"))
-    return tally(derived(spark, folder, "contig").join(known, "contig", "left_semi"), "contig")
+    """What is wrong with a row's sample, or with its contig where the index names half of the suppliers."""
+    known = contigs(spark, folder).where("substr(name, 4) % 2 = 0").select("name")
+    return calls.complaints(derived(spark, folder, "who", "contig").withColumnRenamed("who", "sample"), "s1", known).select(*ROW, "contig", "problem")
+
+
+_add("contig_known", contig_known, _rows(f"contig, coalesce({SAMPLE_SQL}, CASE WHEN contig NOT IN (SELECT 'chr' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) THEN 'Unknown contig: ' || contig END) AS problem"))
 
 
-_add("contig_known", contig_known, _sql_tally("contig", "contig", "WHERE contig IN (SELECT 'chr' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"))
+def decode_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields of all rows, typed, from their cells; structs as texts, floats as doubles."""
+    typed = calls.decode(cells(spark, folder), len(schema.FIELDS), *ROW)
+    shown = {"pair": lambda x: parse.show_pair_bias(x), "sv": lambda x: F.when(x.isNotNull(), parse.show_sv_info(x)), **{k: lambda x: x.cast("double") for k in ("float", "odds", "rate")}}
+    return typed.select(*ROW, *[shown.get(k, lambda x: x)(c(n)).alias(n) for n, k in schema.FIELDS], "problem")
 
-_add("pos_end", lambda s, d: derived(s, d, "contig", "start", "end").select(c("contig").alias("chrom"), c("start").alias("pos"), c("end").cast("int").alias("end_pos")), f'WITH t AS ({BASE}) SELECT contig AS chrom, "start" AS pos, CAST("end" AS INT) AS end_pos FROM t')
-_add("alt_for_vcf", lambda s, d: tally(derived(s, d, "ref_allele", "alt_allele").withColumn("alt", record.alt(c("ref_allele"), c("alt_allele"))), "ref_allele", "alt_allele", "alt"), _sql_tally("ref_allele, alt_allele, CASE WHEN ref_allele = alt_allele THEN '.' ELSE alt_allele END AS alt", "ref_allele, alt_allele, alt"))
+
+ODDS_SQL = "CASE {x} WHEN 'Inf' THEN 0 WHEN '-Inf' THEN '-Infinity'::DOUBLE ELSE CAST(CASE WHEN {x}::FLOAT > 0 AND {x}::FLOAT < 1 THEN 1::FLOAT / {x}::FLOAT ELSE {x}::FLOAT END AS DOUBLE) END"
+BIAS_SQL = "CASE split_part({x}, ';', {i}) WHEN '0' THEN 'TooFewReads' WHEN '1' THEN 'Detected' WHEN '2' THEN 'UnDetected' END"
+PAIR_SQL = f"{BIAS_SQL.format(x='strand_bias', i=1)} || ':' || {BIAS_SQL.format(x='strand_bias', i=2)}"
+RATE_SQL = "CASE WHEN duplication_rate <> '0' THEN duplication_rate::FLOAT::DOUBLE END"
+DECODED_SQL = {
+    "text": '"{n}"', "int": '"{n}"', "unsigned": '"{n}"', "float": '"{n}"::DOUBLE', "odds": ODDS_SQL.format(x='"{n}"'), "pair": PAIR_SQL, "rate": RATE_SQL,
+    "sv": "CASE WHEN sv_info <> '0' THEN regexp_extract(sv_info, '^[0-9]+-[0-9]+-[0-9]+') END", "optional": '"{n}"::INT',
+}
+_add("decode_rows", decode_rows, _rows(", ".join(f'{DECODED_SQL[k].replace("{n}", n)} AS "{n}"' for n, k in schema.FIELDS) + ", NULL::VARCHAR AS problem"))
+
+_add("pos_end", lambda s, d: calls.records(derived(s, d, *calls.NEEDED, ordered=True), *ROW).select(*ROW, "chrom", "pos", c("end").alias("end_pos")), _rows('contig AS chrom, "start" AS pos, CAST("end" AS INT) AS end_pos'))
+_add("alt_for_vcf", lambda s, d: derived(s, d, "ref_allele", "alt_allele").withColumn("alt", record.alt(c("ref_allele"), c("alt_allele"))), _rows("ref_allele, alt_allele, CASE WHEN ref_allele = alt_allele THEN '.' ELSE alt_allele END AS alt"))
 QUAL_SQL = "CASE WHEN alt_depth = 0 THEN 0.0::FLOAT ELSE (ln(alt_depth::DOUBLE)::FLOAT / ln(2.0::DOUBLE)::FLOAT)::FLOAT * base_quality_mean END"
-_add("qual", lambda s, d: tally(derived(s, d, "alt_depth", "base_quality_mean").withColumn("qual", F.round(record.qual(c("alt_depth"), c("base_quality_mean")).cast("double"), 3)), "alt_depth", "qual"), _sql_tally(f"alt_depth, round(({QUAL_SQL})::DOUBLE, 3) AS qual", "alt_depth, qual"))
-_add("mean_read_nm", lambda s, d: tally(derived(s, d, "mean_mismatches_in_reads").select(general(c("mean_mismatches_in_reads")).alias("mean_read_nm")), "mean_read_nm"), _sql_tally("printf('%g', mean_mismatches_in_reads::DOUBLE) AS mean_read_nm", "mean_read_nm"))
+_add("qual", lambda s, d: derived(s, d, "alt_depth", "base_quality_mean").select(*ROW, general(record.qual(c("alt_depth"), c("base_quality_mean"))).alias("qual")), _rows(f"printf('%g', ({QUAL_SQL})::DOUBLE) AS qual"))
+_add("mean_read_nm", lambda s, d: derived(s, d, "mean_mismatches_in_reads").select(*ROW, general(c("mean_mismatches_in_reads")).alias("mean_read_nm")), _rows("printf('%g', mean_mismatches_in_reads::DOUBLE) AS mean_read_nm"))
 SVLEN_SQL = """CASE WHEN variant_type IN ('BND', 'CNV', 'DEL', 'DUP', 'INS', 'INV') THEN CASE WHEN variant_type IN ('Deletion', 'DEL') THEN -1 ELSE 1 END * CAST("end" - "start" + 1 AS INT) END"""
 SVTYPE_SQL = "CASE WHEN variant_type IN ('BND', 'CNV', 'DEL', 'DUP', 'INS', 'INV') THEN variant_type END"
 _add(
     "svlen_svtype",
-    lambda s, d: tally(derived(s, d, "start", "end", "variant_type").select("variant_type", record.sv_length(c("start"), c("end"), c("variant_type")).alias("svlen"), record.sv_type(c("variant_type")).alias("svtype"), record.length(c("start"), c("end"), c("variant_type")).alias("length")), "variant_type", "svlen", "svtype", "length"),
-    _sql_tally(f"""variant_type, {SVLEN_SQL} AS svlen, {SVTYPE_SQL} AS svtype, CASE WHEN variant_type IN ('Deletion', 'DEL') THEN -1 ELSE 1 END * CAST("end" - "start" + 1 AS INT) AS length""", "variant_type, svlen, svtype, length"),
+    lambda s, d: derived(s, d, "start", "end", "variant_type").select(*ROW, record.sv_length(c("start"), c("end"), c("variant_type")).alias("svlen"), record.sv_type(c("variant_type")).alias("svtype"), record.length(c("start"), c("end"), c("variant_type")).alias("length")),
+    _rows(f"""{SVLEN_SQL} AS svlen, {SVTYPE_SQL} AS svtype, CASE WHEN variant_type IN ('Deletion', 'DEL') THEN -1 ELSE 1 END * CAST("end" - "start" + 1 AS INT) AS length"""),
 )
 GT_SQL = "CASE WHEN ref_allele = alt_allele OR isnan(af) THEN '0/0' WHEN af > 0.75::FLOAT THEN '1/1' WHEN af > 0.25::FLOAT THEN '0/1' ELSE '0/0' END"
-_add("gt", lambda s, d: tally(derived(s, d, "ref_allele", "alt_allele", "af").withColumn("gt", record.genotype(c("ref_allele"), c("alt_allele"), c("af"))), "ref_allele", "alt_allele", "gt"), _sql_tally(f"ref_allele, alt_allele, {GT_SQL} AS gt", "ref_allele, alt_allele, gt"))
+_add("gt", lambda s, d: derived(s, d, "ref_allele", "alt_allele", "af").select(*ROW, record.genotype(c("ref_allele"), c("alt_allele"), c("af")).alias("gt")), _rows(f"{GT_SQL} AS gt"))
 AD_SQL = "CASE WHEN alt_depth = 0 THEN CAST(ref_forward + ref_reverse AS VARCHAR) ELSE (ref_forward + ref_reverse) || ',' || alt_depth END"
-_add("ad", lambda s, d: tally(derived(s, d, "ref_forward", "ref_reverse", "alt_depth").select(F.concat_ws(",", record.allele_depths(c("ref_forward"), c("ref_reverse"), c("alt_depth")).cast("array<string>")).alias("ad")), "ad"), _sql_tally(f"{AD_SQL} AS ad", "ad"))
-_add("dp_vd", lambda s, d: tally(derived(s, d, "depth", "alt_depth").select(c("depth").alias("dp"), c("alt_depth").alias("vd")), "dp", "vd"), _sql_tally("depth AS dp, alt_depth AS vd", "dp, vd"))
-_add("interval_half_open", lambda s, d: derived(s, d, "contig", "start", "end").select(record.interval(c("contig"), c("start"), c("end")).alias("i")).select("i.contig", c("i.begin").alias("range_begin"), c("i.end").alias("range_end")), f'WITH t AS ({BASE}) SELECT contig, "start" - 1 AS range_begin, "end" AS range_end FROM t')
-_add("odds_ratio", lambda s, d: tally(derived(s, d, "odds").withColumn("ratio", F.round(parse.odds_ratio(c("odds")).cast("double"), 4).cast("string")), "odds", "ratio"), _sql_tally("odds, CASE odds WHEN 'Inf' THEN '0.0' WHEN '-Inf' THEN '-Infinity' ELSE CAST(round(CAST(CASE WHEN odds::FLOAT > 0 AND odds::FLOAT < 1 THEN 1::FLOAT / odds::FLOAT ELSE odds::FLOAT END AS DOUBLE), 4) AS VARCHAR) END AS ratio", "odds, ratio"))
+_add("ad", lambda s, d: derived(s, d, "ref_forward", "ref_reverse", "alt_depth").select(*ROW, F.concat_ws(",", record.allele_depths(c("ref_forward"), c("ref_reverse"), c("alt_depth")).cast("array<string>")).alias("ad")), _rows(f"{AD_SQL} AS ad"))
+_add("dp_vd", lambda s, d: calls.records(derived(s, d, *calls.NEEDED, ordered=True), *ROW).select(*ROW, "dp", "vd"), _rows("depth AS dp, alt_depth AS vd"))
+_add("interval_half_open", lambda s, d: derived(s, d, "contig", "start", "end").select(*ROW, record.interval(c("contig"), c("start"), c("end")).alias("i")).select(*ROW, "i.contig", c("i.begin").alias("range_begin"), c("i.end").alias("range_end")), _rows('contig, "start" - 1 AS range_begin, "end" AS range_end'))
+_add("odds_ratio", lambda s, d: derived(s, d, "strand_bias_odds_ratio").select(*ROW, parse.odds_ratio(c("strand_bias_odds_ratio")).cast("double").alias("ratio")), _rows(f"{ODDS_SQL.format(x='strand_bias_odds_ratio')} AS ratio"))
 _add(
     "sv_info",
-    lambda s, d: tally(derived(s, d, "sv").select("sv", parse.sv_info(c("sv")).alias("i")).select("sv", "i.*"), "sv", "supporting_split_reads", "supporting_pairs", "supporting_clusters"),
-    _sql_tally("sv, CASE WHEN sv <> '0' THEN split_part(sv, '-', 1)::INT END AS supporting_split_reads, CASE WHEN sv <> '0' THEN split_part(sv, '-', 2)::INT END AS supporting_pairs, CASE WHEN sv <> '0' THEN split_part(sv, '-', 3)::INT END AS supporting_clusters", "sv, supporting_split_reads, supporting_pairs, supporting_clusters"),
+    lambda s, d: derived(s, d, "sv_info").select(*ROW, parse.sv_info(c("sv_info")).alias("i")).select(*ROW, "i.*"),
+    _rows(", ".join(f"CASE WHEN sv_info <> '0' THEN split_part(sv_info, '-', {i})::INT END AS supporting_{n}" for i, n in enumerate(("split_reads", "pairs", "clusters"), 1))),
 )
-_add("dup_rate", lambda s, d: tally(derived(s, d, "rate").withColumn("value", parse.duplication_rate(c("rate")).cast("double")), "rate", "value"), _sql_tally("rate, CASE WHEN rate <> '0' THEN rate::FLOAT::DOUBLE END AS value", "rate, value"))
-BIAS_SQL = "CASE split_part(bias, ';', {i}) WHEN '0' THEN 'TooFewReads' WHEN '1' THEN 'Detected' WHEN '2' THEN 'UnDetected' END"
-_add("pair_bias", lambda s, d: tally(derived(s, d, "bias").select("bias", parse.show_pair_bias(parse.pair_bias(c("bias"))).alias("shown")), "bias", "shown"), _sql_tally(f"bias, {BIAS_SQL.format(i=1)} || ':' || {BIAS_SQL.format(i=2)} AS shown", "bias, shown"))
+_add("dup_rate", lambda s, d: derived(s, d, "duplication_rate").select(*ROW, parse.duplication_rate(c("duplication_rate")).cast("double").alias("value")), _rows(f"{RATE_SQL} AS value"))
+_add("pair_bias", lambda s, d: derived(s, d, "strand_bias").select(*ROW, parse.show_pair_bias(parse.pair_bias(c("strand_bias"))).alias("shown")), _rows(f"{PAIR_SQL} AS shown"))
+
+LINE_SQL = f"""contig || chr(9) || "start" || chr(9) || '.' || chr(9) || ref_allele || chr(9) || alt_allele || chr(9) || printf('%g', ({QUAL_SQL})::DOUBLE) || chr(9) || '.' || chr(9)
+  || 'END=' || "end" || ';MEAN_READ_NM=' || printf('%g', mean_mismatches_in_reads::DOUBLE) || coalesce(';SVLEN=' || ({SVLEN_SQL}) || ';SVTYPE=' || ({SVTYPE_SQL}), '') || chr(9) || 'GT:AD:DP:VD' || chr(9)
+  || {GT_SQL} || ':' || {AD_SQL} || ':' || depth || ':' || alt_depth"""
+VARIANT_SQL = f"""
+WITH v AS (SELECT l.*, row_number() OVER (PARTITION BY contig, "start", ref_allele, alt_allele ORDER BY {KEYED}) AS k FROM ({BASE}) l WHERE ref_allele <> alt_allele)
+"""
 
 
 def vcf_line(spark: SparkSession, folder: str) -> DataFrame:
-    """Firsts of all keys among the variants, as record lines. (Qualities that are whole print alike everywhere.)"""
-    rows = derived(spark, folder, ordered=True).withColumn("base_quality_mean", F.when(c("alt_depth").isin(1, 2, 4), c("base_quality_mean")).otherwise(F.lit(0).cast("float")))
-    out = calls.records(calls.first_of_each(calls.variants_only(rows)))
+    """The whole conversion of variants, from text cells to finished lines: decode, filter, firsts, checks, projection."""
+    out = calls.convert(cells(spark, folder), "s1", contigs(spark, folder).select("name"), skip_non_variants=True, width=len(schema.FIELDS))
     return out.select("chrom", "pos", calls.line(out).alias("line"))
 
 
+_add("vcf_line", vcf_line, VARIANT_SQL + f'SELECT contig AS chrom, "start" AS pos, {LINE_SQL} AS line FROM v WHERE k = 1')
+
+
+def convert_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows written as text files and converted from there to part files: every line of the result."""
+    work = scratch(spark)
+    lines = cells(spark, folder).select("ord", F.array_join("cells", "\t").alias("value")).orderBy("ord").select("value")
+    lines.write.text(f"{work}/calls")
+    contigs(spark, folder).select(F.concat_ws("\t", "name", c("length").cast("string"), F.lit("0"), F.lit("60"), F.lit("61")).alias("value")).write.text(f"{work}/ref.fa.fai")
+    convert(spark, f"{work}/calls", f"{work}/vcf", f"{work}/ref.fa", "s1", skip_non_variants=True, parts=True)
+    return vcf.read_lines(spark, f"{work}/vcf").select(F.regexp_replace("value", "^##reference=.*/", "##reference=").alias("line"))
+
+
 _add(
-    "vcf_line",
-    vcf_line,
-    f"""
-WITH v AS (SELECT l.*, row_number() OVER (PARTITION BY contig, "start", ref_allele, alt_allele ORDER BY {KEYED}) AS k
-  FROM (SELECT {KEYED}, {", ".join(f'{v} AS "{n}"' for n, v in TEXTS.items() if n != "base_quality_mean")}, CASE WHEN cast(l_quantity as int) % 7 IN (1, 2, 4) THEN {TEXTS["base_quality_mean"]} ELSE 0::FLOAT END AS base_quality_mean FROM lineitem) l
-  WHERE ref_allele <> alt_allele)
-SELECT contig AS chrom, "start" AS pos, contig || chr(9) || "start" || chr(9) || '.' || chr(9) || ref_allele || chr(9) || alt_allele || chr(9) || printf('%g', ({QUAL_SQL})::DOUBLE) || chr(9) || '.' || chr(9)
-  || 'END=' || "end" || ';MEAN_READ_NM=' || printf('%g', mean_mismatches_in_reads::DOUBLE) || coalesce(';SVLEN=' || ({SVLEN_SQL}) || ';SVTYPE=' || ({SVTYPE_SQL}), '') || chr(9) || 'GT:AD:DP:VD' || chr(9)
-  || {GT_SQL} || ':' || {AD_SQL} || ':' || depth || ':' || alt_depth AS line
-FROM v WHERE k = 1
-""",
-)
-_add("contig_header", lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select(F.format_string("##contig=<ID=chr%d,length=%d>", "s_suppkey", (c("s_suppkey") + 1) * 1000).alias("header")), "SELECT '##contig=<ID=chr' || s_suppkey || ',length=' || ((s_suppkey + 1) * 1000) || '>' AS header FROM supplier")
-_add("processed_count", lambda s, d: calls.first_of_each(derived(s, d, "contig", "start", "ref_allele", "alt_allele", ordered=True)).agg(F.count(F.lit(1)).alias("processed")), FIRSTS + "SELECT count(*) AS processed FROM t WHERE k = 1")
+    "convert_file",
+    convert_file,
+    VARIANT_SQL + f"SELECT {LINE_SQL} AS line FROM v WHERE k = 1 UNION ALL SELECT '##contig=<ID=chr' || s_suppkey || ',length=' || ((s_suppkey + 1) * 1000) || '>' FROM supplier UNION ALL SELECT unnest(["
+    + ", ".join("'" + x.replace("'", "''") + "'" for x in vcf.header("s1", [], "ref.fa")) + "])",
+)
+_add("contig_header", lambda s, d: contigs(s, d).select(vcf.contig_column(c("name"), c("length")).alias("header")), "SELECT '##contig=<ID=chr' || s_suppkey || ',length=' || ((s_suppkey + 1) * 1000) || '>' AS header FROM supplier")
+_add("processed_count", lambda s, d: calls.convert(cells(s, d), "s1", contigs(s, d).select("name"), width=len(schema.FIELDS)).agg(F.count(F.lit(1)).alias("processed")), FIRSTS + "SELECT count(*) AS processed FROM t WHERE k = 1")

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from lociflow import schema
 
 
+#: A field with the tab before it, and what stands inside and behind the quotes of a quoted one.
+FIELD = r'\t("[^"]*(?:""[^"]*)*"[^\t]*|[^\t]*)'
+QUOTED = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
+
+
 def cells(value: Column) -> Column:
-    """A line's fields. Empty fields stay empty texts; quotes enclose a field and double inside it."""
-    many = ", ".join(f"c{i} string" for i in range(len(schema.FIELDS) + 25))
-    quoted = F.from_csv(value, many, {"sep": "\t", "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": ""})
-    width = F.size(F.split(F.regexp_replace(value, r'(?<=^|\t)"(?:[^"]|"")*"', "q"), "\t", -1))
-    parts = F.slice(F.array(*[F.coalesce(quoted[f"c{i}"], F.lit("")) for i in range(len(schema.FIELDS) + 25)]), 1, width)
-    return F.when(value.contains('"'), parts).otherwise(F.split(value, "\t", -1))
+    """A line's fields. Empty fields stay empty texts; quotes enclose a field and double inside it. Line ends always end a
+    row, also within quotes."""
+    fields = F.regexp_extract_all(F.concat(F.lit("\t"), value), F.lit(FIELD), F.lit(1))
+    inside = lambda f: F.concat(F.replace(F.regexp_extract(f, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(f, QUOTED, 2))
+    return F.when(value.contains('"'), F.transform(fields, lambda f: F.when(f.rlike(QUOTED), inside(f)).otherwise(f))).otherwise(F.split(value, "\t", -1))
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:

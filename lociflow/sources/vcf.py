@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import logging
 import os
-import shutil
 import struct
 import sys
 import uuid
@@ -12,7 +12,8 @@ import zlib
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import lociflow
@@ -40,10 +41,20 @@ COLUMNS = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMA
 #: An empty block ends a block-gzipped file.
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BGZF_BLOCK = 0xFF00
+#: Records after which progress is logged again.
+PROGRESS = 100_000
+log = logging.getLogger("lociflow")
+
+
+CONTIG = "##contig=<ID=%s,length=%s>"
 
 
 def contig_line(name: str, length: int) -> str:
-    return f"##contig=<ID={name},length={length}>"
+    return CONTIG % (name, length)
+
+
+def contig_column(name: Column, length: Column) -> Column:
+    return F.format_string(CONTIG, name, length)
 
 
 def reference_line(fasta: str) -> str:
@@ -68,7 +79,7 @@ def lines(records: DataFrame) -> DataFrame:
 
 
 def bgzf(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """Block-gzip: gzip members that carry their own size, ended by an empty one."""
+    """Block-gzip: gzip members that carry their own size. BGZF_END is to end the file."""
     held = b""
     for chunk in chunks:
         held += chunk
@@ -77,7 +88,6 @@ def bgzf(chunks: Iterable[bytes]) -> Iterator[bytes]:
             held = held[BGZF_BLOCK:]
     if held:
         yield _block(held)
-    yield BGZF_END
 
 
 def _block(data: bytes) -> bytes:
@@ -87,52 +97,75 @@ def _block(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def save_parts(records: DataFrame, path: str, head: list[str]) -> None:
-    """Executors write the lines as part files in order; a file of its own, sorting first, holds the header."""
-    lines(records).write.mode("errorifexists").text(path)
-    with open(os.path.join(path, "header.vcf"), "w", encoding="utf-8") as out:
-        out.write("".join(f"{x}\n" for x in head))
+def told(before: int, after: int) -> None:
+    """Log every further PROGRESS records."""
+    for n in range(before // PROGRESS + 1, after // PROGRESS + 1):
+        log.info("Processed %d variant records", n * PROGRESS)
 
 
-def save(records: DataFrame, path: str, head: list[str]) -> int:
-    """One file, and its number of records: executors write the lines beside it, and header and parts are joined and moved into place. It appears
-    whole or not at all; a path that ends in .gz is block-gzipped."""
-    beside = f"{path}.{uuid.uuid4().hex}"
+def save_parts(records: DataFrame, path: str, head: list[str], compress: bool = False) -> int:
+    """Executors write part files into a folder of any file system, in order, the header first; the number of records."""
+    spark = records.sparkSession
+    first = spark.createDataFrame(list(enumerate(head)), "place int, value string")
+    body = records.select("ord", line(records).alias("value"))
+    seen = Observation()
+    both = first.select("place", F.lit(None).cast(body.schema["ord"].dataType).alias("ord"), "value").union(body.select(F.lit(None).cast("int"), "ord", "value"))
+    # Counted after the sort, whose sampling runs what is below it twice.
+    ordered = both.orderBy(F.asc_nulls_last("place"), "ord").observe(seen, F.count_if(F.col("place").isNull()).alias("n"))
+    ordered.select("value").write.mode("errorifexists").option("compression", "gzip" if compress else "none").text(path)
+    return seen.get["n"]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder of part files, header included."""
+    return spark.read.text(path)
+
+
+def _packed(records: DataFrame, gzip: bool) -> DataFrame:
+    """(data, n): the records' lines in order, as bytes for a file, compressed by the executors where asked for."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = "".join(f"{x}\n" for x in pdf["value"]).encode()
+            yield pd.DataFrame({"data": [b"".join(bgzf([text])) if gzip else text], "n": [len(pdf)]})
+
+    return lines(records).mapInPandas(pack, "data binary, n bigint")
+
+
+def _sent(packed: DataFrame, out: BinaryIO, head: list[str], gzip: bool) -> int:
+    """Header and packed lines to a stream, one partition at a time; the number of lines. Nothing goes out if a row is bad."""
+    done = packed.persist()
     try:
-        lines(records).write.text(f"{beside}.parts")
+        done.count()
+        text = "".join(f"{x}\n" for x in head).encode()
+        out.write(b"".join(bgzf([text])) if gzip else text)
         count = 0
-        parts = sorted(x for x in os.listdir(f"{beside}.parts") if x.startswith("part-"))
-
-        def chunks() -> Iterator[bytes]:
-            nonlocal count
-            yield "".join(f"{x}\n" for x in head).encode()
-            for part in parts:
-                with open(f"{beside}.parts/{part}", "rb") as data:
-                    while block := data.read(1 << 20):
-                        count += block.count(b"\n")
-                        yield block
-
-        with open(f"{beside}.new", "wb") as out:
-            for block in bgzf(chunks()) if is_gzip_path(path) else chunks():
-                out.write(block)
-        os.replace(f"{beside}.new", path)
+        for row in done.toLocalIterator():
+            out.write(row["data"])
+            told(count, count + row["n"])
+            count += row["n"]
+        if gzip:
+            out.write(BGZF_END)
+        out.flush()
         return count
     finally:
-        shutil.rmtree(f"{beside}.parts", ignore_errors=True)
-        with contextlib.suppress(FileNotFoundError):
-            os.remove(f"{beside}.new")
+        done.unpersist()
 
 
-def show(records: DataFrame, head: list[str], out: BinaryIO | None = None) -> int:
-    """Header and lines to standard output, one partition at a time; the number of lines. Nothing is printed if a row is bad."""
-    out = out or sys.stdout.buffer
-    done = lines(records).persist()
+def save(records: DataFrame, path: str, head: list[str]) -> int:
+    """One local file, and its number of records: for outputs that one disk takes. It appears whole or not at all; a path
+    that ends in .gz is block-gzipped."""
+    beside = f"{path}.{uuid.uuid4().hex}"
     try:
-        count = done.count()
-        out.write("".join(f"{x}\n" for x in head).encode())
-        for row in done.toLocalIterator():
-            out.write(row["value"].encode() + b"\n")
-        out.flush()
+        with open(beside, "wb") as out:
+            count = _sent(_packed(records, is_gzip_path(path)), out, head, is_gzip_path(path))
+        os.replace(beside, path)
         return count
     finally:
-        done.unpersist()
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(beside)
+
+
+def show(records: DataFrame, head: list[str], out: BinaryIO | None = None) -> int:
+    """The same to standard output."""
+    return _sent(_packed(records, False), out or sys.stdout.buffer, head, False)

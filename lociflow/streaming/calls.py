@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,8 +24,11 @@ def read_stream(spark: SparkSession, folder: str, files_at_once: int | None = No
     return reader.load(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], skip_non_variants: bool = False) -> StreamingQuery:
-    """Process what has arrived: record lines go to ``folder/records``, a folder for each micro-batch.
+def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], skip_non_variants: bool = False, every: str | None = None) -> StreamingQuery:
+    """Record lines go to ``folder/records``, a folder for each micro-batch. Without ``every`` the query ends when it has
+    processed what has arrived; with it (``10 seconds``) it goes on.
+
+    All rows must have as many fields as the stream's first one; that number is kept in ``folder/width``.
 
     Rows have no event time, so the keys of all records stay known, in ``folder/keys``; a row whose key an earlier batch
     had is dropped before its sample and contig are checked, as a later duplicate in one file is. A batch that is run
@@ -31,11 +36,21 @@ def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], sk
     """
     spark = lines.sparkSession
     names = list(contigs)
+    known_width: list[int] = []
+
+    def width(rows: DataFrame) -> int | None:
+        if not known_width:
+            with contextlib.suppress(AnalysisException):  # the stream's first rows
+                known_width.extend(r["width"] for r in spark.read.schema("width int").json(f"{folder}/width").collect())
+        if not known_width and (found := var.first_width(rows)) is not None:
+            spark.createDataFrame([(found,)], "width int").coalesce(1).write.mode("overwrite").json(f"{folder}/width")
+            known_width.append(found)
+        return known_width[0] if known_width else None
 
     def batch(df: DataFrame, number: int) -> None:
         order = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
         rows = df.where("value != ''").select(order.alias("ord"), var.cells(F.regexp_replace("value", "\r$", "")).alias("cells"))
-        typed = calls.decode(calls.with_reference(rows))
+        typed = calls.decode(calls.with_reference(rows), width(rows))
         if skip_non_variants:
             typed = calls.variants_only(typed)
         fresh = calls.first_of_each(calls.checked(typed))
@@ -50,4 +65,4 @@ def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], sk
         finally:
             fresh.unpersist()
 
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

@@ -189,7 +189,33 @@ def test_command_line(spark, files, monkeypatch, capfdbinary):
 
 def test_parts(spark, files):
     files(spark, row(), row(start=5))
-    rows = calls.convert(var.read_calls(spark, str(files.folder / "in.var")), SAMPLE, ["chr1"])
-    vcf.save_parts(rows, str(files.folder / "parts"), ["##head"])
-    lines = [x for p in sorted((files.folder / "parts").glob("part-*")) for x in p.read_text().splitlines()]
-    assert [x.split("\t")[1] for x in lines] == ["100", "5"] and (files.folder / "parts/header.vcf").read_text() == "##head\n"
+    reference = str(files.folder / "ref.fa")
+    whole = (files.folder / "out.vcf").read_text()
+    for target, read in (("parts", lambda p: p.read_text()), ("parts.gz", lambda p: gzip.decompress(p.read_bytes()).decode())):
+        assert convert(spark, str(files.folder / "in.var"), str(files.folder / target), reference, SAMPLE, parts=True) == 2
+        assert "".join(read(p) for p in sorted((files.folder / target).glob("part-*"))) == whole
+    with pytest.raises(ValueError, match="Expected sample"):
+        files(spark, row(sample="other"), target="more", parts=True)
+
+
+def test_progress(caplog):
+    with caplog.at_level("INFO", "lociflow"):
+        vcf.told(0, 99_999)
+        vcf.told(99_999, 250_000)
+        vcf.told(250_000, 299_999)
+    assert [r.getMessage() for r in caplog.records] == [f"Processed {n} variant records" for n in (100_000, 200_000)]
+
+
+def test_cells_of_quoted_and_wide_lines(spark):
+    cases = {"a\tb": ["a", "b"], "\ta\t": ["", "a", ""], 'x\t"q""r\ts"\t': ["x", 'q"r\ts', ""], '"a"b\tc"d': ["ab", 'c"d'], '""\t"': ["", '"'], "\t".join(["v"] * 100 + ['"w"']): ["v"] * 100 + ["w"], '"' + "x" * 100_000 + '"': ["x" * 100_000]}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, value string").select("i", var.cells(F.col("value")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == list(cases.values())
+
+
+def test_general_text_of_floats(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = [float(np.float32(x)) for x in [*rng.random(300), *(rng.random(300) * 1e6), *10.0 ** rng.uniform(-9, 12, 300), *np.arange(0, 40, 0.25), 0.001, 0.0001, 1e7, 123456.0, 1234567.0, 99999.95]]
+    df = spark.createDataFrame([(v,) for v in values], "x float").select(general(F.col("x")).alias("t"))
+    assert [r.t for r in df.collect()] == ["%g" % v for v in values]

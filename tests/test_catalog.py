@@ -34,16 +34,19 @@ def test_against_sql(spark, name):
     assert want
 
 
-def test_entry_imports_without_the_optional_folder(monkeypatch):
+@pytest.mark.parametrize("missing", ["lociflow.llm", "lociflow.llm.registry", "corpus_pipeline"])
+def test_entry_imports_without_the_optional_folder(monkeypatch, missing):
     import importlib
-    import importlib.util
+    import sys
 
     import __spark_entry__ as entry
 
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else real(name, *a))
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("lociflow.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)  # importing it raises
     again = importlib.reload(entry)
-    assert set(again.queries()) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(again.queries()) and "pipeline" not in again.queries()
+    assert set(again.oracle_sql()) <= set(again.queries())
     monkeypatch.undo()
     importlib.reload(entry)
 

@@ -28,3 +28,27 @@ def test_bad_row_fails_the_stream(spark, tmp_path):
     (source / "a.var").write_text(row(sample="other") + "\n")
     with pytest.raises(Exception, match="Expected sample"):
         start(read_stream(spark, str(source)), str(tmp_path / "out"), SAMPLE, ["chr1"]).awaitTermination()
+
+
+def test_rows_of_another_width_fail_the_stream(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.var").write_text(row() + "\n")
+    start(read_stream(spark, str(source)), out, SAMPLE, ["chr1"]).awaitTermination()
+    (source / "b.var").write_text(row(start=5, width=37) + "\n")
+    with pytest.raises(Exception, match="expected 39 fields, found 37|expected 38 fields, found 37"):
+        start(read_stream(spark, str(source)), out, SAMPLE, ["chr1"]).awaitTermination()
+
+
+def test_a_stream_goes_on(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.var").write_text(row() + "\n")
+    query = start(read_stream(spark, str(source)), out, SAMPLE, ["chr1"], every="0 seconds")
+    try:
+        query.processAllAvailable()
+        (source / "b.var").write_text(row(start=5) + "\n" + row() + "\n")
+        query.processAllAvailable()
+        assert query.isActive and spark.read.text(f"{out}/records").count() == 2
+    finally:
+        query.stop()
