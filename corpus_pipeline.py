@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_scan
-from lociflow.llm.common import fold, table, written
+from lociflow.llm.common import fold, swept, table, written
 from lociflow.llm.registry import vocabulary
 
 
 def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a known language go on; those that language identification rejects, as they hold no letter, go."""
+    """Documents in a language go on; those that language identification rejects, as they hold no letter, go."""
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 5) != 0))
-    return docs.where(language_id.predicted(model, F.col("text"))["lang_pred"] != language_id.UNKNOWN)
+    return language_id.kept(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
+    """All stages over documents, each written and read again before the next; a stage's scratch tables go with it."""
     docs = table(spark, folder, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, folder))
+    for _, stage in STAGES[:-1]:
+        with swept(spark):
+            docs = written(stage(spark, docs, folder), lasting=True)
     return STAGES[-1][1](spark, docs, folder)
