@@ -1,18 +1,21 @@
 """Licence recognition from sentences, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, only letters and digits, single blanks) and looked up
-among known licence sentences. What a text holds is then a sequence of sentence identifiers. Ordered rules, more
-specific ones first, each match a sequence of consecutive identifiers; what a rule has matched is taken, so that no
-later rule uses it again. Identifiers that no rule takes are reported as unmatched.
-
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at blank lines; other line ends count as blanks, except
-that a line that is a known heading is a sentence of its own. Edge cases: null counts as the empty text; texts without
-a known sentence have empty strings and no licence. Rows are judged one by one: repeated rows get equal results, other
-columns play no part, an empty table gives no rows.
+A text is normalised (lower case, only letters and digits, single blanks) and known licence sentences are sought in it.
+A known sentence may begin wherever a sentence or a line begins, and end wherever one ends; line ends, with the comment
+signs and white space around them, may stand between any two of its words. So it is found plain, re-wrapped, behind
+``#``, ``//`` or ``*``, and next to lines that end without a full stop. What a text holds is then a sequence of sentence
+identifiers. Ordered rules, more specific ones first, each match a sequence of consecutive identifiers; what a rule has
+matched is taken, so that no later rule uses it again. Identifiers that no rule takes are reported as unmatched.
+
+Sentences end at ``.``, ``!`` or ``?`` before white space, lines at line ends; ``:`` and ``;`` before a blank count as line ends. Edge cases: null counts as the empty
+text; texts without a known sentence have empty strings and no licence. Rows are judged one by one: repeated rows get
+equal results, other columns play no part, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,67 +28,134 @@ SENTENCES = {
     "NO_LIABILITY": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
     "APACHE2_SHORT": ["licensed under the apache license version 2 0", "licensed under the apache license 2 0", "released under the apache license version 2 0"],
     "APACHE2_GRANT": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"],
-    "APACHE2_COPY": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "APACHE2_COPY": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
     "APACHE2_AS_IS": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "APACHE2_SEE": ["see the license for the specific language governing permissions and limitations under the license"],
     "GPL3_SHORT": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
+    "GPL2_SHORT": ["licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
     "GPL_FREE": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "GPL2_FREE": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "GPL_NO_WARRANTY": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "AGPL3_FREE": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "LGPL21_FREE": [f"this {x} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version" for x in ("library", "program")],
+    "LGPL3_FREE": [f"this {x} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version" for x in ("library", "program")],
+    "GPL_NO_WARRANTY": [f"this {x} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose" for x in ("program", "library")],
     "GPL_SEE": ["see the gnu general public license for more details"],
-    "CC_BY_NC4": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "CC_BY4": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "AGPL_SEE": ["see the gnu affero general public license for more details"],
+    "LGPL_SEE": ["see the gnu lesser general public license for more details"],
+    "CC_BY4": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "this work is licensed under the creative commons attribution 4 0 international license"],
     "CC_BY_SA4": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "CC_BY_ND4": ["licensed under cc by nd 4 0", "this work is licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "CC_BY_NC4": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "CC_BY_NC_SA4": ["licensed under cc by nc sa 4 0", "this work is licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CC_BY_NC_ND4": ["licensed under cc by nc nd 4 0", "this work is licensed under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
     "CC0": ["this work is dedicated to the public domain under cc0 1 0", "licensed under cc0 1 0"],
     "BSD_GRANT": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "BSD_SOURCE": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "BSD_BINARY": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "BSD_NAME": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BSD_AS_IS": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "BSD_NO_LIABILITY": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"],
+    "ISC_GRANT": [f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("or ", "")],
+    "ISC_AS_IS": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "ISC_NO_LIABILITY": ["in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "ZLIB_AS_IS": ["this software is provided as is without any express or implied warranty"],
+    "ZLIB_NO_LIABILITY": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "ZLIB_GRANT": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "UNLICENSE_FREE": ["this is free and unencumbered software released into the public domain"],
+    "UNLICENSE_GRANT": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "BSL_GRANT": ["distributed under the boost software license version 1 0"],
+    "EPL2": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "ARTISTIC2": ["this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"],
     "MPL2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "MPL2_COPY": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
     "RESERVED": ["all rights reserved"],
 }
+#: Licences that a tag line may name.
+TAGS = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "BSL-1.0", "EPL-2.0", "Artistic-2.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+SENTENCES |= {f"TAG_{tag}": [f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', tag.lower())}"] for tag in TAGS}
 #: Ordered rules: (licence, identifiers in a row).
 RULES = [
     ("MIT", ["MIT_GRANT", "MIT_NOTICE", "AS_IS", "NO_LIABILITY"]),
     ("MIT", ["MIT_GRANT", "MIT_NOTICE", "AS_IS"]),
     ("MIT", ["MIT_GRANT", "MIT_NOTICE"]),
+    ("BSL-1.0", ["BSL_GRANT"]),
+    ("Apache-2.0", ["APACHE2_GRANT", "APACHE2_COPY", "APACHE2_AS_IS", "APACHE2_SEE"]),
     ("Apache-2.0", ["APACHE2_GRANT", "APACHE2_COPY", "APACHE2_AS_IS"]),
     ("Apache-2.0", ["APACHE2_SHORT", "APACHE2_GRANT"]),
     ("Apache-2.0", ["APACHE2_GRANT"]),
+    ("AGPL-3.0-or-later", ["AGPL3_FREE", "GPL_NO_WARRANTY", "AGPL_SEE"]),
+    ("AGPL-3.0-or-later", ["AGPL3_FREE"]),
+    ("LGPL-3.0-or-later", ["LGPL3_FREE", "GPL_NO_WARRANTY", "LGPL_SEE"]),
+    ("LGPL-3.0-or-later", ["LGPL3_FREE"]),
+    ("LGPL-2.1-or-later", ["LGPL21_FREE", "GPL_NO_WARRANTY", "LGPL_SEE"]),
+    ("LGPL-2.1-or-later", ["LGPL21_FREE"]),
     ("GPL-3.0-or-later", ["GPL_FREE", "GPL_NO_WARRANTY", "GPL_SEE"]),
     ("GPL-3.0-or-later", ["GPL_FREE"]),
     ("GPL-2.0-or-later", ["GPL2_FREE", "GPL_NO_WARRANTY", "GPL_SEE"]),
     ("GPL-2.0-or-later", ["GPL2_FREE"]),
+    ("BSD-3-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME", "BSD_AS_IS", "BSD_NO_LIABILITY"]),
     ("BSD-3-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"]),
+    ("BSD-2-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_AS_IS", "BSD_NO_LIABILITY"]),
     ("BSD-2-Clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
+    ("ISC", ["ISC_GRANT", "ISC_AS_IS", "ISC_NO_LIABILITY"]),
+    ("ISC", ["ISC_GRANT"]),
+    ("Zlib", ["ZLIB_AS_IS", "ZLIB_NO_LIABILITY", "ZLIB_GRANT"]),
+    ("Zlib", ["ZLIB_GRANT"]),
+    ("Unlicense", ["UNLICENSE_FREE", "UNLICENSE_GRANT"]),
+    ("Unlicense", ["UNLICENSE_FREE"]),
+    ("MPL-2.0", ["MPL2", "MPL2_COPY"]),
     ("MPL-2.0", ["MPL2"]),
+    ("EPL-2.0", ["EPL2"]),
+    ("Artistic-2.0", ["ARTISTIC2"]),
     ("MIT", ["MIT_SHORT"]),
     ("Apache-2.0", ["APACHE2_SHORT"]),
     ("GPL-3.0", ["GPL3_SHORT"]),
+    ("GPL-2.0", ["GPL2_SHORT"]),
+    ("CC-BY-NC-SA-4.0", ["CC_BY_NC_SA4"]),
+    ("CC-BY-NC-ND-4.0", ["CC_BY_NC_ND4"]),
     ("CC-BY-NC-4.0", ["CC_BY_NC4"]),
     ("CC-BY-SA-4.0", ["CC_BY_SA4"]),
+    ("CC-BY-ND-4.0", ["CC_BY_ND4"]),
     ("CC-BY-4.0", ["CC_BY4"]),
     ("CC0-1.0", ["CC0"]),
+    *[(tag, [f"TAG_{tag}"]) for tag in TAGS],
     ("Proprietary", ["RESERVED"]),
 ]
-#: Lines that stand alone as a heading; a sentence starts after them.
-HEADING = r"(?im)^[ \t]*(?:the )?(?:mit license|apache license|bsd (?:2|3)-clause license|gnu general public license|copyright [^\n]*)(?: \(mit\))?[ \t]*$"
-BREAK = r"[.!?]+\s+|\n\s*\n"
-OTHER = r"[^a-z0-9]+"
+#: Every known sentence holds one of these within a word; texts without any are not looked at further.
+STEMS = ["licen", "permission", "warrant", "liab", "copyright", "redistribut", "domain", "reserved", "software", "mpl"]
+#: Sentence ends and line ends (or what stands like them after a colon) become one character each, everything but letters and digits a blank.
+STOP, LINE = r"[.!?]+[\x22\x27)\]]*[ \t\r\n\f]+", r"[\r\n]+|[:;][ \t]+"
+OTHER = r"[^a-z0-9\x01\x02]+"
+#: Words that begin comment lines of some languages.
+LEADER = r"(^|[\x01\x02]) ?(?:dnl|rem) "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A text in the form in which sentences are sought: every line, and every sentence of a line, stands in brackets, with a
+#: blank between those that a line end parts and a line end between those that a sentence end parts.
+BRACKETS = [(r" ?\x01[ \x01\x02]*", ")\n("), (r" ?\x02[ \x02]*", ") (")]
+
+
+def _pattern() -> str:
+    """Finds known sentences in bracketed texts; line ends may stand between any two words. Longer ones are tried first."""
+    every = sorted((s for known in SENTENCES.values() for s in known), key=lambda s: (-len(s), s))
+    return r"\((?:" + "|".join(s.replace(" ", r"(?: |\) \()") for s in every) + r")\)"
 
 
-def sentences(text: Column) -> Column:
-    """A text's sentences, normalised."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), HEADING, "\n\n")
-    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), OTHER, " "))
-    return F.transform(F.split(spaced, BREAK, -1), plain)
+def bracketed(text: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), STOP, "\x01"), LINE, "\x02")
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.translate(out, UPPER, LOWER), OTHER, " "), LEADER, "$1"))
+    for what, mark in BRACKETS:
+        out = F.regexp_replace(out, what, mark)
+    return F.concat(F.lit("("), out, F.lit(")"))
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
     known = {sentence: name for name, every in SENTENCES.items() for sentence in every}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(bracketed(text), F.lit(_pattern()), F.lit(0))
+    plain = lambda s: F.translate(F.replace(s, F.lit(") ("), F.lit(" ")), "()", "")
+    likely = F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(STEMS))
+    return F.when(likely, F.transform(found, lambda s: F.element_at(table, plain(s)))).otherwise(F.array().cast("array<string>"))
 
 
 def matched(ids: Column) -> Column:
@@ -112,11 +182,14 @@ def oracle() -> str:
     steps = "'|' || array_to_string(ids, '||') || '|'"
     for licence, sequence in RULES:
         steps = f"replace({steps}, '{''.join(f'|{s}|' for s in sequence)}', '|={licence}|')"
-    cut = f"string_split_regex(regexp_replace(coalesce(text, ''), '{HEADING}', chr(10) || chr(10), 'g'), '{BREAK}')"
-    plain = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '{OTHER}', ' ', 'g'))"
+    text = f"regexp_replace(regexp_replace(coalesce(text, ''), '{STOP}', chr(1), 'g'), '{LINE}', chr(2), 'g')"
+    text = f"trim(regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{OTHER}', ' ', 'g'), '{LEADER}', '\\1', 'g'))"
+    for (what, _), mark in zip(BRACKETS, ("')' || chr(10) || '('", "') ('"), strict=True):
+        text = f"regexp_replace({text}, '{what}', {mark}, 'g')"
+    found = f"regexp_extract_all('(' || {text} || ')', '{_pattern()}')"
     return f"""
 WITH known AS (SELECT MAP {{{known}}} AS m),
-a AS (SELECT doc_id, list_filter(list_transform({cut}, lambda s: m[{plain}]), lambda x: x IS NOT NULL) AS ids FROM documents, known),
+a AS (SELECT doc_id, list_transform({found}, lambda s: m[translate(replace(s, ') (', ' '), '()', '')]) AS ids FROM documents, known),
 b AS (SELECT doc_id, ids, list_filter(string_split_regex({steps}, '\\|+'), lambda x: x <> '') AS parts FROM a),
 c AS (SELECT doc_id, ids, list_transform(list_filter(parts, lambda x: starts_with(x, '=')), lambda x: x[2:]) AS found, list_filter(parts, lambda x: NOT starts_with(x, '=')) AS rest FROM b)
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses, array_to_string(rest, ',') AS unmatched, found[1] AS license FROM c
