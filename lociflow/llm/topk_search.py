@@ -1,12 +1,13 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
-Vectors are turned into integers. Candidates are dealt into blocks, queries too, and each two blocks meet in a task
-that indexes the candidates: for every dimension, posting segments of the candidates whose component has the same
-quantised impact. A query takes the segments of all dimensions in descending order of impact and adds each segment's
+Vectors are turned into integers. Candidates are dealt into blocks, and each block is indexed by the task that gets it,
+once; queries stream past the index. The index holds, for every dimension, posting segments of the candidates whose
+component has the same quantised impact. A query takes the segments of all dimensions in descending order of impact and adds each segment's
 bound to its candidates. At any time a candidate's score is at most what it has gathered plus, for each dimension not
 met yet, the impact of the next segment; and at least what it has gathered less the quantisation error. Only
 candidates whose upper bound is below the k-th best lower bound are given up. When few others are left, or no segment
-is, those are scored exactly. Each block's best then meet in one ranking per query.
+is, those are scored exactly. Each query meets one block first; its k-th best score there is the bound that candidates
+of all other blocks must reach. All blocks' best then meet in one ranking per query.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part. A
 query's own rows (with its id) are no candidates for it. Rows that repeat an id are candidates each; queries that
@@ -16,6 +17,8 @@ must fit a long.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,6 @@ from lociflow.llm.common import written
 SCALE = 1024
 K = 10
 CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 1024
 #: Distinct impacts of a dimension, about.
 LEVELS = 12
 #: Share of all postings that a query takes between two looks at the bounds.
@@ -66,8 +68,8 @@ class Index:
         self.dimension, self.begin, self.end = np.array(self.dimension), np.array(self.begin), np.array(self.end)
         self.least, self.most = np.array(self.least), np.array(self.most)
 
-    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Positions of candidates that no bound keeps from the best k."""
+    def possible(self, query: np.ndarray, k: int, bound: float = -np.inf) -> np.ndarray:
+        """Positions of candidates that no bound keeps from the best k, nor from scores of ``bound`` and more."""
         m, d = self.vectors.shape
         if m <= 4 * k:
             return np.arange(m)
@@ -76,11 +78,13 @@ class Index:
         upper = np.maximum(weight * self.least, weight * self.most) - floor[self.dimension]
         error = np.abs(weight) * (self.most - self.least)
         slack = float(_largest(self.dimension, error, d).sum())
+        base = float(floor.sum())  # what every candidate has besides what is gathered
         order = np.argsort(-upper, kind="stable")
         gathered, met = np.zeros(m), np.zeros(m)
         sizes = (self.end - self.begin)[order]
         after = np.cumsum(sizes)
         at, step = 0, m * d * STEP
+        left = np.arange(m)
         while at < len(order):
             to = min(len(order), int(np.searchsorted(after, (after[at - 1] if at else 0) + step)) + 1)
             part = order[at:to]
@@ -89,9 +93,9 @@ class Index:
             met += np.bincount(who, minlength=m)
             at = to
             coming = float(upper[order[at]]) if at < len(order) else 0.0
-            sure = np.partition(gathered, m - k)[m - k] - slack
+            sure = max(np.partition(gathered, m - k)[m - k] - slack, bound - base)
             best = gathered + coming * (d - met)
-            left = np.flatnonzero(best * (1 + 1e-9) + 1e-6 >= sure)
+            left = np.flatnonzero(best + np.abs(best) * 1e-9 + abs(base) * 1e-9 + 1e-6 >= sure)
             if len(left) <= 8 * k:
                 break
         return left
@@ -106,44 +110,78 @@ def _largest(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = v[:width]
     return out
 
 
-def _best(k: int):
-    def best(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(candidates["vector"].str.len().max(), queries["vector"].str.len().max())
-        names, index = candidates["vec_id"].to_numpy(), Index(_matrix(candidates["vector"], width))
-        times = candidates["vec_id"].value_counts()
-        out = []
-        for name, query in zip(queries["vec_id"].to_numpy(), _matrix(queries["vector"], width), strict=True):
-            left = index.possible(query, min(k + int(times.get(name, 0)), len(names)))
-            left = left[names[left] != name]
-            score = index.vectors[left] @ query
-            top = np.lexsort((names[left], -score))[:k]
-            out.append(pd.DataFrame({"query_id": name, "vec_id": names[left][top], "score": score[top]}))
-        return pd.concat(out, ignore_index=True).astype("int64")
-
-    return best
+FOUND = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
+
+
+def _best(names: np.ndarray, times: pd.Series, index: Index, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best of a block for each query, of those that reach its bound (not a number for none)."""
+    out = [[np.zeros(0, np.int64)] * 3]
+    for name, query, bound in zip(queries["vec_id"].to_numpy(), _matrix(queries["vector"], index.vectors.shape[1]), queries["bound"].to_numpy(float), strict=True):
+        least = -np.inf if np.isnan(bound) else bound
+        left = index.possible(query, min(k + int(times.get(name, 0)), len(names)), least)
+        score = index.vectors[left] @ query
+        keep = (names[left] != name) & (score >= least)
+        left, score = names[left][keep], score[keep]
+        top = np.lexsort((left, -score))[:k]
+        out.append([np.full(len(top), name), left[top], score[top]])
+    return pd.DataFrame(dict(zip(FOUND, map(np.concatenate, zip(*out, strict=True)), strict=True))).astype(FOUND)
+
+
+def _met(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): what the blocks of candidates have for the queries that are dealt to them.
+
+    A block's rows come together, candidates first: they are indexed once, then the queries stream past the index.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, index = None, [], None
+        for pdf in batches:
+            key = pdf[["block", "query"]].to_numpy(np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)])) if len(pdf) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = pdf.iloc[a:b]
+                if key[a, 0] != block:
+                    block, held, index = key[a, 0], [], None
+                if not key[a, 1]:
+                    held.append(part)
+                elif held:
+                    if index is None:
+                        every = pd.concat(held)
+                        index = every["vec_id"].to_numpy(), every["vec_id"].value_counts(), Index(_matrix(every["vector"], max(1, every["vector"].str.len().max())))
+                    yield _best(*index, part, k)
+
+    columns = ["block", "query", "vec_id", "vector", "bound"]
+    both = candidates.withColumn("bound", F.lit(None).cast("double")).withColumn("query", F.lit(False)).select(*columns)
+    both = both.union(queries.withColumn("query", F.lit(True)).select(*columns))
+    return both.repartition("block").sortWithinPartitions("block", "query").mapInPandas(run, "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """The k best other rows for every row that is a query: query_id, rank (from 1), vec_id, score."""
     named = rows.where(F.col(key).isNotNull() & usable(F.col(vector)))
-    named = named.select(F.col(key).cast("long").alias("vec_id"), integers(F.col(vector)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    named = named.select(F.col(key).cast("long").alias("vec_id"), integers(F.col(vector)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     # Written once, so that a row's block stays the same whatever is lost and computed again.
-    named = written(named.withColumn("deal", F.abs(F.hash(F.monotonically_increasing_id()))))
-    n, asked = named.agg(F.count(F.lit(1)), F.count_if("query")).first()
-    blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = named.select("vec_id", "vector", (F.col("deal") % blocks).alias("block"), every(query_blocks).alias("query_block"))
-    queries = named.where("query").select("vec_id", "vector", (F.col("deal") % query_blocks).alias("query_block"), every(blocks).alias("block"))
-    by = ["block", "query_block"]
-    found = candidates.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_best(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    named = written(named.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())))
+    blocks = max(1, -(-named.count() // CANDIDATE_BLOCK))
+    candidates = named.withColumn("block", F.pmod("deal", F.lit(blocks)))
+    # Every query meets one block first; its k-th best there is the bound for all other blocks.
+    first = candidates.where("asks").select("vec_id", "vector", "block").withColumn("bound", F.lit(None).cast("double"))
+    seed = written(_ranked(_met(candidates, first, k), k))
+    if blocks == 1:
+        return seed
+    bounds = written(seed.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound")))
+    rest = first.drop("bound").join(bounds, "vec_id", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rest = rest.where("other != block").drop("block").withColumnRenamed("other", "block")
+    return _ranked(_met(candidates, rest, k).union(seed.select(*FOUND)), k)
 
 
 ORACLE = """
