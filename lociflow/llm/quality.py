@@ -3,13 +3,15 @@
 A text is a sequence of units: words (case ignored) and runs of symbols. Beside each stands a mark of its shape: how
 it is capitalised, whether it holds digits, whether it repeats the word before. Every unit and mark has a sparse random
 index vector; a unit's vector is the sum of the index vectors of the units around it and of its own mark, gathered
-over the fitted texts. A text is pooled to the mean of its units' vectors, the mean of its marks' vectors and its
-length. The network is trained on the driver with numpy, on a bounded sample of pooled texts, and its logits are
-divided by a temperature that a held-back part of the sample chooses.
+over all texts, labelled or not. A text is pooled to the mean of its units' vectors, the mean of its marks' vectors and
+its length. The network is trained on the driver with numpy, on a sample of pooled texts that is bounded exactly (the
+labelled ids of smallest hash, one text each), and its logits are divided by a temperature that a held-back part of the
+sample chooses; labels count as slightly uncertain there, so that a few texts that are all right don't sharpen it.
 
 Edge cases: null counts as the empty text; a text without units is pooled to zeros and scored like any other. Without
 any label, or with labels of one kind alone, every score is the share of that label (0.5 for none). A document that
-carries several labels counts as good if one of them is 1. Rows are judged one by one, so repeated rows get equal
+carries several labels counts as good if one of them is 1; of several texts with one id the fit takes that of the
+smallest hash. Rows are judged one by one, so repeated rows get equal
 results and other columns play no part.
 """
 
@@ -25,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.llm import tokens
-from lociflow.llm.common import vector_sums, written
+from lociflow.llm.common import fingerprint, sampled, vector_sums, written
 
-#: Labelled documents that a fit expects to use; more are thinned by a hash of their id.
+#: Labelled documents that a fit uses, at most.
 FIT_DOCUMENTS = 8000
 THRESHOLD = 0.7
 WORDS, SYMBOLS, MARKS = 1 << 14, 1 << 10, 16
 UNITS = WORDS + SYMBOLS + MARKS
 DIMENSIONS, NONZERO, AROUND = 64, 4, 2
 HIDDEN = 32
+#: Temperatures that are tried: below 1 for a network that is too unsure, above for one that is too sure.
+TEMPERATURES = np.geomspace(1 / 8, 8, 121)
+#: Characters of texts whose contexts are gathered together.
+BLOCK = 1_000_000
 
 
 @functools.cache
@@ -52,11 +58,18 @@ def _index() -> np.ndarray:
     return out
 
 
-def units(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Of each text: its units, their marks and its number of characters."""
+@functools.cache
+def _entries() -> tuple[np.ndarray, np.ndarray]:
+    """Where the index vectors' entries stand, and their signs."""
+    at = np.argsort(_index() == 0, axis=1, kind="stable")[:, :NONZERO]
+    return at, np.take_along_axis(_index(), at, 1).astype(np.float64)
+
+
+def _blocks(texts: Sequence[str | None], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """Of each block of texts: units, their marks, where each text's begin, and the texts' numbers of characters."""
     kinds, bits = _kinds()
     numbers = tokens._characters()[1]
-    for a, b in tokens.blocks(texts):
+    for a, b in tokens.blocks(texts, limit):
         some = [t or "" for t in texts[a:b]]
         points = np.frombuffer("\n".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in some])))
@@ -64,7 +77,7 @@ def units(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         starts = np.flatnonzero(np.diff(kind, prepend=0))
         starts = starts[kind[starts] > 0]
         if not len(starts):
-            yield from ((np.zeros(0, np.int64), np.zeros(0, np.int64), len(t)) for t in some)
+            yield np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(some) + 1, np.int64), list(map(len, some))
             continue
         ends = np.flatnonzero(np.diff(kind, append=0)) + 1
         ends = ends[kind[ends - 1] > 0]
@@ -77,31 +90,38 @@ def units(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         word = kind[starts] == 1
         unit = np.where(word, value % np.uint64(WORDS), np.uint64(WORDS) + value % np.uint64(SYMBOLS)).astype(np.int64)
         first_upper = bits[points[starts]] & 1
+        bound = np.searchsorted(starts, begins)
+        owner = np.repeat(np.arange(len(some)), np.diff(bound))
         again = np.zeros(len(starts), bool)
         at = np.flatnonzero(word)
-        again[at[1:]] = value[at[1:]] == value[at[:-1]]
+        again[at[1:]] = (value[at[1:]] == value[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])
         # 0..7 by what cases and digits a word has (capitalised words look like lower case ones but for their first letter)
         shape = np.where((case == 3) & (first_upper == 1), 7, case & 7)
         mark = WORDS + SYMBOLS + np.where(again, 8, np.where(word, shape, 9 + np.minimum(size - 1, 3)))
-        bound = np.searchsorted(starts, begins)
-        for i, t in enumerate(some):
-            yield unit[bound[i] : bound[i + 1]], mark[bound[i] : bound[i + 1]], len(t)
+        yield unit, mark, bound, list(map(len, some))
+
+
+def units(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each text: its units, their marks and its number of characters."""
+    for unit, mark, bound, sizes in _blocks(texts, tokens.BLOCK_CHARS):
+        for i, n in enumerate(sizes):
+            yield unit[bound[i] : bound[i + 1]], mark[bound[i] : bound[i + 1]], n
 
 
 def contexts(texts: Sequence[str | None]) -> np.ndarray:
     """Sums of the index vectors around each unit, UNITS x DIMENSIONS, flat."""
-    total, index = np.zeros((UNITS, DIMENSIONS)), _index()
-    for unit, mark, _ in units(texts):
-        n = len(unit)
-        if not n:
-            continue
-        near = index[mark].astype(np.float64)
+    total, (at, sign) = np.zeros(UNITS * DIMENSIONS), _entries()
+    for unit, mark, bound, _ in _blocks(texts, BLOCK):
+        owner = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
+        meets = [(unit, mark), (mark, unit)]
         for k in range(1, AROUND + 1):
-            near[k:] += index[unit[:-k]] if n > k else 0
-            near[:-k] += index[unit[k:]] if n > k else 0
-        np.add.at(total, unit, near)
-        np.add.at(total, mark, index[unit])
-    return total.ravel()
+            same = owner[k:] == owner[:-k]
+            left, right = unit[:-k][same], unit[k:][same]
+            meets += [(left, right), (right, left)]
+        for to, what in meets:
+            if len(to):
+                total += np.bincount((to[:, None] * DIMENSIONS + at[what]).ravel(), sign[what].ravel(), len(total))
+    return total
 
 
 def pooled(texts: Sequence[str | None], vectors: np.ndarray) -> np.ndarray:
@@ -134,6 +154,13 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(features) / self.temperature, -40, 40)))
 
 
+def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature at which logits predict labels best. Labels are uncertain by as much as their number leaves open."""
+    y = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+    losses = [np.mean(np.logaddexp(0, -logits / t) * y + np.logaddexp(0, logits / t) * (1 - y)) for t in TEMPERATURES]
+    return float(TEMPERATURES[int(np.argmin(losses))])
+
+
 def train(features: np.ndarray, labels: np.ndarray, held: np.ndarray, epochs: int = 60, batch: int = 256) -> Network:
     """Fit on the rows that aren't held; choose the temperature on those that are."""
     mean, spread = features.mean(0) if len(features) else np.zeros(1), features.std(0) + 1e-3 if len(features) else np.ones(1)
@@ -158,10 +185,7 @@ def train(features: np.ndarray, labels: np.ndarray, held: np.ndarray, epochs: in
     net = Network(mean, spread, (w[0], w[1], w[2], float(w[3][0])), 1.0, share)
     judge = np.flatnonzero(held)
     if len(judge):
-        z, y = net.logits(features[judge]), labels[judge].astype(float)
-        heats = np.geomspace(1, 8, 61)  # few held rows may all be right: never sharpen
-        losses = [np.mean(np.logaddexp(0, -z / h) * y + np.logaddexp(0, z / h) * (1 - y)) for h in heats]
-        net.temperature = float(heats[int(np.argmin(losses))])
+        net.temperature = calibrated(net.logits(features[judge]), labels[judge])
     return net
 
 
@@ -172,12 +196,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", documents: int = FIT_DOCUMENTS) -> Model:
-    """Learn from the documents that have a label, about ``documents`` of them."""
-    named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label"))
-    share = min(1.0, documents / max(1, labels.count()))
-    chosen = named.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """Learn from the documents that have a label, from ``documents`` of them at most."""
+    named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.lit(0).alias("all"), F.col(key).alias("id"), F.col(label).alias("label"))
     # The sample's bound is a parameter, so its ids and labels may go to every task.
-    sample = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    chosen = sampled(named, "all", "id", documents, label=F.max("label")).drop("all")
+    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    sample = slim.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct(fingerprint(F.col("text")), "text"))["text"].alias("text"))
     sample = written(sample.withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0))
 
     def count(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
@@ -186,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             total += contexts(pdf["text"].tolist())
         return {"": total}
 
-    sums = vector_sums(sample.select("text"), count, UNITS * DIMENSIONS).get("", np.zeros(UNITS * DIMENSIONS)).reshape(UNITS, DIMENSIONS)
+    sums = vector_sums(slim.select("text"), count, UNITS * DIMENSIONS).get("", np.zeros(UNITS * DIMENSIONS)).reshape(UNITS, DIMENSIONS)
     vectors = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
