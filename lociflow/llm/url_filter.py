@@ -84,8 +84,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
         links = links.union(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
     roots = written(components(links, "a", "b"))
     ruled = rule_of(F.regexp_extract("node", r"(?s)^([^/?#]*)", 1), F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1), rules)
-    held = roots.groupBy("root").agg(F.count_if(ruled["verdict"] == "block").alias("blocked"), F.count_if(ruled["verdict"] == "allow").alias("allowed"))
-    verdicts = roots.join(held, "root").select(F.col("node").alias("alias"), F.col("root").alias("component"), ((F.col("blocked") > 0) & (F.col("allowed") == 0)).alias("stopped"))
+    held = written(roots.groupBy("root").agg(F.count_if(ruled["verdict"] == "block").alias("blocked"), F.count_if(ruled["verdict"] == "allow").alias("allowed")))
+    # Written, as what a component holds is, so that Spark can split the joins with a large component or a url of very many pages.
+    verdicts = written(roots.join(held, "root").select(F.col("node").alias("alias"), F.col("root").alias("component"), ((F.col("blocked") > 0) & (F.col("allowed") == 0)).alias("stopped")))
     own = pages.select(F.col(key).alias("page"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"), node(F.col(url)).alias("node"))
     # Pages without a node meet no alias; a number of their own keeps them out of one task.
     own = own.withColumn("node", F.coalesce("node", F.concat(F.lit("#"), F.col("page").cast("string"))))
