@@ -44,7 +44,7 @@ REGISTERS, ALL = 8, 1 << 12
 #: Share of all families that smooths the frequencies: rarer shingles than this weigh about the same.
 SMOOTHING = 0.02
 #: Texts in a block of a bucket; two blocks are compared at once.
-BLOCK = 256
+BLOCK = 128
 _LEVELS = 4096
 _SLICE = 1 << 13
 
