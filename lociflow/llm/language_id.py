@@ -236,6 +236,13 @@ def predicted(model: Model, text: Column) -> Column:
     return judge(text)
 
 
+def kept(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text has a language: those without a letter go. If nothing was learned, a letter alone decides."""
+    if not model.languages:
+        return rows.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+    return rows.where(predicted(model, F.col(text))["lang_pred"] != UNKNOWN)
+
+
 def predict(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of the input: its key and the columns of RESULT."""
     slim = rows.select(F.col(key), F.col(text).alias("_text"))
