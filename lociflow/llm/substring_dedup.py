@@ -48,7 +48,7 @@ SIMILARITY = 0.8
 #: Common shingles that two passages of LENGTH need.
 COMMON = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
 #: Texts in a block of a signature group, and of those that look for others at once.
-BLOCK, ROUND = 2048, 64
+BLOCK, ROUND = 1024, 64
 #: Alignments of two texts that are tried first, and passages that are counted out at once.
 ALIGNMENTS = 8
 _STEPS = 512
@@ -277,25 +277,29 @@ def crossing(names: list[int], mine: list[np.ndarray], outside: list[np.ndarray]
         held = np.zeros((len(theirs), len(what)), bool)
         held[owner[known], at[known]] = True
         for i in some:
-            likely = _enough(held[:, np.searchsorted(what, mine[i])])
+            open_ = np.flatnonzero(outside[i])
+            if not len(open_):
+                continue
+            low, high = open_[0], open_[-1] + 1  # what lies around need not be looked at
+            part, left = mine[i][low : high + LENGTH - 1], outside[i][low:high].copy()
+            likely = _enough(held[:, np.searchsorted(what, part)])
             if names[i] in place:
                 likely[place[names[i]]] = False
-            left = outside[i] & likely.any(0)
             for k in np.flatnonzero((likely & left).any(1)):
                 if (likely[k] & left).any():
-                    here = passages(mine[i], theirs[k])
-                    found[i] = np.union1d(found[i], here)
+                    here = passages(part, theirs[k])
+                    found[i] = np.union1d(found[i], low + here)
                     left[here] = False
     return found
 
 
-def alive(grams: list[np.ndarray], groups: np.ndarray, names: np.ndarray, outside: list[np.ndarray | None], theirs: np.ndarray) -> np.ndarray:
-    """Of each stretch with an ``outside``, whether it has such a passage of which enough shingles are in other texts of its group.
+def alive(grams: list[np.ndarray], groups: np.ndarray, names: np.ndarray, outside: list[np.ndarray | None], theirs: np.ndarray) -> list[np.ndarray | None]:
+    """Of each stretch with an ``outside``, which of its passages there have enough shingles in other texts of its group; none for no passage.
 
     ``names`` number the texts, ``theirs`` marks the stretches that count as others. All groups are looked at at once.
     """
     size = np.array([len(g) for g in grams])
-    out = np.zeros(len(grams), bool)
+    out: list[np.ndarray | None] = [None] * len(grams)
     if not size.sum():
         return out
     element = np.concatenate(grams) ^ np.repeat(tokens.mix(groups.astype(np.uint64) + np.uint64(1)), size)
@@ -316,7 +320,8 @@ def alive(grams: list[np.ndarray], groups: np.ndarray, names: np.ndarray, outsid
     for i, free in enumerate(outside):
         if free is not None and size[i] >= LENGTH:
             part = total[begin[i] : begin[i] + size[i] + 1]
-            out[i] = (free & (part[LENGTH:] - part[:-LENGTH] >= COMMON)).any()
+            held = free & (part[LENGTH:] - part[:-LENGTH] >= COMMON)
+            out[i] = held if held.any() else None
     return out
 
 
@@ -356,7 +361,8 @@ def _crossed(dealt: DataFrame) -> DataFrame:
         number = pd.factorize(pdf["text_id"])[0]
         groups = pd.factorize(pd.MultiIndex.from_frame(pdf[["what", "row", "col"]]))[0]
         outside = [_outside(*r, b, s if s is not None else ()) if f and len(r[0]) else None for r, b, s, f in zip(rows, begins, spans, left, strict=True)]
-        mine = alive(grams, groups, number, outside, np.array(right, bool))
+        outside = alive(grams, groups, number, outside, np.array(right, bool))
+        mine = np.array([x is not None for x in outside], bool)
         out = []
         bounds = np.searchsorted(groups, np.arange(groups.max() + 2 if len(groups) else 1))
         for g in np.unique(groups[mine]).tolist():

@@ -1,7 +1,9 @@
 """Language identification, decontamination, byte-level BPE, quality: against labels, brute force and round trips."""
 
 import base64
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +50,76 @@ def test_language_id_mixed_text_is_ambiguous_and_nothing_learned_is_und(spark):
     assert language_id.predict(docs(spark, ["text"]), none).first().lang_pred == "und"
 
 
+def plain_grams(text):
+    """Counts of hashed letter n-grams, letter by letter."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    letters = " " + " ".join(letters.split()) + (" " if letters.split() else "")
+    counts = Counter()
+    for n in language_id.ORDERS:
+        for i in range(len(letters) - n + 1):
+            code = n
+            for c in letters[i : i + n]:
+                code = ((code ^ (0 if c == " " else ord(c))) * 0x9E3779B97F4A7C15) % 2**64
+            counts[code >> 48] += 1
+    return counts
+
+
+def plain_model(rows, code):
+    """Bit classifiers from rows of (text, language), with dictionaries."""
+    languages = sorted({lang for _, lang in rows})
+    shares = {}
+    for lang in languages:
+        texts = [plain_grams(t) for t, own in rows if own == lang and any(c.isalpha() for c in t)]
+        total = Counter()
+        for t in texts:
+            for k, v in t.items():
+                total[k] += v / t.total() / len(texts)
+        floor = 1 + 1e-6 * language_id.BUCKETS
+        shares[lang] = [(total[k] + 1e-6) / floor for k in range(language_id.BUCKETS)]
+    weights = []
+    for bit in range(code.shape[1]):
+        sides = [[shares[x] for i, x in enumerate(languages) if code[i, bit] == side] for side in (1, -1)]
+        weights.append([math.log(sum(a) / len(a)) - math.log(sum(b) / len(b)) for a, b in zip(zip(*sides[0], strict=True), zip(*sides[1], strict=True), strict=True)])
+    scale = [sum(abs(sum(s * w for s, w in zip(shares[x], ws, strict=True))) for x in languages) / len(languages) for ws in weights]
+    return languages, weights, scale
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(5)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklÉéß", "dd": "mnopİab"}
+    texts = [alphabet_text(rng, alphabets[k]) + rng.choice([".", " 12 ", "", "!\n"]) for k in alphabets for _ in range(12)]
+    langs = [k for k in alphabets for _ in range(12)]
+    rows = frame(spark, [(i, t, k, "s", 0) for i, (t, k) in enumerate(zip(texts, langs, strict=True))] + [(99, texts[0], "aa", "s", 0)] * 3)  # copies count once
+    model = language_id.fit(rows)
+    languages, weights, scale = plain_model(list(zip(texts, langs, strict=True)), model.code)
+    assert model.languages == languages and np.allclose(model.weights.T, weights, atol=1e-4) and np.allclose(model.scale, scale, rtol=1e-4)
+    assert model.trust.sum() == pytest.approx(1) and (model.trust > 0).all()
+    odd = [*texts[:20], texts[0][:100] + texts[30], "a", "é!", "x" * 200_000, "", None, "12", "İİ ß", "ab " * 70_000]
+    for text, (lang, score, ambiguous, second) in zip(odd, model.decide(odd), strict=True):
+        counts = plain_grams(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score, second) == ("und", 0.0, None)
+            continue
+        margin = [sum(v * w[k] for k, v in counts.items()) / counts.total() / s for w, s in zip(weights, scale, strict=True)]
+        loss = [sum(t * math.exp(-max(-3, min(3, m)) * model.code[i, b]) for b, (m, t) in enumerate(zip(margin, model.trust, strict=True))) for i in range(len(languages))]
+        odds = [math.exp(-model.sharpness * (x - min(loss))) for x in loss]
+        p = sorted(((o / sum(odds), x) for o, x in zip(odds, languages, strict=True)), reverse=True)
+        assert lang == p[0][1] and score == pytest.approx(p[0][0], abs=1e-3) and second == p[1][1]
+        assert ambiguous == (p[0][0] - p[1][0] < language_id.AMBIGUOUS) or abs(p[0][0] - p[1][0] - language_id.AMBIGUOUS) < 1e-3
+    assert model.decide([texts[3]])[0] == model.decide(["x" * 90_000, *odd, texts[3]])[-1]  # whatever stands beside it
+
+
+def test_bits_that_are_often_wrong_count_little():
+    trust = language_id.reliability({0: (100, 100), 1: (75, 100), 2: (40, 100)}, 4)
+    assert trust[0] > 1.9 * trust[1] > trust[2] and trust[2] == trust[3] and trust.sum() == pytest.approx(1)
+
+
+def test_nothing_learned_keeps_texts_with_letters(spark):
+    rows = docs(spark, ["text", "é", "12 !", None, ""])
+    none = language_id.fit(rows)
+    assert sorted(r.doc_id for r in language_id.kept(rows, none).collect()) == [0, 1]
+
+
 def test_output_code_keeps_codewords_apart():
     for n in (2, 4, 6, 12):
         code = language_id.code_matrix(n)
@@ -219,3 +291,76 @@ def test_quality_held_out_accuracy_and_edges(spark):
     none = quality.fit(rows, labels.limit(0))
     assert {r.score for r in quality.scored(rows, none).collect()} == {0.5}
     assert quality.scored(rows.limit(0), model).count() == 0
+
+
+def plain_units(text):
+    """Units and marks of a text, word by word."""
+    out, last, i = [], None, 0
+    kind = lambda c: 1 if c.isalnum() else 0 if c.isspace() else 2
+    while i < len(text):
+        j = i
+        while j < len(text) and kind(text[j]) == kind(text[i]):
+            j += 1
+        part = text[i:j]
+        if kind(text[i]) == 1:
+            number = int(tokens.mix(np.array([sum(int(tokens._characters()[1][ord(c)]) * int(tokens._PLACES[k]) for k, c in enumerate(part)) % 2**64], np.uint64))[0])
+            upper, lower, digit = (any(getattr(c, f)() for c in part) for f in ("isupper", "islower", "isdigit"))
+            shape = 7 if upper and lower and not digit and part[0].isupper() else upper + 2 * lower + 4 * digit
+            out.append((number % quality.WORDS, quality.WORDS + quality.SYMBOLS + (8 if number == last else shape)))
+            last = number
+        elif kind(text[i]) == 2:
+            number = int(tokens.mix(np.array([sum(int(tokens._characters()[1][ord(c)]) * int(tokens._PLACES[k]) for k, c in enumerate(part)) % 2**64], np.uint64))[0])
+            out.append((quality.WORDS + number % quality.SYMBOLS, quality.WORDS + quality.SYMBOLS + 9 + min(len(part) - 1, 3)))
+        i = j
+    return out
+
+
+def test_contexts_and_pooling_equal_brute_force():
+    texts = ["The the cat, sat on THE mat... 12 a1", None, "", "  ", "...", "word", "one two one two three?!", "Ünï cödé x" * 3]
+    index, total = quality._index().astype(float), np.zeros((quality.UNITS, quality.DIMENSIONS))
+    for text in texts:
+        every = plain_units(text or "")
+        for i, (unit, mark) in enumerate(every):
+            total[unit] += index[mark] + sum(index[every[j][0]] for j in range(max(0, i - quality.AROUND), min(len(every), i + quality.AROUND + 1)) if j != i)
+            total[mark] += index[unit]
+    found = quality.contexts(texts).reshape(quality.UNITS, quality.DIMENSIONS)
+    assert np.allclose(found, total)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=total.shape).astype(np.float32)
+    for text, row in zip(texts, quality.pooled(texts, vectors), strict=True):
+        every = plain_units(text or "")
+        assert row[-1] == pytest.approx(math.log1p(len(text or "")))
+        for at, which in ((0, 0), (quality.DIMENSIONS, 1)):
+            want = sum(vectors[u[which]] for u in every) / len(every) if every else np.zeros(quality.DIMENSIONS)
+            assert np.allclose(row[at : at + quality.DIMENSIONS], want, atol=1e-5)
+    assert (quality.pooled([texts[0]] * 2, vectors)[0] == quality.pooled(["cat The", texts[0]], vectors)[1]).all()
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.15, 0.3])
+def test_scores_are_calibrated(noise):
+    """Labels that are wrong with a known share: scores say so, however large the network's logits are."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(16_000, 3))
+    truth = x[:, 0] + 0.5 * x[:, 1] > 0
+    labels = np.where(rng.random(len(x)) < noise, ~truth, truth).astype(int)
+    net = quality.train(x[:12_000], labels[:12_000], np.arange(12_000) % 5 == 0)
+    score, y = net.score(x[12_000:]), labels[12_000:]
+    bins = [p for low in np.arange(0, 1, 0.1) for p in [(score >= low) & (score < low + 0.1)] if p.any()]
+    assert sum(abs(score[p].mean() - y[p].mean()) * p.sum() for p in bins) / len(y) < 0.05
+    z = net.logits(x[12_000:])
+    own = quality.calibrated(z, y)
+    assert quality.calibrated(z * 0.3, y) == pytest.approx(0.3 * own, rel=0.1) and quality.calibrated(z * 3, y) == pytest.approx(3 * own, rel=0.1)
+    few = np.array([9.0, -9.0, 8.0])
+    assert quality.calibrated(few, np.array([1, 0, 1])) > 1  # all right, but too few to be so sure
+
+
+def test_quality_fit_takes_one_text_of_a_repeated_id(spark, monkeypatch):
+    rows = docs(spark, [" ".join(prose(k, 30)) + ("." if k % 2 else " ###") for k in range(80)])
+    rows = rows.union(rows.where("doc_id = 1").crossJoin(spark.range(500).select(F.lit(1).alias("one"))).drop("one"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda features, *a: seen.append(len(features)) or train(features, *a))
+    quality.fit(rows, labels)
+    quality.fit(rows, labels, documents=20)
+    assert seen == [80, 20]
