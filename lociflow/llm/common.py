@@ -91,13 +91,14 @@ def sampled(rows: DataFrame, group: str, item: str, k: int, **kept: Column) -> D
     the shuffle. Groups are few: their counts come to the driver.
     """
     place = F.xxhash64(item)
+    once = lambda df: df.groupBy(group, item).agg(*[c.alias(n) for n, c in kept.items()]) if kept else df.select(group, item).distinct()
     sizes = rows.groupBy(group).agg(F.approx_count_distinct(item, 0.03).alias("n")).collect()
     if not sizes:
-        return rows.groupBy(group, item).agg(*[c.alias(n) for n, c in kept.items()])
+        return once(rows)
     cuts = [(r[group], -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * min(1.0, 2 * k / max(r["n"], 1))))) for r in sizes]
     cuts = rows.sparkSession.createDataFrame(cuts, f"{group} {rows.schema[group].dataType.simpleString()}, cut long")
     few = rows.join(F.broadcast(cuts), group).where(place <= F.col("cut"))
-    one = few.groupBy(group, item).agg(*[c.alias(n) for n, c in kept.items()]).withColumn("_place", place)
+    one = once(few).withColumn("_place", place)
     order = W.partitionBy(group).orderBy("_place", item)
     return one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n", "_place")
 

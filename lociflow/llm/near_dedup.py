@@ -83,7 +83,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         for pdf in batches:
             for _, hashes, _, _ in tokens.each(pdf["_text"].tolist()):
                 if len(found := tokens.shingles(hashes)):
-                    family = int(tokens.mix(found.min()))
+                    family = int(tokens.mix(found.min(keepdims=True))[0])
                     at, rank = _ranked(family, ALL)
                     total[at] = max(total[at], rank)
                     at, rank = _ranked(family, REGISTERS)

@@ -501,8 +501,8 @@ def test_component_of_very_many_pages_is_split(spark):
 
 
 def test_bucket_of_very_many_texts_is_split(spark):
-    base = prose(77, 60)
-    texts = [" ".join([*base[:k], f"v{i}", *base[k + 1 :]]) for i in range(3000) for k in (i % 60,)]
+    base = prose(77, 200)
+    texts = [" ".join([*base[:k], f"v{i}", *base[k + 1 :]]) for i in range(2000) for k in (i % 200,)]
     rows = docs(spark, texts).repartition(8)
     with split_joins(spark) as split:
         assert near_dedup.classes(rows).select("class_id").distinct().count() == 1
@@ -573,7 +573,7 @@ def test_sample_is_bounded_exactly(spark, rows):
 
     # A hot item, many items of one group, few of another, and a share of items that is tiny.
     df = spark.range(rows * 40).selectExpr("case when id % 100 = 0 then 'few' else 'many' end as lang", "case when id % 3 = 0 then 'hot' when id % 100 = 0 then concat('t', id % 7) else concat('t', id) end as fp")
-    got = {r.lang: (r.n, r.d) for r in sampled(df, "lang", "fp", 10, rows=F.count(F.lit(1))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("d")).collect()}
+    got = {r.lang: (r.n, r.d) for r in sampled(df, "lang", "fp", 10, times=F.count(F.lit(1))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("d")).collect()}
     assert got["many"] == (10, 10) and got["few"][0] == got["few"][1] <= 8
     again = sorted(r.fp for r in sampled(df.repartition(7), "lang", "fp", 10).where("lang = 'many'").collect())
     assert again == sorted(r.fp for r in sampled(df, "lang", "fp", 10).where("lang = 'many'").collect())
