@@ -48,7 +48,7 @@ SIMILARITY = 0.8
 #: Common shingles that two passages of LENGTH need.
 COMMON = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
 #: Texts in a block of a signature group, and of those that look for others at once.
-BLOCK, ROUND = 1024, 64
+BLOCK, ROUND = 4096, 64
 #: Alignments of two texts that are tried first, and passages that are counted out at once.
 ALIGNMENTS = 8
 _STEPS = 512
@@ -381,7 +381,8 @@ def _crossed(dealt: DataFrame) -> DataFrame:
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             whole = int(cuts[-1]) if len(cuts) else 0
             rest = pdf.iloc[whole:]
-            yield pd.DataFrame(compare(pdf.iloc[:whole]), columns=["fp", "begin", "end"])
+            if whole:
+                yield pd.DataFrame(compare(pdf.iloc[:whole]), columns=["fp", "begin", "end"])
         if rest is not None and len(rest):
             yield pd.DataFrame(compare(rest), columns=["fp", "begin", "end"])
 

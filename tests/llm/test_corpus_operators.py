@@ -459,8 +459,14 @@ def test_passages_of_frequent_lines_meet_beyond_representatives(spark, monkeypat
             if not middle:
                 want.add(len(texts))
             texts.append(" ".join(prose((k, j, 1).__hash__(), 40, 50_000) + one + middle + two + prose((k, j, 2).__hash__(), 40, 50_000)))
-    got = {r.doc_id for r in substring_dedup.repeats(docs(spark, texts)).collect() if r.n_spans}
-    assert got == want
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows_at_once in ("10000", "3"):  # a group may come in several batches
+        spark.conf.set(batch, rows_at_once)
+        try:
+            got = {r.doc_id for r in substring_dedup.repeats(docs(spark, texts)).collect() if r.n_spans}
+        finally:
+            spark.conf.unset(batch)
+        assert got == want
 
 
 def test_secrets_and_licences_equal_their_sql(spark):
