@@ -195,13 +195,17 @@ def decode(ids: Sequence[int], vocab: Vocabulary) -> bytes:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of about BLOCK_CHARS characters at a time, however large the batches are."""
     held, size = [], 0
     for pdf in batches:
-        held.append(pdf)
-        size += int(pdf["text"].str.len().sum())
-        if size >= BLOCK_CHARS:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
+        begin = 0
+        for i, n in enumerate(pdf["text"].str.len().fillna(0)):
+            size += int(n)
+            if size >= BLOCK_CHARS:
+                yield pd.concat([*held, pdf.iloc[begin : i + 1]], ignore_index=True)
+                held, size, begin = [], 0, i + 1
+        if begin < len(pdf):
+            held.append(pdf.iloc[begin:])
     if held:
         yield pd.concat(held, ignore_index=True)
 

@@ -269,6 +269,18 @@ def test_bpe_over_a_table(spark, vocab, reference):
     assert byte_bpe.digests(rows.limit(0), vocab).count() == 0
 
 
+def test_bpe_blocks_cut_batches(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 10)
+    texts = ["abc", None, "", "x" * 25, "abcdef", "abcdef", "a", "b"]
+    for cuts in ([8], [3, 5], [1] * 8):
+        begins = np.cumsum([0, *cuts])
+        batches = [pd.DataFrame({"id": range(a, b), "text": texts[a:b]}) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        blocks = list(byte_bpe._blocks(iter(batches)))
+        assert [b["id"].tolist() for b in blocks] == [[0, 1, 2, 3], [4, 5], [6, 7]]
+
+
 def test_vocabulary_file(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(b"".join(base64.b64encode(bytes([b])) + f" {b}\n".encode() for b in range(256)))
