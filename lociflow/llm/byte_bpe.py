@@ -199,8 +199,8 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for pdf in batches:
         begin = 0
-        for i, n in enumerate(pdf["text"].str.len().fillna(0)):
-            size += int(n)
+        for i, text in enumerate(pdf["text"]):
+            size += len(text or "")
             if size >= BLOCK_CHARS:
                 yield pd.concat([*held, pdf.iloc[begin : i + 1]], ignore_index=True)
                 held, size, begin = [], 0, i + 1
