@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import byte_bpe, decontaminate, language_id, license_scan, near_dedup, quality, secret_scan, substring_dedup, topk_search, url_filter
+from lociflow.llm import annulus, byte_bpe, chat_format, decontaminate, language_id, license_scan, near_dedup, quality, secret_scan, substring_dedup, topk_search, url_filter, whitening
 from lociflow.llm.common import fold, table
 
 
@@ -75,6 +75,26 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), vocabulary())
 
 
+def op11_annulus(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its cluster."""
+    return annulus.clusters(table(spark, folder, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+#: A conversation whose texts are control strings.
+PROBE = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, formatted as examples and read back from them."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(rows.union(spark.sql(PROBE)))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +106,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_annulus": op11_annulus,
+    "op12_whitening": op12_whitening,
+    "op13_chat_format": op13_chat_format,
 }
 #: The others are tested by brute force, exact round trip or held-out accuracy in tests/llm.
 ORACLE_SQL = {
@@ -93,4 +116,6 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.oracle(),
     "op6_topk_search": topk_search.ORACLE,
     "op8_secret_scan": secret_scan.oracle(),
+    "op11_annulus": annulus.oracle(),
+    "op13_chat_format": chat_format.oracle(),
 }
