@@ -9,8 +9,7 @@ import shutil
 import sys
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from lociflow.operators import calls
 from lociflow.sources import var, vcf
@@ -23,38 +22,40 @@ log = logging.getLogger("lociflow")
 def convert(spark: SparkSession, source: str, target: str | None, reference: str, sample: str, mode: str = "TumorOnly", skip_non_variants: bool = False, parts: bool = False) -> int:
     """Convert a file of calls, or a folder of them. Returns the number of records.
 
-    With ``parts`` executors write a folder of part files to any file system; a path that ends in .gz gives gzipped ones.
-    Without, the records meet in one local file; ``target`` None or ``-`` is standard output.
+    With ``parts`` executors write a folder of part files to any file system; a path that ends in .gz gives block-gzipped ones.
+    Without, the records meet in one local file; ``target`` None or ``-`` is standard output. The rows are read and
+    decoded once: what is wrong with them is noted in the same pass, and nothing is published if there is something.
     """
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode}")
     contigs = var.read_index(spark, var.index_path(reference))
     head = vcf.header(sample, contigs, reference)
-    rows = var.read_calls(spark, source)
-    width = var.first_width(rows)
-    records = calls.convert(rows, sample, [c for c, _ in contigs], skip_non_variants, width)
+    sink = vcf.to_stdout if target in (None, "-") else vcf.to_parts if parts else vcf.to_file
+
+    def attempt(line_breaks: bool) -> int:
+        rows = var.read_calls(spark, source, line_breaks)
+        width = var.first_width(spark, source, line_breaks)
+        records, found = calls.convert_noting(rows, sample, [c for c, _ in contigs], skip_non_variants, width)
+
+        def verify() -> None:
+            if message := found.problem():
+                raise BadRow(message)
+
+        return sink(records, target, head, verify)
+
     try:
-        if target in (None, "-"):
-            n = vcf.show(records, head)
-        elif parts:
-            n = vcf.save_parts(records, target, head, vcf.is_gzip_path(target))
-        else:
-            n = vcf.save(records, target, head)
-    except Exception as error:
-        raise ValueError(first_problem(rows, sample, [c for c, _ in contigs], skip_non_variants, width) or str(error)) from error
+        n = attempt(False)
+    except BadRow as error:
+        if str(error) != var.UNCLOSED:
+            raise
+        # A quoted field goes on over line ends: rows have to be put together first, which other input is spared.
+        n = attempt(True)
     log.info("Processed %d variant records", n)
     return n
 
 
-def first_problem(rows: DataFrame, sample: str, contigs: list[str], skip_non_variants: bool, width: int | None) -> str | None:
-    """The message of the first bad row in input order, null for none; runs only after a failure."""
-    typed = calls.decode(calls.with_reference(rows), width)
-    good = typed.where("problem is null")
-    if skip_non_variants:
-        good = calls.variants_only(good)
-    bad = calls.complaints(calls.first_of_each(good), sample, contigs).select("ord", "problem")
-    row = typed.select("ord", "problem").union(bad).where("problem is not null").agg(F.min_by("problem", "ord")).first()
-    return row[0]
+class BadRow(ValueError):
+    """The first bad row of the input, in its order."""
 
 
 def main(argv: list[str] | None = None) -> int:

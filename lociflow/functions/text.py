@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Below and above, six significant digits take an exponent.
-LEAST, MOST = 9.999995e-5, 999999.5
+#: Significant digits, and the exponents from and below which they are written without one.
+DIGITS, LEAST, MOST = 6, -4, 6
+#: Exponents between which the power of ten that brings the digits before the point is a double itself. Beyond, Spark's own
+#: formatting takes over: no number there is half-way between two texts.
+FROM, TO = -17, 27
+#: Splits a double into two halves whose products are exact.
+HALVES = 2.0**27 + 1
+
+
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(x)``, with x computed once however often it is used."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
 def _strip(s: Column) -> Column:
@@ -16,32 +28,52 @@ def _strip(s: Column) -> Column:
 def general(x: Column) -> Column:
     """A number with six significant digits as C's %g writes it: ties to even, no trailing zeros, exponents where short.
 
-    A number whose shortest text has six digits at most is common and goes first: that text is what %g writes. Others are
-    rounded as decimals, at a scale that comparisons choose, so that a row computes one branch alone.
+    The digits are the size times a power of ten, rounded. Where that product seems to be half-way between two numbers, the
+    part of it that a double does not hold decides, and only a true half goes to even. Numbers whose shortest text has
+    six digits at most are common, and need none of that: that text is what %g writes.
     """
     short = x.cast("string")
-    plain = F.when(short.endswith(".0"), F.substring(short, 1, F.length(short) - 2)).otherwise(short)
-    return F.when((F.length(short) <= 7) & short.rlike(r"^[0-9]+\.[0-9]+$"), plain).otherwise(_rounded(x.cast("double")))
+    plain = F.when(short.endswith(".0"), F.substring(short, F.lit(1), F.length(short) - 2)).otherwise(short)
+    few = (F.length(short) <= DIGITS + 1) & short.rlike(r"^[0-9]++\.[0-9]++\z")
+    return F.when(few, plain).otherwise(_let(x.cast("double"), _general))
 
 
-def _rounded(x: Column) -> Column:
+def _general(x: Column) -> Column:
     size = F.abs(x)
-    decimal = size.try_cast("decimal(38,18)")
-    plain = _strip(F.bround(decimal, 0).cast("string"))
-    for e in range(4, -6, -1):
-        plain = F.when(size < 10.0 ** (e + 1), _strip(F.bround(decimal, 5 - e).cast("string"))).otherwise(plain)
-    text = F.when((size < MOST) & (size == F.floor(size)), size.try_cast("bigint").cast("string"))
-    text = text.when((size >= LEAST) & (size < MOST), plain).otherwise(_scientific(size, decimal))
-    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(F.concat(sign, text))
-
-
-def _scientific(size: Column, decimal: Column) -> Column:
-    science = F.format_string("%.5e", size)
-    out = F.concat(_strip(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))
-    for e in range(18, 4, -1):
-        digits = F.substring_index(F.bround(decimal, 5 - e).cast("string"), ".", 1)
-        mantissa = _strip(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5)))
-        exact = F.concat(mantissa, F.lit("e+"), F.lpad((F.length(digits) - 1).cast("string"), 2, "0"))
-        out = F.when((size >= 10.0**e) & (size < 10.0 ** (e + 1)), exact).otherwise(out)
-    return out
+    usual = _let(F.floor(F.log10(size)).cast("int"), lambda e: F.when(e.between(FROM, TO), _digits(size, e)).otherwise(_science(size)))
+    sign = F.when(F.signum(x) < 0, "-").when(x.cast("string") == "-0.0", "-").otherwise("")
+    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size == 0, F.concat(sign, F.lit("0"))).otherwise(F.concat(sign, usual))
+
+
+def _lost(a: Column, b: Column, product: Column) -> Column:
+    """What the product of two doubles lacks of the exact one."""
+    halves = lambda x: _let(x * HALVES, lambda big: big - (big - x))
+    return _let(F.struct(halves(a).alias("a"), halves(b).alias("b")), lambda h: ((h["a"] * h["b"] - product) + h["a"] * (b - h["b"]) + (a - h["a"]) * h["b"]) + (a - h["a"]) * (b - h["b"]))
+
+
+def _nearest(x: Column, beyond: Callable[[], Column]) -> Column:
+    """The nearest integer to x and a little more, whose sign ``beyond`` gives."""
+    low = F.floor(x)
+    return F.when(x - low != 0.5, F.rint(x).cast("long")).otherwise(_let(beyond(), lambda r: F.when(r > 0, low + 1).when(r < 0, low).otherwise(F.rint(x).cast("long"))))
+
+
+def _digits(size: Column, e: Column) -> Column:
+    places = F.lit(DIGITS - 1) - e
+    power = F.pow(F.lit(10.0), F.abs(places))
+    times = _let(size * power, lambda x: _nearest(x, lambda: _lost(size, power, x)))
+    over = _let(size / power, lambda x: _nearest(x, lambda: (size - x * power) - _lost(x, power, x * power)))
+    return _let(F.when(places >= 0, times).otherwise(over), lambda m: F.when(m < 10**DIGITS, _text(m.cast("string"), e)).otherwise(_text(F.lit("1" + "0" * (DIGITS - 1)), e + 1)))
+
+
+def _text(digits: Column, e: Column) -> Column:
+    """Six digits, the first of which counts 10^e."""
+    plain = F.when(e >= 0, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.lit(DIGITS))))
+    plain = plain.otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+    exponent = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    science = F.concat(_strip(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, DIGITS))), exponent)
+    return F.when((e >= LEAST) & (e < MOST), _strip(plain)).otherwise(science)
+
+
+def _science(size: Column) -> Column:
+    text = F.format_string(f"%.{DIGITS - 1}e", size)
+    return F.concat(_strip(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow import schema
-from lociflow.functions import parse, record
+from lociflow.functions import built_once, parse, record
 from lociflow.functions.text import general
 
 KEY = ["contig", "start", "ref_allele", "alt_allele"]
@@ -20,13 +22,43 @@ def with_reference(calls: DataFrame) -> DataFrame:
     return calls.where(F.coalesce(F.get("cells", F.lit(schema.REF_FIELD)), F.lit("")) != "")
 
 
-def decode(calls: DataFrame, width: int | None = None, *more: str) -> DataFrame:
-    """Typed fields, and ``problem``: what is wrong with the row, null for nothing. ``more`` columns go along."""
-    typed = calls.select("ord", *more, *parse.decoded(F.col("cells")), "cells")  # each field is parsed once
-    ragged = F.lit(None).cast("string")
+def worst(problem: str = "problem") -> Column:
+    """The first row in input order that has a problem, as JSON of (ord, problem): an aggregate to observe."""
+    return F.to_json(F.min(F.when(F.col(problem).isNotNull(), F.struct("ord", F.col(problem).alias("problem"))))).alias("worst")
+
+
+def decode(calls: DataFrame, width: int | None = None, *more: str, only: Sequence[str] | None = None, observed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Typed fields, and ``problem``: what is wrong with the row, null for nothing. ``more`` columns go along; ``only`` names
+    the fields to give, but all are looked at.
+
+    A row that the reader could not take (``fault``), or that has not ``width`` fields, has a problem in any case; other
+    rows without a reference are left out unseen. ``observed`` puts an observation on all rows. Spark pushes no filter below
+    it, so nothing above makes it decode a row twice, or leave a row out before it is looked at.
+    """
+    problems = [F.col("fault")] if "fault" in calls.columns else []
     if width is not None:
-        ragged = F.when(F.size("cells") != width, F.concat(F.lit(f"expected {width} fields, found "), F.size("cells").cast("string")))
-    return typed.withColumn("problem", F.coalesce(ragged, parse.problem(F.col("cells")))).drop("cells")
+        problems.append(F.when(F.size("cells") != width, F.concat(F.lit(f"expected {width} fields, found "), F.size("cells").cast("string"))))
+    there = F.coalesce(F.get("cells", F.lit(schema.REF_FIELD)), F.lit("")) != ""
+    problem = F.coalesce(*problems, F.when(there, _problem()))
+    typed = calls.select("ord", *more, *_decoded(tuple(only or [n for n, _ in schema.FIELDS])), problem.alias("problem"), there.alias("_there"))
+    typed = observed(typed) if observed else typed.observe(Observation(), worst())
+    return typed.where(passed(F.col("problem").isNotNull() | F.col("_there"))).drop("_there")
+
+
+@built_once
+def _problem() -> Column:
+    return parse.problem(F.col("cells"))
+
+
+@built_once
+def _decoded(only: tuple[str, ...]) -> list[Column]:
+    return parse.decoded(F.col("cells"), only)
+
+
+def passed(condition: Column) -> Column:
+    """The condition, for filters of wide rows: as a higher-order function it is no part of whole-stage code, where a row's
+    forty columns would be copied by one method, too long for the JVM to compile. Such a filter hands rows on as they are."""
+    return F.exists(F.array(condition), lambda x: x)
 
 
 def checked(typed: DataFrame) -> DataFrame:
@@ -66,16 +98,19 @@ def of_sample(typed: DataFrame, sample: str, contigs: DataFrame | Sequence[str])
     return checked(complaints(typed, sample, contigs))
 
 
-#: What the columns of a record are made of.
-NEEDED = ["contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "base_quality_mean", "mean_mismatches_in_reads", "variant_type", "af", "ref_forward", "ref_reverse", "depth"]
+#: What the columns of a record are made of, and what is checked.
+NEEDED = ["sample", "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "base_quality_mean", "mean_mismatches_in_reads", "variant_type", "af", "ref_forward", "ref_reverse", "depth"]
 
 
 def records(typed: DataFrame, *more: str) -> DataFrame:
     """The columns of finished records, typed. ``more`` columns go along."""
+    return typed.select("ord", *more, *_record())
+
+
+@built_once
+def _record() -> list[Column]:
     c = F.col
-    return typed.select(
-        "ord",
-        *more,
+    return [
         c("contig").alias("chrom"),
         c("start").alias("pos"),
         c("ref_allele").alias("ref"),
@@ -89,11 +124,12 @@ def records(typed: DataFrame, *more: str) -> DataFrame:
         record.allele_depths(c("ref_forward"), c("ref_reverse"), c("alt_depth")).alias("ad"),
         c("depth").alias("dp"),
         c("alt_depth").alias("vd"),
-    )
+    ]
 
 
-def line(r: DataFrame) -> Column:
-    """A record as a line of text."""
+@built_once
+def line() -> Column:
+    """A record's columns as a line of text."""
     c = F.col
     info = F.concat_ws(";", F.concat(F.lit("END="), c("end")), F.concat(F.lit("MEAN_READ_NM="), general(c("mean_read_nm"))), F.concat(F.lit("SVLEN="), c("svlen")), F.concat(F.lit("SVTYPE="), c("svtype")))
     values = F.concat_ws(":", "gt", F.concat_ws(",", c("ad").cast("array<string>")), "dp", "vd")
@@ -101,8 +137,46 @@ def line(r: DataFrame) -> Column:
 
 
 def convert(calls: DataFrame, sample: str, contigs: DataFrame | Sequence[str], skip_non_variants: bool = False, width: int | None = None) -> DataFrame:
-    """Call rows to record columns: skip rows without reference, decode, filter, keep firsts, check, project."""
-    typed = decode(with_reference(calls), width)
+    """Call rows to record columns: skip rows without reference, decode, filter, keep firsts, check, project. Fails on a bad
+    row, on one of any if there are several."""
+    typed = decode(calls, width, only=NEEDED)
     if skip_non_variants:
         typed = variants_only(typed)
     return records(of_sample(first_of_each(checked(typed)), sample, contigs))
+
+
+class Findings:
+    """What a conversion met, known when its result has been computed once."""
+
+    def __init__(self) -> None:
+        self.looks: list[tuple[Observation, DataFrame]] = []
+
+    def observed(self, rows: DataFrame) -> DataFrame:
+        look = Observation()
+        self.looks.append((look, rows))
+        return rows.observe(look, worst())
+
+    def problem(self) -> str | None:
+        """The message of the first bad row in input order, None for none."""
+        found = [json.loads(x) for look, rows in self.looks if (x := _seen(look, rows))]
+        return min(((list(r["ord"].values()), r["problem"]) for r in found), default=(None, None))[1]
+
+
+def _seen(look: Observation, rows: DataFrame) -> str | None:
+    try:
+        return look.get["worst"]
+    except Py4JJavaError:
+        # Spark drops what turns out to be empty while it runs, and what was observed there. Nothing is left then, and the
+        # look costs a pass of its own.
+        return rows.agg(worst()).first()[0]
+
+
+def convert_noting(calls: DataFrame, sample: str, contigs: DataFrame | Sequence[str], skip_non_variants: bool = False, width: int | None = None) -> tuple[DataFrame, Findings]:
+    """The same, but bad rows are left out and noted: the result is good only if there is no problem. A row that is bad by
+    its sample or contig counts as what it is only if no earlier row has its key, so both looks give the first bad row."""
+    found = Findings()
+    typed = decode(calls, width, only=NEEDED, observed=found.observed).where("problem is null").drop("problem")
+    if skip_non_variants:
+        typed = variants_only(typed)
+    owned = found.observed(complaints(first_of_each(typed), sample, contigs))
+    return records(owned.where("problem is null")), found

@@ -85,16 +85,24 @@ def _spark(sql: str) -> str:
     return sql.replace("varchar(20)", "string")
 
 
-def derived(spark: SparkSession, folder: str, *names: str, ordered: bool = False) -> DataFrame:
-    """The named columns of call rows and ROW, plus ``ord``, which puts all columns of lineitem in order, where asked for."""
-    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+def line_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The table, dealt anew where its files give fewer tasks than there are cores: a small table in one row group."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(*LINE_ITEM)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, *ROW) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def derived(spark: SparkSession, folder: str, *names: str, ordered: bool = False, dealt: bool = False) -> DataFrame:
+    """The named columns of call rows and ROW, plus ``ord``, which puts all columns of lineitem in order, where asked for.
+    ``dealt`` is for work that outweighs dealing the rows of one row group to all cores."""
+    rows = line_items(spark, folder) if dealt else spark.read.parquet(f"{folder}/lineitem.parquet")
     order = [F.struct(*LINE_ITEM).alias("ord")] if ordered else []
     return rows.select(*ROW, *order, *[F.expr(_spark((CELLS | TYPED | MORE)[n])).alias(n) for n in names])
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
     """Rows as a reader of files gives them: ord and cells."""
-    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    rows = line_items(spark, folder)
     return rows.select(*ROW, F.struct(*LINE_ITEM).alias("ord"), F.array(*[F.expr(_spark(CELLS[n])) for n, _ in schema.FIELDS]).alias("cells"))
 
 
@@ -126,7 +134,7 @@ WITH t AS (SELECT l.*, row_number() OVER (PARTITION BY contig, "start", ref_alle
 
 
 def dedupe_first(spark: SparkSession, folder: str) -> DataFrame:
-    kept = calls.first_of_each(derived(spark, folder, "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "af", ordered=True))
+    kept = calls.first_of_each(derived(spark, folder, "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", "af", ordered=True, dealt=True))
     return kept.select(*ROW, "contig", "start", "end", "ref_allele", "alt_allele", "alt_depth", c("af").cast("double").alias("af"))
 
 
@@ -165,8 +173,8 @@ _add("decode_rows", decode_rows, _rows(", ".join(f'{DECODED_SQL[k].replace("{n}"
 _add("pos_end", lambda s, d: calls.records(derived(s, d, *calls.NEEDED, ordered=True), *ROW).select(*ROW, "chrom", "pos", c("end").alias("end_pos")), _rows('contig AS chrom, "start" AS pos, CAST("end" AS INT) AS end_pos'))
 _add("alt_for_vcf", lambda s, d: derived(s, d, "ref_allele", "alt_allele").withColumn("alt", record.alt(c("ref_allele"), c("alt_allele"))), _rows("ref_allele, alt_allele, CASE WHEN ref_allele = alt_allele THEN '.' ELSE alt_allele END AS alt"))
 QUAL_SQL = "CASE WHEN alt_depth = 0 THEN 0.0::FLOAT ELSE (ln(alt_depth::DOUBLE)::FLOAT / ln(2.0::DOUBLE)::FLOAT)::FLOAT * base_quality_mean END"
-_add("qual", lambda s, d: derived(s, d, "alt_depth", "base_quality_mean").select(*ROW, general(record.qual(c("alt_depth"), c("base_quality_mean"))).alias("qual")), _rows(f"printf('%g', ({QUAL_SQL})::DOUBLE) AS qual"))
-_add("mean_read_nm", lambda s, d: derived(s, d, "mean_mismatches_in_reads").select(*ROW, general(c("mean_mismatches_in_reads")).alias("mean_read_nm")), _rows("printf('%g', mean_mismatches_in_reads::DOUBLE) AS mean_read_nm"))
+_add("qual", lambda s, d: derived(s, d, "alt_depth", "base_quality_mean", dealt=True).select(*ROW, general(record.qual(c("alt_depth"), c("base_quality_mean"))).alias("qual")), _rows(f"printf('%g', ({QUAL_SQL})::DOUBLE) AS qual"))
+_add("mean_read_nm", lambda s, d: derived(s, d, "mean_mismatches_in_reads", dealt=True).select(*ROW, general(c("mean_mismatches_in_reads")).alias("mean_read_nm")), _rows("printf('%g', mean_mismatches_in_reads::DOUBLE) AS mean_read_nm"))
 SVLEN_SQL = """CASE WHEN variant_type IN ('BND', 'CNV', 'DEL', 'DUP', 'INS', 'INV') THEN CASE WHEN variant_type IN ('Deletion', 'DEL') THEN -1 ELSE 1 END * CAST("end" - "start" + 1 AS INT) END"""
 SVTYPE_SQL = "CASE WHEN variant_type IN ('BND', 'CNV', 'DEL', 'DUP', 'INS', 'INV') THEN variant_type END"
 _add(
@@ -200,7 +208,7 @@ WITH v AS (SELECT l.*, row_number() OVER (PARTITION BY contig, "start", ref_alle
 def vcf_line(spark: SparkSession, folder: str) -> DataFrame:
     """The whole conversion of variants, from text cells to finished lines: decode, filter, firsts, checks, projection."""
     out = calls.convert(cells(spark, folder), "s1", contigs(spark, folder).select("name"), skip_non_variants=True, width=len(schema.FIELDS))
-    return out.select("chrom", "pos", calls.line(out).alias("line"))
+    return out.select("chrom", "pos", calls.line().alias("line"))
 
 
 _add("vcf_line", vcf_line, VARIANT_SQL + f'SELECT contig AS chrom, "start" AS pos, {LINE_SQL} AS line FROM v WHERE k = 1')
@@ -222,5 +230,26 @@ _add(
     VARIANT_SQL + f"SELECT {LINE_SQL} AS line FROM v WHERE k = 1 UNION ALL SELECT '##contig=<ID=chr' || s_suppkey || ',length=' || ((s_suppkey + 1) * 1000) || '>' FROM supplier UNION ALL SELECT unnest(["
     + ", ".join("'" + x.replace("'", "''") + "'" for x in vcf.header("s1", [], "ref.fa")) + "])",
 )
+#: Fields that need quotes, or look as if they did, as SQL that Spark and DuckDB read alike.
+HARD = {
+    "plain": _text("l_orderkey * 10 + l_linenumber"),
+    "quotes": "concat(chr(34), l_returnflag, chr(34), chr(34), l_linestatus, chr(34))",
+    "tabs": f"concat(l_returnflag, chr(9), {_text('l_partkey')}, chr(9))",
+    "breaks": f"case when l_orderkey % 3 = 0 then concat(l_linestatus, chr(10), chr(10), chr(34), chr(10), {_text('l_suppkey')}) else {_text('l_partkey')} end",
+    "empty": "''",
+    "inner": "concat('a', chr(34), 'b', l_returnflag)",
+}
+
+
+def quoted_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose quoted fields hold quotes, tabs and line breaks, written as text files and read back."""
+    path = f"{scratch(spark)}/quoted"
+    quoted = [x if n in ("plain", "empty", "inner") else f"concat(chr(34), replace({x}, chr(34), concat(chr(34), chr(34))), chr(34))" for n, x in HARD.items()]
+    line_items(spark, folder).select(F.concat_ws("\t", *[F.expr(_spark(x)) for x in quoted])).write.text(path)
+    rows = var.read_calls(spark, path, line_breaks=True)
+    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(HARD)], F.size("cells").alias("fields"), "fault")
+
+
+_add("quoted_file", quoted_file, f"SELECT {', '.join(f'{x} AS {n}' for n, x in HARD.items())}, {len(HARD)} AS fields, NULL::VARCHAR AS fault FROM lineitem")
 _add("contig_header", lambda s, d: contigs(s, d).select(vcf.contig_column(c("name"), c("length")).alias("header")), "SELECT '##contig=<ID=chr' || s_suppkey || ',length=' || ((s_suppkey + 1) * 1000) || '>' AS header FROM supplier")
 _add("processed_count", lambda s, d: calls.convert(cells(s, d), "s1", contigs(s, d).select("name"), width=len(schema.FIELDS)).agg(F.count(F.lit(1)).alias("processed")), FIRSTS + "SELECT count(*) AS processed FROM t WHERE k = 1")

@@ -2,34 +2,120 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow import schema
+from lociflow.functions import built_once
 
-
-#: A field with the tab before it, and what stands inside and behind the quotes of a quoted one.
-FIELD = r'\t("[^"]*(?:""[^"]*)*"[^\t]*|[^\t]*)'
-QUOTED = r'^"([^"]*(?:""[^"]*)*)"(.*)$'
+#: A quote opens a field only at its begin. All repetitions are possessive, which Java runs in a loop: no stack grows with
+#: the number of quotes or fields.
+OPEN = r'"[^"]*+(?:""[^"]*+)*+'
+FIELD = rf'\t({OPEN}"[^\t]*+|[^\t]*+)'
+QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*+)\z'
+FIELDS = rf'(?:(?:{OPEN}"[^\t]*+|[^"\t][^\t]*+|)\t)*+'
+#: Lines at whose end a quoted field is open, where none is at their begin, and where one is.
+ENDS_OPEN = rf"^{FIELDS}{OPEN}\z"
+STAYS_OPEN = rf'^[^"]*+(?:""[^"]*+)*+(?:"[^\t]*+\t{FIELDS}{OPEN})?+\z'
+UNCLOSED = "a quoted field has no end on its line"
 
 
 def cells(value: Column) -> Column:
-    """A line's fields. Empty fields stay empty texts; quotes enclose a field and double inside it. Line ends always end a
-    row, also within quotes."""
+    """A row's fields. Empty fields stay empty texts; quotes enclose a field and double inside it."""
     fields = F.regexp_extract_all(F.concat(F.lit("\t"), value), F.lit(FIELD), F.lit(1))
     inside = lambda f: F.concat(F.replace(F.regexp_extract(f, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(f, QUOTED, 2))
-    return F.when(value.contains('"'), F.transform(fields, lambda f: F.when(f.rlike(QUOTED), inside(f)).otherwise(f))).otherwise(F.split(value, "\t", -1))
+    last = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f)), F.lit('""'), F.lit('"'))
+    plain = lambda f: F.when(f.rlike(QUOTED), inside(f)).when(f.startswith('"'), last(f)).otherwise(f)
+    return F.when(value.contains('"'), F.transform(fields, plain)).otherwise(F.split(value, "\t", -1))
+
+
+@built_once
+def _cells() -> Column:
+    return cells(F.when(F.col("value").endswith("\r"), F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value")))
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, cells): the lines of a file, or of a folder's files by name, blank lines left out. ord sorts as the input."""
-    lines = spark.read.text(path)
+def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return lines.select(order.alias("ord"), cells(F.regexp_replace("value", "\r$", "")).alias("cells"), "value").where("value != ''").drop("value")
+    return spark.read.options(**options).text(path).select(order.alias("ord"), "value")
+
+
+def rows(lines: DataFrame, closed: bool = False) -> DataFrame:
+    """(ord, cells, fault) of the lines (ord, value) that are not blank: their fields, and why a line cannot be read, null for
+    nothing. A line that leaves a quoted field open has the fault UNCLOSED, but not where rows are ``closed`` by now."""
+    faults = [F.when(~F.is_valid_utf8("value"), "the text is not valid UTF-8")]
+    if not closed:
+        faults.append(F.when(F.col("value").contains('"') & F.col("value").rlike(ENDS_OPEN), UNCLOSED))
+    return lines.where("value != '' and value != '\r'").select("ord", _cells().alias("cells"), F.coalesce(*faults).alias("fault"))
+
+
+def read_calls(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """(ord, cells, fault): the rows of a file, or of a folder's files by name, blank lines left out. ord sorts as the input;
+    fault says why a row cannot be read, null for nothing.
+
+    Each line is a row, and one that leaves a quoted field open has the fault UNCLOSED. With ``line_breaks`` such a row
+    goes on over the next lines (one that nothing closes, to the end of its file).
+    """
+    if line_breaks:
+        return rows(joined(_lines(spark, path, lineSep="\n")), closed=True)
+    return rows(_lines(spark, path))
+
+
+def joined(lines: DataFrame) -> DataFrame:
+    """(ord, value): lines put together to rows, where quoted fields hold line breaks.
+
+    Whether a line begins inside a quoted field depends on all lines before it, but only by one bit. A line turns that bit
+    into another one: it sets it, keeps it or flips it. Within a block of a file a running window composes the lines'
+    turns; the turns of blocks, one row each, are composed in the same way and give each block the bit that it begins with. So
+    files stay splittable, and only lines of rows that take several are shuffled to meet.
+    """
+    c, flag = F.col, lambda x: F.when(x, 1).otherwise(0)
+    value = F.regexp_replace("value", "\r\\z", "")
+    turned = lines.select("ord", "value", flag(value.rlike(ENDS_OPEN)).alias("out"), flag(value.rlike(STAYS_OPEN)).alias("in"))
+    turned = turned.select("*", (c("out") > c("in")).alias("flips"), F.when(c("out") == c("in"), c("out")).alias("sets"))
+
+    def composed(rows: DataFrame, over: W) -> DataFrame:
+        """What the rows up to each one come to: ``sets`` (null if none sets the bit) and, since then, how many flips."""
+        rows = rows.withColumn("_all", F.sum(c("flips").cast("int")).over(over))
+        rows = rows.withColumn("_last", F.last(F.when(c("sets").isNotNull(), F.struct("sets", "_all")), ignorenulls=True).over(over))
+        return rows.withColumn("after", F.struct(c("_last.sets").alias("sets"), (c("_all") - F.coalesce(c("_last._all"), F.lit(0))).alias("flips"))).drop("_all", "_last")
+
+    bit = lambda begin, turn: (F.coalesce(turn["sets"], begin) + turn["flips"]) % 2
+    block = W.partitionBy("ord.file", "ord.block").orderBy("ord.line")
+    upto = block.rowsBetween(W.unboundedPreceding, 0)
+    turned = composed(turned, upto).withColumn("before", F.lag("after").over(block))
+    ends = turned.groupBy("ord.file", "ord.block").agg(F.max_by("after", "ord.line").alias("turn"))
+    ends = ends.select("file", "block", (c("turn.sets").isNull() & (c("turn.flips") % 2 == 1)).alias("flips"), ((c("turn.sets") + c("turn.flips")) % 2).alias("sets"))
+    blocks = W.partitionBy("file").orderBy("block")
+    begins = composed(ends, blocks.rowsBetween(W.unboundedPreceding, 0))
+    begins = begins.select("file", "block", F.coalesce(F.lag(bit(F.lit(0), c("after"))).over(blocks), F.lit(0)).alias("begin"))
+    known = turned.join(begins, (c("ord.file") == c("file")) & (c("ord.block") == c("block")))
+    known = known.select("ord", "value", F.coalesce(bit(c("begin"), c("before")), c("begin")).alias("inside"), bit(c("begin"), c("after")).alias("open"))
+    # The line that a row begins with, for those lines that go on from another: the last one before them that begins outside.
+    # Those of a block's first row that began in an earlier block look to that block.
+    starts = known.withColumn("start", F.last(F.when(c("inside") == 0, c("ord")), ignorenulls=True).over(upto))
+    lasts = starts.groupBy("ord.file", "ord.block").agg(F.max_by("start", "ord.line").alias("start"))
+    lasts = lasts.select("file", "block", F.last("start", ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    whole = starts.where("inside = 0 and open = 0").select("ord", "value")
+    parts = starts.where("inside = 1 or open = 1").join(lasts, (c("ord.file") == c("file")) & (c("ord.block") == c("block")))
+    parts = parts.select(F.coalesce("start", "earlier").alias("ord"), F.struct(c("ord").alias("at"), "value").alias("part"))
+    several = parts.groupBy("ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["value"]), "\n").alias("value"))
+    return whole.union(several)
+
+
+def first_width(spark: SparkSession, path: str, line_breaks: bool = False) -> int | None:
+    """Number of fields of the first row, which all others must have: that of the first file that has rows."""
+    for file in sorted(spark.read.text(path).inputFiles()):
+        # Spark reads the blocks of one file in order, so its first row comes from its first task.
+        row = width(read_calls(spark, unquote(file), line_breaks))
+        if row is not None:
+            return row
+    return None
 
 
-def first_width(calls: DataFrame) -> int | None:
-    """Number of fields of the first row, which all others must have."""
+def width(calls: DataFrame) -> int | None:
     row = calls.select(F.size("cells")).first()
     return row[0] if row else None
 

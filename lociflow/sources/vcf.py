@@ -9,7 +9,7 @@ import struct
 import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
@@ -67,15 +67,19 @@ def header(sample: str, contigs: Iterable[tuple[str, int]], fasta: str) -> list[
     return ["##fileformat=VCFv4.2", source, *DECLARATIONS, *[contig_line(*c) for c in contigs], reference_line(fasta), "\t".join([*COLUMNS, sample])]
 
 
+#: Fixed value: the extension of compressed files.
+GZIP_EXTENSION = "gz"
+
+
 def is_gzip_path(path: str) -> bool:
     """Whether the last extension is gz; a bare name has none."""
-    stem, ext = os.path.splitext(os.path.basename(path))
-    return ext == ".gz" and bool(stem)
+    stem, ext = os.path.splitext(os.path.basename(path.rstrip("/")))
+    return ext == f".{GZIP_EXTENSION}" and bool(stem)
 
 
 def lines(records: DataFrame) -> DataFrame:
     """Records as text, in input order."""
-    return records.select("ord", line(records).alias("value")).orderBy("ord").select("value")
+    return records.select("ord", line().alias("value")).orderBy("ord").select("value")
 
 
 def bgzf(chunks: Iterable[bytes]) -> Iterator[bytes]:
@@ -103,19 +107,65 @@ def told(before: int, after: int) -> None:
         log.info("Processed %d variant records", n * PROGRESS)
 
 
-def save_parts(records: DataFrame, path: str, head: list[str], compress: bool = False) -> int:
-    """Executors write part files into a folder of any file system, in order, the header first; the number of records."""
-    spark = records.sparkSession
-    first = spark.createDataFrame(list(enumerate(head)), "place int, value string")
-    body = records.select("ord", line(records).alias("value"))
+#: Where lines of a file of parts stand: the header, records, and what ends a compressed file.
+HEAD, BODY, TAIL = 0, 1, 2
+#: The last byte of every block of a block-gzipped file: the high byte of a size below 65,536.
+LAST = "\0"
+Verify = Callable[[], None]
+
+
+def to_parts(records: DataFrame, path: str, head: list[str], verify: Verify = lambda: None) -> int:
+    """Executors write part files into a folder of any file system, in order, the header first; the number of records.
+
+    The parts joined by name are the file. For a path that ends in .gz they are block-gzipped, and joined they are one
+    valid block-gzipped file. The folder gets its name when all is written and verified; nothing is left of a failed job.
+    """
+    spark, compress = records.sparkSession, is_gzip_path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, staged = where(path.rstrip("/")), where(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    body = records.select(F.lit(BODY).alias("place"), "ord", line().alias("value"))
+    others = [(HEAD, x) for x in head] + ([(TAIL, "")] if compress else [])
+    others = spark.createDataFrame([(p, i, x) for i, (p, x) in enumerate(others)], "place int, n int, value string").repartition(1)
+    both = others.select("place", "n", F.lit(None).cast(body.schema["ord"].dataType).alias("ord"), "value").union(body.select("place", F.lit(0), "ord", "value"))
     seen = Observation()
-    both = first.select("place", F.lit(None).cast(body.schema["ord"].dataType).alias("ord"), "value").union(body.select(F.lit(None).cast("int"), "ord", "value"))
     # Counted after the sort, whose sampling runs what is below it twice.
-    ordered = both.orderBy(F.asc_nulls_last("place"), "ord").observe(seen, F.count_if(F.col("place").isNull()).alias("n"))
-    ordered.select("value").write.mode("errorifexists").option("compression", "gzip" if compress else "none").text(path)
+    ordered = both.orderBy("place", "n", "ord").observe(seen, F.count_if(F.col("place") == BODY).alias("n")).select("place", "value")
+    writer = (_blocks(ordered) if compress else ordered.select("value")).write
+    try:
+        (writer.option("lineSep", LAST) if compress else writer).text(staged.toString())
+        verify()
+        if not files.rename(staged, target):
+            raise OSError(f"cannot write {path}")
+    except BaseException:
+        files.delete(staged, True)
+        raise
     return seen.get["n"]
 
 
+def _blocks(ordered: DataFrame) -> DataFrame:
+    """Lines as blocks without their LAST byte, which the text writer adds as its line end: it takes any bytes, and brings the
+    file systems and the commit of Spark's writers with it."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ended = False
+
+        def texts() -> Iterator[bytes]:
+            nonlocal ended
+            for pdf in batches:
+                ended |= bool((pdf["place"] == TAIL).any())
+                yield "".join(f"{x}\n" for x in pdf["value"][pdf["place"] != TAIL]).encode()
+
+        for block in bgzf(texts()):
+            yield pd.DataFrame({"value": [block[:-1]]})
+        if ended:
+            yield pd.DataFrame({"value": [BGZF_END[:-1]]})
+
+    return ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a folder of part files, header included."""
     return spark.read.text(path)
@@ -132,15 +182,16 @@ def _packed(records: DataFrame, gzip: bool) -> DataFrame:
     return lines(records).mapInPandas(pack, "data binary, n bigint")
 
 
-def _sent(packed: DataFrame, out: BinaryIO, head: list[str], gzip: bool) -> int:
+def _sent(packed: DataFrame, out: BinaryIO, head: list[str], gzip: bool, verify: Verify) -> int:
     """Header and packed lines to a stream, one partition at a time; the number of lines. Nothing goes out if a row is bad."""
     done = packed.persist()
     try:
         done.count()
+        verify()
         text = "".join(f"{x}\n" for x in head).encode()
         out.write(b"".join(bgzf([text])) if gzip else text)
         count = 0
-        for row in done.toLocalIterator():
+        for row in done.toLocalIterator(prefetchPartitions=True):
             out.write(row["data"])
             told(count, count + row["n"])
             count += row["n"]
@@ -152,13 +203,13 @@ def _sent(packed: DataFrame, out: BinaryIO, head: list[str], gzip: bool) -> int:
         done.unpersist()
 
 
-def save(records: DataFrame, path: str, head: list[str]) -> int:
+def to_file(records: DataFrame, path: str, head: list[str], verify: Verify = lambda: None) -> int:
     """One local file, and its number of records: for outputs that one disk takes. It appears whole or not at all; a path
     that ends in .gz is block-gzipped."""
     beside = f"{path}.{uuid.uuid4().hex}"
     try:
         with open(beside, "wb") as out:
-            count = _sent(_packed(records, is_gzip_path(path)), out, head, is_gzip_path(path))
+            count = _sent(_packed(records, is_gzip_path(path)), out, head, is_gzip_path(path), verify)
         os.replace(beside, path)
         return count
     finally:
@@ -166,6 +217,6 @@ def save(records: DataFrame, path: str, head: list[str]) -> int:
             os.remove(beside)
 
 
-def show(records: DataFrame, head: list[str], out: BinaryIO | None = None) -> int:
+def to_stdout(records: DataFrame, path: str | None, head: list[str], verify: Verify = lambda: None) -> int:
     """The same to standard output."""
-    return _sent(_packed(records, False), out or sys.stdout.buffer, head, False)
+    return _sent(_packed(records, False), sys.stdout.buffer, head, False, verify)

@@ -42,15 +42,15 @@ def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], sk
         if not known_width:
             with contextlib.suppress(AnalysisException):  # the stream's first rows
                 known_width.extend(r["width"] for r in spark.read.schema("width int").json(f"{folder}/width").collect())
-        if not known_width and (found := var.first_width(rows)) is not None:
+        if not known_width and (found := var.width(rows)) is not None:
             spark.createDataFrame([(found,)], "width int").coalesce(1).write.mode("overwrite").json(f"{folder}/width")
             known_width.append(found)
         return known_width[0] if known_width else None
 
     def batch(df: DataFrame, number: int) -> None:
         order = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
-        rows = df.where("value != ''").select(order.alias("ord"), var.cells(F.regexp_replace("value", "\r$", "")).alias("cells"))
-        typed = calls.decode(calls.with_reference(rows), width(rows))
+        rows = var.rows(df.select(order.alias("ord"), "value"))
+        typed = calls.decode(rows, width(rows))
         if skip_non_variants:
             typed = calls.variants_only(typed)
         fresh = calls.first_of_each(calls.checked(typed))
@@ -60,7 +60,7 @@ def start(lines: DataFrame, folder: str, sample: str, contigs: Sequence[str], sk
         fresh = fresh.persist()
         try:
             records = calls.records(calls.of_sample(fresh, sample, names))
-            records.select("ord", calls.line(records).alias("value")).orderBy("ord").select("value").write.mode("overwrite").text(f"{folder}/records/batch={number}")
+            records.select("ord", calls.line().alias("value")).orderBy("ord").select("value").write.mode("overwrite").text(f"{folder}/records/batch={number}")
             fresh.select(*calls.KEY).write.mode("overwrite").parquet(f"{folder}/keys/batch={number}")
         finally:
             fresh.unpersist()

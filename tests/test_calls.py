@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lociflow import schema
 from lociflow.convert import convert, main
 from lociflow.functions import parse, record
 from lociflow.functions.text import general
@@ -187,15 +188,43 @@ def test_command_line(spark, files, monkeypatch, capfdbinary):
         main(["-r", "x", "-s", "y", "-m", "Paired"])
 
 
-def test_parts(spark, files):
-    files(spark, row(), row(start=5))
+@pytest.fixture
+def many_parts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_parts(spark, files, many_parts):
+    files(spark, *[row(start=i + 1) for i in range(700)])
     reference = str(files.folder / "ref.fa")
     whole = (files.folder / "out.vcf").read_text()
-    for target, read in (("parts", lambda p: p.read_text()), ("parts.gz", lambda p: gzip.decompress(p.read_bytes()).decode())):
-        assert convert(spark, str(files.folder / "in.var"), str(files.folder / target), reference, SAMPLE, parts=True) == 2
-        assert "".join(read(p) for p in sorted((files.folder / target).glob("part-*"))) == whole
-    with pytest.raises(ValueError, match="Expected sample"):
-        files(spark, row(sample="other"), target="more", parts=True)
+    for target in ("parts", "parts.gz"):
+        assert convert(spark, str(files.folder / "in.var"), str(files.folder / target), reference, SAMPLE, parts=True) == 700
+        found = sorted((files.folder / target).glob("part-*"))
+        data = b"".join(p.read_bytes() for p in found)
+        assert len(found) > 1 and (gzip.decompress(data) if target.endswith("gz") else data).decode() == whole
+        with pytest.raises(FileExistsError):
+            convert(spark, str(files.folder / "in.var"), str(files.folder / target), reference, SAMPLE, parts=True)
+    # Every block carries its own size, and together they are the file.
+    at = 0
+    while at < len(data):
+        assert data[at : at + 4] == b"\x1f\x8b\x08\x04" and data[at + 12 : at + 14] == b"BC"
+        at += int.from_bytes(data[at + 16 : at + 18], "little") + 1
+    assert at == len(data) and data.endswith(vcf.BGZF_END) and data.count(vcf.BGZF_END) == 1
+
+
+def test_a_failed_job_leaves_no_parts(spark, files):
+    (files.folder / "in.var").write_text("".join(x + "\n" for x in (row(), row(start=5, sample="other"))))
+    for target in ("more", "more.gz"):
+        with pytest.raises(ValueError, match="Expected sample"):
+            convert(spark, str(files.folder / "in.var"), str(files.folder / target), str(files.folder / "ref.fa"), SAMPLE, parts=True)
+    assert sorted(p.name for p in files.folder.iterdir()) == ["in.var", "ref.fa.fai"]
+
+
+def test_other_failures_stay_what_they_are(spark, files):
+    with pytest.raises(OSError, match="none"):
+        files(spark, row(), target="none/out.vcf")
 
 
 def test_progress(caplog):
@@ -207,7 +236,7 @@ def test_progress(caplog):
 
 
 def test_cells_of_quoted_and_wide_lines(spark):
-    cases = {"a\tb": ["a", "b"], "\ta\t": ["", "a", ""], 'x\t"q""r\ts"\t': ["x", 'q"r\ts', ""], '"a"b\tc"d': ["ab", 'c"d'], '""\t"': ["", '"'], "\t".join(["v"] * 100 + ['"w"']): ["v"] * 100 + ["w"], '"' + "x" * 100_000 + '"': ["x" * 100_000]}
+    cases = {"a\tb": ["a", "b"], "\ta\t": ["", "a", ""], 'x\t"q""r\ts"\t': ["x", 'q"r\ts', ""], '"a"b\tc"d': ["ab", 'c"d'], '""\t"': ["", ""], 'x\t"y""z': ["x", 'y"z'], "\t".join(["v"] * 100 + ['"w"']): ["v"] * 100 + ["w"], '"' + "x" * 100_000 + '"': ["x" * 100_000]}
     df = spark.createDataFrame(list(enumerate(cases)), "i int, value string").select("i", var.cells(F.col("value")).alias("c"))
     assert [r.c for r in df.orderBy("i").collect()] == list(cases.values())
 
@@ -219,3 +248,104 @@ def test_general_text_of_floats(spark):
     values = [float(np.float32(x)) for x in [*rng.random(300), *(rng.random(300) * 1e6), *10.0 ** rng.uniform(-9, 12, 300), *np.arange(0, 40, 0.25), 0.001, 0.0001, 1e7, 123456.0, 1234567.0, 99999.95]]
     df = spark.createDataFrame([(v,) for v in values], "x float").select(general(F.col("x")).alias("t"))
     assert [r.t for r in df.collect()] == ["%g" % v for v in values]
+
+
+def test_general_text_of_halves_and_near_halves(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    half = (rng.integers(100_000, 1_000_000, 2000) + 0.5) / 10.0 ** rng.integers(-14, 12, 2000)
+    powers = 10.0 ** np.arange(-30, 30)
+    values = [float(v) for v in [*half, *np.nextafter(half, 0), *powers, *np.nextafter(powers, 0), *np.nextafter(powers, np.inf), *rng.integers(0, 1 << 32, 2000, dtype=np.uint32).view(np.float32)]]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", general(F.col("x")).alias("t"))
+    for r in df.collect():
+        assert r.t == "%g" % abs(values[r.i]) if values[r.i] != values[r.i] else r.t == "%g" % values[r.i]
+
+
+@pytest.mark.parametrize("end", ['"', ""])
+def test_a_million_quotes_need_no_stack(spark, end):
+    line = "a\t" + '"' + '""' * 1_000_000 + end + ("\tb" if end else "")
+    df = spark.createDataFrame([(line,)], "value string").select(var.cells(F.col("value")).alias("c"), F.col("value").rlike(var.ENDS_OPEN).alias("open"), F.col("value").rlike(var.STAYS_OPEN).alias("stays"))
+    r = df.first()
+    assert r.c == ["a", '"' * 1_000_000, *(["b"] if end else [])] and r.open == (not end)
+
+
+def test_line_breaks_in_quotes_over_blocks_of_files(spark, tmp_path):
+    import csv
+    import random
+
+    sizes = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    rng, want = random.Random(4), []
+    for name in ("a", "b", "c"):
+        text = ""
+        for _ in range(150):
+            fields = ["".join(rng.choice(["\n", "\r\n", '"', "\t", "x", "é"]) for _ in range(rng.randrange(14))) if rng.random() < 0.5 else f"v{rng.randrange(99)}" for _ in range(4)]
+            text += "\t".join('"' + f.replace('"', '""') + '"' if set(f) & set('"\t\r\n') or rng.random() < 0.2 else f for f in fields) + rng.choice(["\n", "\r\n", "\n\n"])
+        text += '"' + "open\n" * 30 if name == "c" else ""  # what nothing closes goes to the end
+        (tmp_path / name).write_bytes(text.encode())
+        want += [r for r in csv.reader(io.StringIO(text, newline=""), delimiter="\t") if r]
+    want[-1] = ["open\n" * 30]
+    want[-1][0] = want[-1][0][:-1]
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        df = var.read_calls(spark, str(tmp_path), line_breaks=True)
+        assert df.select("ord.file", "ord.block").distinct().count() > 20
+        assert [r.cells for r in df.orderBy("ord").collect()] == want and df.where("fault is not null").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_conversion_over_line_breaks(spark, files):
+    text, body = files(spark, row(), row(start=5).replace("gene", '"ge\n\nne"'), row(start=6))
+    assert [b[1] for b in body] == ["100", "5", "6"]
+    with pytest.raises(ValueError, match="depth"):
+        files(spark, row(start=5).replace("gene", '"ge\nne"'), row(depth="x"))
+
+
+def test_what_a_reader_cannot_take_fails_in_any_row(spark, tmp_path):
+    (tmp_path / "ref.fa.fai").write_text("chr1\t1000\t5\t60\t61\n")
+    good = row().encode() + b"\n"
+    for bad, message in ((row(start=2).encode().replace(b"gene", b"g\xffe"), "not valid UTF-8"), (row(ref="").encode().replace(b"gene", b"g\xffe"), "not valid UTF-8"), (row(ref="", width=30).encode(), "expected 38 fields, found 30")):
+        (tmp_path / "in.var").write_bytes(good + bad + b"\n" + row(start=9, depth="x").encode())
+        with pytest.raises(ValueError, match=message):
+            convert(spark, str(tmp_path / "in.var"), str(tmp_path / "out.vcf"), str(tmp_path / "ref.fa"), SAMPLE)
+
+
+def test_width_is_that_of_the_first_file(spark, tmp_path):
+    (tmp_path / "a").write_text("")
+    (tmp_path / "b c").write_text("\n" + row(width=36) + "\n")
+    (tmp_path / "d").write_text((row() + "\n") * 50)
+    assert var.first_width(spark, str(tmp_path)) == 36
+
+
+def test_rows_pass_at_sight_or_are_looked_at(spark):
+    import itertools
+
+    odd = {"depth": ["2147483647", "2147483648", "0000000000012", "+5", "-5", "", "5\n", "٣"], "start": ["9223372036854775807", "9223372036854775808", "-1", "+1"], "af": ["1e5", ".5", "5.", "1.e3", "inf", "-Infinity", "NaN", "1f", "0x1p3", " 1", "."], "odds": ["INF", "x"], "bias": ["0;2", "0;3", "0;", "02;", "0,2"], "rate": ["0", "00", ""], "sv": ["0", "1-2-3-x", "99999999999-1-1", "+1-2-3", "1-2"], "kind": ["a\tb"]}
+    rows = [row(**{k: v}).split("\t") if k != "kind" else [*row().split("\t")[:35], v, *row().split("\t")[36:]] for k, vs in odd.items() for v in vs]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, cells array<string>")
+    strict = [f.alias(f"s{i}") for i, f in enumerate(parse.DECODERS[k](F.get("cells", F.lit(i))) for i, (_, k) in enumerate(schema.FIELDS))]
+    found = df.select("i", parse.problem(F.col("cells")).alias("problem"), F.struct(*parse.decoded(F.col("cells"))).cast("string").alias("fast"), F.struct(*strict).cast("string").alias("strict"), *strict).collect()
+    for r in found:
+        bad = [i for i, (_, k) in enumerate(schema.FIELDS) if r[f"s{i}"] is None and i < len(rows[r.i]) and not (k in ("rate", "sv") and rows[r.i][i] == "0")]
+        assert (r.problem or "").startswith(f"could not decode field {bad[0]} (" if bad else ""), rows[r.i]
+        assert bool(r.problem) == bool(bad) and (bad or r.fast == r.strict)
+    assert len(list(itertools.filterfalse(lambda r: r.problem, found))) > 12
+
+
+def test_no_field_is_decoded_twice(spark, tmp_path):
+    (tmp_path / "in.var").write_text(row() + "\n")
+    rows = var.read_calls(spark, str(tmp_path / "in.var"))
+    for out in (calls.convert(rows, SAMPLE, ["chr1"], True, 38), calls.convert_noting(rows, SAMPLE, ["chr1"], True, 38)[0]):
+        plan = out.select(calls.line())._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and plan.count("try_cast(cells") == len([n for n, k in schema.FIELDS if n in calls.NEEDED and k != "text"])
+
+
+def test_defaults(spark):
+    r = spark.range(1).select(parse.show_pair_bias(parse.default_pair()).alias("pair"), parse.show_sv_info(parse.default_sv()).alias("sv")).first()
+    assert (r.pair, r.sv) == ("UnDetected:UnDetected", "0-0-0")
+    assert vcf.GZIP_EXTENSION == "gz"
