@@ -9,8 +9,8 @@
    there) for n windows. The rectangles of two texts are joined over the hash functions: where those of ``ENOUGH``
    functions meet, in one cell of a grid over both texts, the stretches that they cover are compared.
 3. What those comparisons leave open is compared in full: in every group, each other text whose window there is not
-   all within known spans meets all others of the group, in blocks of bounded size, so that no pair of a group stays
-   unmet. A block first drops all passages of whose shingles too few occur in any other of its texts.
+   all within known spans meets all others of the group, in blocks of bounded size. So two texts that agree on ``ENOUGH``
+   functions meet: in step 2 if the one stands for so many of their groups, else here. A block first drops all passages of whose shingles too few occur in any other of its texts.
 4. Verification: a passage of LENGTH shingles (fifty words) is a near-duplicate if any passage of the same length
    in the other text shares so many of its shingles that their Jaccard similarity, as multisets, is at least
    ``SIMILARITY``; each text's passages are looked for in the other.
@@ -330,8 +330,9 @@ def _dealt(members: DataFrame, spans: DataFrame) -> DataFrame:
 
     Where two blocks meet, those marked left are looked for in those marked right.
     """
-    # Texts that agree on ENOUGH of the hash functions agree on one of any HASHES - ENOUGH + 1.
-    others = members.where("n > 2 and text_id != least").where(F.col("what").bitwiseAND(int(_FUNCTION)) <= HASHES - ENOUGH).select("what", "text_id", "begin", "end")
+    # Two texts that agree on ENOUGH functions have met before if the one stands for ENOUGH of those groups. Else, in some
+    # group, of any of the functions, neither does.
+    others = members.where("n > 2 and text_id != least").select("what", "text_id", "begin", "end")
     others = others.join(spans.select("text_id", "spans"), "text_id", "left")
     others = others.withColumn("spans", F.filter("spans", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin"))))
     others = others.withColumn("open", ~F.coalesce(F.exists("spans", lambda s: (s["begin"] <= F.col("begin")) & (s["end"] >= F.col("end"))), F.lit(False)))

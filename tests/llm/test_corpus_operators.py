@@ -586,3 +586,45 @@ def test_sample_is_bounded_exactly(spark, rows):
     one = spark.range(3_000_000).selectExpr("'x' as lang", "cast(id as string) as fp")
     assert sampled(one, "lang", "fp", 1).count() == 1  # a share under 2^-20
     assert sampled(df.limit(0), "lang", "fp", 10).count() == 0
+
+
+MEMBERS = "what long, text_id long, begin long, end long, least long, n long"
+
+
+def agreeing(groups):
+    """Rows of members: (function, number of the group) to the texts that share its signature, each with one window."""
+    return [(g * 8 + f, t, 0, 400, min(texts), len(texts)) for (f, g), texts in groups.items() for t in texts]
+
+
+def all_met(spark, rows):
+    members = spark.createDataFrame(rows, MEMBERS)
+    none = spark.createDataFrame([], f"text_id long, spans {substring_dedup.SPANS}")
+    found = {tuple(sorted((r.text_id, r.rep))) for r in substring_dedup._met(members).collect()}
+    blocks = {}
+    for r in substring_dedup._dealt(members, none).collect():
+        sides = blocks.setdefault((r.what, r.row, r.col), (set(), set()))
+        for side, is_in in zip(sides, (r.left, r.right), strict=True):
+            if is_in:
+                side.add(r.text_id)
+    return found | {tuple(sorted((a, b))) for left, right in blocks.values() for a in left for b in right if a != b}
+
+
+def test_texts_that_agree_where_another_one_stands_for_both_meet(spark):
+    # 5 and 9 agree on function 0, where 5 stands for the group, and on function 4, where 1 does.
+    assert (5, 9) in all_met(spark, agreeing({(0, 1): [5, 9], (4, 2): [1, 5, 9]}))
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_every_pair_that_agrees_on_two_functions_meets(spark, monkeypatch, block):
+    import itertools
+    import random
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    groups = {(f, g): sorted(rng.sample(range(40), rng.choice([2, 2, 3, 4, 7]))) for f in range(substring_dedup.HASHES) for g in range(25)}
+    agree = {}
+    for (f, _), texts in groups.items():
+        for pair in itertools.combinations(texts, 2):
+            agree.setdefault(pair, set()).add(f)
+    wanted = {p for p, fs in agree.items() if len(fs) >= substring_dedup.ENOUGH}
+    assert len(wanted) > 100 and wanted <= all_met(spark, agreeing(groups))
