@@ -7,12 +7,14 @@ import logging
 import os
 import struct
 import sys
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ COLUMNS = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMA
 #: An empty block ends a block-gzipped file.
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BGZF_BLOCK = 0xFF00
-#: Records after which progress is logged again.
-PROGRESS = 100_000
+#: Records after which progress is logged again, and seconds between two looks at them.
+PROGRESS, POLL = 100_000, 1.0
 log = logging.getLogger("lociflow")
 
 
@@ -107,6 +109,41 @@ def told(before: int, after: int) -> None:
         log.info("Processed %d variant records", n * PROGRESS)
 
 
+class Progress:
+    """While it is open, a thread of the driver asks every POLL seconds how many records there are, and logs it."""
+
+    def __init__(self, count: Callable[[], int]) -> None:
+        self.count, self.seen, self.closed = count, 0, threading.Event()
+        self.thread = threading.Thread(target=self._watch, name="progress", daemon=True)
+
+    def _watch(self) -> None:
+        while not self.closed.wait(POLL):
+            self._look()
+
+    def _look(self) -> None:
+        now = max(self.seen, self.count())
+        told(self.seen, now)
+        self.seen = now
+
+    def __enter__(self) -> Progress:
+        self.thread.start()
+        return self
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        self.closed.set()
+        self.thread.join()
+        if kind is None:
+            self._look()
+
+
+def rows_out(spark: SparkSession, description: str) -> int:
+    """Rows that the tasks of the jobs of this description have written so far."""
+    nothing = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, nothing, spark.sparkContext._jvm.java.util.ArrayList())
+    every = (stages.apply(i) for i in range(stages.size()))
+    return sum(x.outputRecords() for x in every if x.description().isDefined() and x.description().get() == description)
+
+
 #: Where lines of a file of parts stand: the header, records, and what ends a compressed file.
 HEAD, BODY, TAIL = 0, 1, 2
 #: The last byte of every block of a block-gzipped file: the high byte of a size below 65,536.
@@ -133,19 +170,27 @@ def to_parts(records: DataFrame, path: str, head: list[str], verify: Verify = la
     seen = Observation()
     # Counted after the sort, whose sampling runs what is below it twice.
     ordered = both.orderBy("place", "n", "ord").observe(seen, F.count_if(F.col("place") == BODY).alias("n")).select("place", "value")
-    writer = (_blocks(ordered) if compress else ordered.select("value")).write
+    packed = spark.sparkContext.accumulator(0)
+    writer = (_blocks(ordered, packed) if compress else ordered.select("value")).write
+    before = spark.sparkContext.getLocalProperty("spark.job.description")
+    name = f"{before or 'records'} {staged.getName()}"
+    count = (lambda: packed.value) if compress else (lambda: rows_out(spark, name) - len(head))
     try:
-        (writer.option("lineSep", LAST) if compress else writer).text(staged.toString())
+        spark.sparkContext.setLocalProperty("spark.job.description", name)
+        with Progress(count):
+            (writer.option("lineSep", LAST) if compress else writer).text(staged.toString())
         verify()
         if not files.rename(staged, target):
             raise OSError(f"cannot write {path}")
     except BaseException:
         files.delete(staged, True)
         raise
+    finally:
+        spark.sparkContext.setLocalProperty("spark.job.description", before)
     return seen.get["n"]
 
 
-def _blocks(ordered: DataFrame) -> DataFrame:
+def _blocks(ordered: DataFrame, packed: Accumulator) -> DataFrame:
     """Lines as blocks without their LAST byte, which the text writer adds as its line end: it takes any bytes, and brings the
     file systems and the commit of Spark's writers with it."""
 
@@ -156,6 +201,7 @@ def _blocks(ordered: DataFrame) -> DataFrame:
             nonlocal ended
             for pdf in batches:
                 ended |= bool((pdf["place"] == TAIL).any())
+                packed.add(int((pdf["place"] == BODY).sum()))
                 yield "".join(f"{x}\n" for x in pdf["value"][pdf["place"] != TAIL]).encode()
 
         for block in bgzf(texts()):
@@ -171,29 +217,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def _packed(records: DataFrame, gzip: bool) -> DataFrame:
+def _packed(records: DataFrame, gzip: bool, packed: Accumulator) -> DataFrame:
     """(data, n): the records' lines in order, as bytes for a file, compressed by the executors where asked for."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = "".join(f"{x}\n" for x in pdf["value"]).encode()
+            packed.add(len(pdf))
             yield pd.DataFrame({"data": [b"".join(bgzf([text])) if gzip else text], "n": [len(pdf)]})
 
     return lines(records).mapInPandas(pack, "data binary, n bigint")
 
 
-def _sent(packed: DataFrame, out: BinaryIO, head: list[str], gzip: bool, verify: Verify) -> int:
+def _sent(records: DataFrame, out: BinaryIO, head: list[str], gzip: bool, verify: Verify) -> int:
     """Header and packed lines to a stream, one partition at a time; the number of lines. Nothing goes out if a row is bad."""
-    done = packed.persist()
+    packed = records.sparkSession.sparkContext.accumulator(0)
+    done = _packed(records, gzip, packed).persist()
     try:
-        done.count()
+        with Progress(lambda: packed.value):
+            done.count()
         verify()
         text = "".join(f"{x}\n" for x in head).encode()
         out.write(b"".join(bgzf([text])) if gzip else text)
         count = 0
         for row in done.toLocalIterator(prefetchPartitions=True):
             out.write(row["data"])
-            told(count, count + row["n"])
             count += row["n"]
         if gzip:
             out.write(BGZF_END)
@@ -209,7 +257,7 @@ def to_file(records: DataFrame, path: str, head: list[str], verify: Verify = lam
     beside = f"{path}.{uuid.uuid4().hex}"
     try:
         with open(beside, "wb") as out:
-            count = _sent(_packed(records, is_gzip_path(path)), out, head, is_gzip_path(path), verify)
+            count = _sent(records, out, head, is_gzip_path(path), verify)
         os.replace(beside, path)
         return count
     finally:
@@ -219,4 +267,4 @@ def to_file(records: DataFrame, path: str, head: list[str], verify: Verify = lam
 
 def to_stdout(records: DataFrame, path: str | None, head: list[str], verify: Verify = lambda: None) -> int:
     """The same to standard output."""
-    return _sent(_packed(records, False), sys.stdout.buffer, head, False, verify)
+    return _sent(records, sys.stdout.buffer, head, False, verify)

@@ -235,6 +235,35 @@ def test_progress(caplog):
     assert [r.getMessage() for r in caplog.records] == [f"Processed {n} variant records" for n in (100_000, 200_000)]
 
 
+def test_progress_is_told_while_a_job_runs(spark, monkeypatch, caplog, tmp_path):
+    import time
+
+    monkeypatch.setattr(vcf, "PROGRESS", 100)
+    monkeypatch.setattr(vcf, "POLL", 0.05)
+    done = spark.sparkContext.accumulator(0)
+
+    def slow(batches):
+        for pdf in batches:
+            time.sleep(1 if pdf["id"].iloc[0] < 400 else 2)
+            done.add(len(pdf))
+            yield pdf
+
+    with caplog.at_level("INFO", "lociflow"), vcf.Progress(lambda: done.value):
+        spark.range(0, 800, 1, 8).mapInPandas(slow, "id long").write.format("noop").mode("overwrite").save()
+        ended = time.time()
+    assert [r.getMessage() for r in caplog.records] == [f"Processed {n} variant records" for n in range(100, 801, 100)]
+    assert caplog.records[0].created < ended - 1 and caplog.records[0].threadName == "progress"
+
+
+@pytest.mark.parametrize("target", ["out.vcf", "parts", "parts.gz"])
+def test_conversions_tell_their_progress(spark, files, monkeypatch, caplog, target):
+    monkeypatch.setattr(vcf, "PROGRESS", 100)
+    (files.folder / "in.var").write_text("".join(row(start=i + 1) + "\n" for i in range(350)))
+    with caplog.at_level("INFO", "lociflow"):
+        convert(spark, str(files.folder / "in.var"), str(files.folder / target), str(files.folder / "ref.fa"), SAMPLE, parts=target != "out.vcf")
+    assert [r.getMessage() for r in caplog.records] == [f"Processed {n} variant records" for n in (100, 200, 300, 350)]
+
+
 def test_cells_of_quoted_and_wide_lines(spark):
     cases = {"a\tb": ["a", "b"], "\ta\t": ["", "a", ""], 'x\t"q""r\ts"\t': ["x", 'q"r\ts', ""], '"a"b\tc"d': ["ab", 'c"d'], '""\t"': ["", ""], 'x\t"y""z': ["x", 'y"z'], "\t".join(["v"] * 100 + ['"w"']): ["v"] * 100 + ["w"], '"' + "x" * 100_000 + '"': ["x" * 100_000]}
     df = spark.createDataFrame(list(enumerate(cases)), "i int, value string").select("i", var.cells(F.col("value")).alias("c"))
