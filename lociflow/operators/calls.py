@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow import schema
@@ -73,8 +72,10 @@ def variants_only(typed: DataFrame) -> DataFrame:
 
 
 def first_of_each(typed: DataFrame, key: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
-    """The first row of each key. Spark keeps one row per key and task before the shuffle, so hot keys travel light."""
-    return typed.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each key, as an aggregate: tasks combine their rows before the shuffle, so hot keys travel light."""
+    rest = [c for c in typed.columns if c not in key]
+    first = typed.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return first.select(*[F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in typed.columns])
 
 
 def complaint(sample: str, known: Column) -> Column:
