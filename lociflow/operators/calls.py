@@ -26,9 +26,9 @@ def worst(problem: str = "problem") -> Column:
     return F.to_json(F.min(F.when(F.col(problem).isNotNull(), F.struct("ord", F.col(problem).alias("problem"))))).alias("worst")
 
 
-def decode(calls: DataFrame, width: int | None = None, *more: str, only: Sequence[str] | None = None, observed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def decode(calls: DataFrame, width: int | None = None, *more: str, only: Sequence[str] | None = None, observed: Callable[[DataFrame], DataFrame] | None = None, every: bool = False) -> DataFrame:
     """Typed fields, and ``problem``: what is wrong with the row, null for nothing. ``more`` columns go along; ``only`` names
-    the fields to give, but all are looked at.
+    the fields to give, but all are looked at. With ``every``, rows without a reference stay, told by a column ``there``.
 
     A row that the reader could not take (``fault``), or that has not ``width`` fields, has a problem in any case; other
     rows without a reference are left out unseen. ``observed`` puts an observation on all rows. Spark pushes no filter below
@@ -39,9 +39,9 @@ def decode(calls: DataFrame, width: int | None = None, *more: str, only: Sequenc
         problems.append(F.when(F.size("cells") != width, F.concat(F.lit(f"expected {width} fields, found "), F.size("cells").cast("string"))))
     there = F.coalesce(F.get("cells", F.lit(schema.REF_FIELD)), F.lit("")) != ""
     problem = F.coalesce(*problems, F.when(there, _problem()))
-    typed = calls.select("ord", *more, *_decoded(tuple(only or [n for n, _ in schema.FIELDS])), problem.alias("problem"), there.alias("_there"))
+    typed = calls.select("ord", *more, *_decoded(tuple(only or [n for n, _ in schema.FIELDS])), problem.alias("problem"), there.alias("there"))
     typed = observed(typed) if observed else typed.observe(Observation(), worst())
-    return typed.where(passed(F.col("problem").isNotNull() | F.col("_there"))).drop("_there")
+    return typed if every else typed.where(passed(F.col("problem").isNotNull() | F.col("there"))).drop("there")
 
 
 @built_once

@@ -52,3 +52,44 @@ def test_a_stream_goes_on(spark, tmp_path):
         assert query.isActive and spark.read.text(f"{out}/records").count() == 2
     finally:
         query.stop()
+
+
+def test_a_batch_reads_its_own_keys_alone(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    looked = []
+    for n, starts in enumerate([range(1, 3001), range(2991, 3011), range(3011, 6011), range(6001, 6021)]):
+        (source / f"{9 - n}.var").write_text("".join(row(start=i) + "\n" for i in starts))
+        query = start(read_stream(spark, str(source)), out, SAMPLE, ["chr1", "chr2"])
+        query.awaitTermination()
+        looked.append(query.lastProgress["stateOperators"][0]["customMetrics"])
+    gets = [m["rocksdbGetCount"] for m in looked]
+    read = [m["rocksdbTotalBytesRead"] for m in looked]
+    assert gets[1] == gets[3] and gets[1] < 100 < 3000 <= gets[0] == gets[2]
+    assert read[3] <= 1.5 * read[1] < 20_000  # ten known keys each, behind 3000 and behind 6000
+    assert spark.read.text(f"{out}/records").count() == 6020
+
+
+def test_first_wins_by_arrival_whatever_a_file_is_called(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "z.var").write_text("\n".join([row(start=1, depth=7), row(start=2, ref="", depth=1), row(start=1, depth=8)]) + "\n")
+    start(read_stream(spark, str(source)), out, SAMPLE, ["chr1"]).awaitTermination()
+    (source / "a.var").write_text("\n".join([row(start=1, depth=9), row(start=2, depth=5), row(start=2, depth=6)]) + "\n")
+    start(read_stream(spark, str(source)), out, SAMPLE, ["chr1"]).awaitTermination()
+    got = sorted(r.value.split(":")[-2] for r in spark.read.text(f"{out}/records").collect())
+    assert got == ["5", "7"]
+
+
+def test_a_batch_that_is_run_again_writes_the_same(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.var").write_text(row(start=1) + "\n")
+    start(read_stream(spark, str(source)), str(out), SAMPLE, ["chr1"]).awaitTermination()
+    (source / "b.var").write_text(row(start=1, depth=3) + "\n" + row(start=2, depth=4) + "\n")
+    start(read_stream(spark, str(source)), str(out), SAMPLE, ["chr1"]).awaitTermination()
+    before = sorted(r.value for r in spark.read.text(f"{out}/records").collect())
+    for name in ("1", ".1.crc"):
+        (out / "checkpoint" / "commits" / name).unlink()
+    start(read_stream(spark, str(source)), str(out), SAMPLE, ["chr1"]).awaitTermination()
+    assert sorted(r.value for r in spark.read.text(f"{out}/records").collect()) == before and len(before) == 2
