@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -16,6 +17,7 @@ from lociflow.sources import var, vcf
 from lociflow.sources.shared import upload
 
 MODES = ("TumorOnly",)
+SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:/")
 log = logging.getLogger("lociflow")
 
 
@@ -23,14 +25,15 @@ def convert(spark: SparkSession, source: str, target: str | None, reference: str
     """Convert a file of calls, or a folder of them. Returns the number of records.
 
     With ``parts`` executors write a folder of part files to any file system; a path that ends in .gz gives block-gzipped ones.
-    Without, the records meet in one local file; ``target`` None or ``-`` is standard output. The rows are read and
+    Without, the records meet in one file: a target with a scheme (hdfs:, s3a:, file:) is written by the executors, a plain path is
+    a local file of the driver; ``target`` None or ``-`` is standard output. The rows are read and
     decoded once: what is wrong with them is noted in the same pass, and nothing is published if there is something.
     """
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode}")
     contigs = var.read_index(spark, var.index_path(reference))
     head = vcf.header(sample, contigs, reference)
-    sink = vcf.to_stdout if target in (None, "-") else vcf.to_parts if parts else vcf.to_file
+    sink = vcf.to_stdout if target in (None, "-") else vcf.to_parts if parts else vcf.to_one if SCHEME.match(target) else vcf.to_file
 
     def attempt(line_breaks: bool) -> int:
         rows = var.read_calls(spark, source, line_breaks)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark import Accumulator
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,6 +212,55 @@ def _blocks(ordered: DataFrame, packed: Accumulator) -> DataFrame:
     return ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
 
 
+def to_one(records: DataFrame, path: str, head: list[str], verify: Verify = lambda: None) -> int:
+    """One file of any file system, and its number of records, without the driver: executors order, format and compress in
+    parallel, and one task streams their chunks into the file. It appears whole or not at all, in place of an older one; a
+    path that ends in .gz is block-gzipped.
+    """
+    spark, gzip = records.sparkSession, is_gzip_path(path)
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    target, staged = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(settings)
+    seen, packed = Observation(), spark.sparkContext.accumulator(0)
+    ordered = records.select("ord", line().alias("value")).orderBy("ord").observe(seen, F.count("*").alias("n")).select("value")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            packed.add(len(pdf))
+            for chunk in _chunks(pdf["value"], gzip):
+                yield pd.DataFrame({"part": [part], "n": [n], "data": [chunk]})
+                n += 1
+
+    before = [(-1, i, bytearray(x)) for i, x in enumerate(_chunks(head, gzip))]
+    after = [(2**31 - 1, 0, bytearray(BGZF_END[:-1]))] if gzip else []
+    ends = spark.createDataFrame(before + after, "part int, n int, data binary")
+    chunks = ends.union(ordered.mapInPandas(pack, "part int, n int, data binary"))
+    one = chunks.repartition(1).sortWithinPartitions("part", "n").select(F.col("data").cast("string").alias("value"))
+    try:
+        with Progress(lambda: packed.value):
+            one.write.option("lineSep", LAST if gzip else "\n").text(staged.toString())
+        verify()
+        written = next(x.getPath() for x in files.listStatus(staged) if x.getPath().getName().startswith("part-"))
+        rename = getattr(fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        fs.FileContext.getFileContext(target.getFileSystem(settings).getUri(), settings).rename(written, files.makeQualified(target), how)
+    finally:
+        files.delete(staged, True)
+    return seen.get["n"]
+
+
+def _chunks(lines: Iterable[str], gzip: bool) -> Iterator[bytes]:
+    """Lines as bytes that a text writer ends by the last byte of each chunk."""
+    text = "".join(f"{x}\n" for x in lines).encode()
+    if gzip:
+        yield from (block[:-1] for block in bgzf([text]))
+    elif text:
+        yield text[:-1]
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a folder of part files, header included."""
     return spark.read.text(path)

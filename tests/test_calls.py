@@ -3,6 +3,7 @@
 import gzip
 import io
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -378,3 +379,32 @@ def test_defaults(spark):
     r = spark.range(1).select(parse.show_pair_bias(parse.default_pair()).alias("pair"), parse.show_sv_info(parse.default_sv()).alias("sv")).first()
     assert (r.pair, r.sv) == ("UnDetected:UnDetected", "0-0-0")
     assert vcf.GZIP_EXTENSION == "gz"
+
+
+@pytest.mark.parametrize("name", ["one.vcf", "one.vcf.gz"])
+def test_one_file_by_the_executors(spark, tmp_path, name):
+    """The same bytes as the driver's own file has (unpacked, where compressed), whole or not at all, over an older one."""
+    (tmp_path / "ref.fa.fai").write_text("chr1\t90000\t5\t60\t61\n")
+    (tmp_path / "in.var").write_text("".join(row(start=i) + "\n" for i in random_order(5000)))
+    args = (str(tmp_path / "ref.fa"), SAMPLE)
+    convert(spark, str(tmp_path / "in.var"), str(tmp_path / "plain.vcf"), *args)
+    want = (tmp_path / "plain.vcf").read_bytes()
+    target = tmp_path / name
+    target.write_text("older")
+    assert convert(spark, str(tmp_path / "in.var"), f"file://{target}", *args) == 5000
+    data = target.read_bytes()
+    assert (gzip.decompress(data) if name.endswith("gz") else data) == want
+    assert data.endswith(vcf.BGZF_END) or name == "one.vcf"
+    (tmp_path / "in.var").write_text(row(depth="x") + "\n")
+    with pytest.raises(ValueError, match="depth"):
+        convert(spark, str(tmp_path / "in.var"), f"file:{target}", *args)
+    (tmp_path / "in.var").write_text("")
+    assert target.read_bytes() == data and not [x for x in os.listdir(tmp_path) if x.startswith(f"{name}.")]
+    assert convert(spark, str(tmp_path / "in.var"), f"file:{target}", *args) == 0
+    assert (gzip.decompress(target.read_bytes()) if name.endswith("gz") else target.read_bytes()).count(b"\n") == want.count(b"\n") - 5000
+
+
+def random_order(n):
+    import random
+
+    return random.Random(1).sample(range(1, n + 1), n)
