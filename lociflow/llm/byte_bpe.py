@@ -10,7 +10,8 @@ Pieces that a task has seen are remembered up to a bound, so frequent ones are e
 shuffled; the vocabulary, of fixed size, is read by the driver and sent to the tasks once.
 
 Edge cases: a null text counts as empty and has no tokens. There are no special tokens: their strings are ordinary
-text. Rows are judged one by one; repeated rows get equal results, other columns play no part, no rows give no rows.
+text. Very long texts are encoded whole, in blocks of their pieces. Rows are judged one by one; repeated rows get equal
+results, other columns play no part, no rows give no rows.
 """
 
 from __future__ import annotations

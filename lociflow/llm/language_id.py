@@ -10,7 +10,8 @@ The sample of a fit is bounded exactly: of each language the texts of smallest h
 it has and however many rows there are.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row every text is
-``und``. Rows are judged one by one, so repeated rows get equal results and other columns play no part.
+``und``. Very long texts are read whole, in time in line with their length. Rows are judged one by one, so repeated
+rows get equal results; other columns, of whatever name, play no part; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@
 
 Equal texts are one node throughout, so copies are never paired. Edge cases: null counts as the empty text; texts
 without a word are near-duplicates only of equal texts; texts of fewer than five words have one shingle, all their
-words; rows without an id take part, and a class's id is its smallest id, null if no member has one.
+words; rows without an id take part, and a class's id is its smallest id, null if no member has one. Very long texts are read
+whole: a task holds the shingles of the two texts that it compares. No rows give no rows; other columns, of whatever
+name, pass through ``one_of_each`` untouched.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ sample chooses; labels count as slightly uncertain there, so that a few texts th
 Edge cases: null counts as the empty text; a text without units is pooled to zeros and scored like any other. Without
 any label, or with labels of one kind alone, every score is the share of that label (0.5 for none). A document that
 carries several labels counts as good if one of them is 1; of several texts with one id the fit takes that of the
-smallest hash. Rows are judged one by one, so repeated rows get equal
-results and other columns play no part.
+smallest hash. Very long texts are read whole. Rows are judged one by one, so repeated rows get equal
+results and other columns play no part; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ collision can only hide what the two colliding texts have in common with each ot
 Every verbatim passage of fifty words that two texts share agrees on all hash functions, so its texts meet, by step 2 or
 by step 3. Passages of similarity 0.8 become candidates with probability 0.993 at least. Edge cases: null counts as
 the empty text; texts of under fifty words have no spans; repeats within one text alone do not count; words are as in
-``tokens``; rows without an id take part; other columns play no part.
+``tokens``; rows without an id take part; other columns play no part. Very long texts are read whole; only stretches
+of them are compared. No rows give no rows.
 """
 
 from __future__ import annotations

@@ -51,3 +51,24 @@ def test_stages(spark, folder):
 
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+CLASHING = ["id", "_key", "text_id", "body", "live", "new", "hits", "base", "repository", "owner", "keep", "item_id", "root", "lang_pred", "score", "_order"]
+
+
+def test_an_empty_table_and_columns_of_clashing_names(spark, tmp_path):
+    """No rows give no rows; columns that the stages use themselves pass through all but the last untouched."""
+    some = ["first text of a few words", "another text of a few words", "token = '0123456789abcdef0123456789abcdef'"]
+    rows = docs(spark, some, lang={i: "aa" for i in range(3)})
+    more = rows.selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in CLASHING])
+    for name, table in (("none", more.limit(0)), ("some", more)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, "nothing that any text here has in it at all")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    left = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, f"{tmp_path}/some")
+        assert left.columns == more.columns, name
+    got = left.collect()
+    assert len(got) == 3 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHING)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} == {0, 1, 2}
