@@ -170,6 +170,18 @@ DECODED_SQL = {
 }
 _add("decode_rows", decode_rows, _rows(", ".join(f'{DECODED_SQL[k].replace("{n}", n)} AS "{n}"' for n, k in schema.FIELDS) + ", NULL::VARCHAR AS problem"))
 
+
+def short_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that lack some of their last fields, or all that may be missing: these are null, and no problem."""
+    rows = cells(spark, folder).withColumn("cells", F.slice("cells", F.lit(1), (schema.REQUIRED + c("l_orderkey") % 4).cast("int")))
+    typed = calls.decode(rows, None, *ROW)
+    sv = F.when(c("sv_info").isNotNull(), parse.show_sv_info(c("sv_info")))
+    return typed.select(*ROW, "variant_type", c("duplication_rate").cast("double").alias("duplication_rate"), sv.alias("sv_info"), "distance_to_crispr_site", "problem")
+
+
+LAST_SQL = {n: f'CASE WHEN l_orderkey % 4 > {i} THEN {DECODED_SQL[k].replace("{n}", n)} END AS "{n}"' for i, (n, k) in enumerate(schema.FIELDS[schema.REQUIRED :])}
+_add("short_rows", short_rows, _rows(f"variant_type, {', '.join(LAST_SQL.values())}, NULL::VARCHAR AS problem"))
+
 _add("pos_end", lambda s, d: calls.records(derived(s, d, *calls.NEEDED, ordered=True), *ROW).select(*ROW, "chrom", "pos", c("end").alias("end_pos")), _rows('contig AS chrom, "start" AS pos, CAST("end" AS INT) AS end_pos'))
 _add("alt_for_vcf", lambda s, d: derived(s, d, "ref_allele", "alt_allele").withColumn("alt", record.alt(c("ref_allele"), c("alt_allele"))), _rows("ref_allele, alt_allele, CASE WHEN ref_allele = alt_allele THEN '.' ELSE alt_allele END AS alt"))
 QUAL_SQL = "CASE WHEN alt_depth = 0 THEN 0.0::FLOAT ELSE (ln(alt_depth::DOUBLE)::FLOAT / ln(2.0::DOUBLE)::FLOAT)::FLOAT * base_quality_mean END"
