@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +39,12 @@ def cells(value: Column) -> Column:
 
 @built_once
 def _cells() -> Column:
-    return cells(F.when(F.col("value").endswith("\r"), F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value")))
+    return cells(_ended())
+
+
+def _ended() -> Column:
+    """A line without the carriage return at its end."""
+    return F.when(F.col("value").endswith("\r"), F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value"))
 
 
 def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -67,42 +77,116 @@ def joined(lines: DataFrame) -> DataFrame:
     """(ord, value): lines put together to rows, where quoted fields hold line breaks.
 
     Whether a line begins inside a quoted field depends on all lines before it, but only by one bit. A line turns that bit
-    into another one: it sets it, keeps it or flips it. Within a block of a file a running window composes the lines'
-    turns; the turns of blocks, one row each, are composed in the same way and give each block the bit that it begins with. So
-    files stay splittable, and only lines of rows that take several are shuffled to meet.
+    into another one: it sets it, keeps it or flips it. A task reads the lines of a block in order, so it can follow the bit
+    without a shuffle; a first pass over the turns alone tells for each block what it makes of either bit, where its first row
+    begins and which row it leaves open. Blocks, one row each, are composed by a running window. Then a second pass
+    puts the rows together that lie within a block, and only lines of rows that go on over a block's end are shuffled to meet.
     """
-    c, flag = F.col, lambda x: F.when(x, 1).otherwise(0)
-    value = F.regexp_replace("value", "\r\\z", "")
-    turned = lines.select("ord", "value", flag(value.rlike(ENDS_OPEN)).alias("out"), flag(value.rlike(STAYS_OPEN)).alias("in"))
-    turned = turned.select("*", (c("out") > c("in")).alias("flips"), F.when(c("out") == c("in"), c("out")).alias("sets"))
-
-    def composed(rows: DataFrame, over: W) -> DataFrame:
-        """What the rows up to each one come to: ``sets`` (null if none sets the bit) and, since then, how many flips."""
-        rows = rows.withColumn("_all", F.sum(c("flips").cast("int")).over(over))
-        rows = rows.withColumn("_last", F.last(F.when(c("sets").isNotNull(), F.struct("sets", "_all")), ignorenulls=True).over(over))
-        return rows.withColumn("after", F.struct(c("_last.sets").alias("sets"), (c("_all") - F.coalesce(c("_last._all"), F.lit(0))).alias("flips"))).drop("_all", "_last")
-
-    bit = lambda begin, turn: (F.coalesce(turn["sets"], begin) + turn["flips"]) % 2
-    block = W.partitionBy("ord.file", "ord.block").orderBy("ord.line")
-    upto = block.rowsBetween(W.unboundedPreceding, 0)
-    turned = composed(turned, upto).withColumn("before", F.lag("after").over(block))
-    ends = turned.groupBy("ord.file", "ord.block").agg(F.max_by("after", "ord.line").alias("turn"))
-    ends = ends.select("file", "block", (c("turn.sets").isNull() & (c("turn.flips") % 2 == 1)).alias("flips"), ((c("turn.sets") + c("turn.flips")) % 2).alias("sets"))
-    blocks = W.partitionBy("file").orderBy("block")
-    begins = composed(ends, blocks.rowsBetween(W.unboundedPreceding, 0))
-    begins = begins.select("file", "block", F.coalesce(F.lag(bit(F.lit(0), c("after"))).over(blocks), F.lit(0)).alias("begin"))
-    known = turned.join(begins, (c("ord.file") == c("file")) & (c("ord.block") == c("block")))
-    known = known.select("ord", "value", F.coalesce(bit(c("begin"), c("before")), c("begin")).alias("inside"), bit(c("begin"), c("after")).alias("open"))
-    # The line that a row begins with, for those lines that go on from another: the last one before them that begins outside.
-    # Those of a block's first row that began in an earlier block look to that block.
-    starts = known.withColumn("start", F.last(F.when(c("inside") == 0, c("ord")), ignorenulls=True).over(upto))
-    lasts = starts.groupBy("ord.file", "ord.block").agg(F.max_by("start", "ord.line").alias("start"))
-    lasts = lasts.select("file", "block", F.last("start", ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
-    whole = starts.where("inside = 0 and open = 0").select("ord", "value")
-    parts = starts.where("inside = 1 or open = 1").join(lasts, (c("ord.file") == c("file")) & (c("ord.block") == c("block")))
-    parts = parts.select(F.coalesce("start", "earlier").alias("ord"), F.struct(c("ord").alias("at"), "value").alias("part"))
+    c = F.col
+    quoted, value = c("value").contains('"'), _ended()
+    turned = lines.select("ord", "value", (quoted & value.rlike(ENDS_OPEN)).alias("out"), (~quoted | value.rlike(STAYS_OPEN)).alias("in"))
+    known = F.broadcast(_bounds(turned.select("ord", "out", "in").mapInArrow(_turns, TURNS)))
+    placed = lambda rows: rows.join(known, (c("ord.file") == c("file")) & (c("ord.block") == c("block")))
+    within = (c("ord.line") >= c("first")) & (c("last").isNull() | (c("ord.line") < c("last")))
+    ord_type = lines.schema["ord"].dataType.simpleString()
+    whole = placed(turned).where(within).select("ord", c("value").cast("binary").alias("value"), "out", "in").mapInArrow(_put_together, f"ord {ord_type}, value binary")
+    start = F.when(c("ord.line") >= c("last"), F.struct("file", "block", c("last").alias("line"))).otherwise(c("earlier"))
+    parts = placed(lines).where(~F.coalesce(within, F.lit(False))).select(start.alias("ord"), F.struct(c("ord").alias("at"), "value").alias("part"))
     several = parts.groupBy("ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["value"]), "\n").alias("value"))
-    return whole.union(several)
+    return whole.select("ord", c("value").cast("string").alias("value")).union(several)
+
+
+#: What a block makes of the bit 0 and of the bit 1 that it may begin with: the bit at its end, the first line that begins
+#: outside a quoted field, and the last such line.
+TURNS = "file string, block bigint, " + ", ".join(f"open{b} boolean, first{b} bigint, last{b} bigint" for b in (0, 1))
+
+
+def _followed(out: np.ndarray, stays: np.ndarray, begin: bool) -> np.ndarray:
+    """Whether lines begin inside a quoted field, and whether the line after them does: one more than there are lines."""
+    flips = np.cumsum(out & ~stays)
+    last = np.maximum.accumulate(np.where(out == stays, np.arange(len(out)), -1))
+    since = np.where(last >= 0, out[last] - flips[last], int(begin)) + flips
+    return np.concatenate([[begin], since % 2 == 1])
+
+
+def _bools(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The turn of each block, as TURNS, from its lines (ord, out, in)."""
+    at, state = None, None
+
+    def told() -> pa.RecordBatch:
+        row = [*at, *(x for s in state for x in s)]
+        kinds = [pa.string(), pa.int64(), *[pa.bool_(), pa.int64(), pa.int64()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in TURNS.split(", ")])
+
+    for batch in batches:
+        file, block, line = batch.column("ord").flatten()
+        out, stays = _bools(batch.column("out")), _bools(batch.column("in"))
+        number, ids = line.to_numpy(), file.dictionary_encode().indices.to_numpy()
+        changes = (np.diff(ids) != 0) | (np.diff(block.to_numpy()) != 0)
+        edges = [0, *(np.flatnonzero(changes) + 1), len(number)] if len(number) else []
+        for i, j in itertools.pairwise(edges):
+            here = (file[i].as_py(), block[i].as_py())
+            if here != at:
+                if at:
+                    yield told()
+                at, state = here, [[False, None, None], [True, None, None]]
+            for s in state:
+                inside = _followed(out[i:j], stays[i:j], s[0])
+                begins = number[i:j][~inside[:-1]]
+                s[0] = bool(inside[-1])
+                if len(begins):
+                    s[1:] = int(begins[0]) if s[1] is None else s[1], int(begins[-1])
+    if at:
+        yield told()
+
+
+def _bounds(turns: DataFrame) -> DataFrame:
+    """For each block: the first line that begins a row; the line whose row the block leaves open, null for none; and, as
+    ``earlier``, the begin of the row that an earlier block of the file left open."""
+    c = F.col
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    keeps, sets = ~c("open0") & c("open1"), c("open0") == c("open1")
+    flips = turns.withColumn("_flips", F.coalesce(F.sum((~keeps & ~sets).cast("int")).over(W.partitionBy("file").orderBy("block")), F.lit(0)))
+    # The last block before this one that sets the bit, and the flips since then.
+    flips = flips.withColumn("_set", F.last(F.when(sets, F.struct(c("open0").cast("int").alias("bit"), "_flips")), ignorenulls=True).over(before)).withColumn("_before", F.coalesce(F.max("_flips").over(before), F.lit(0)))
+    begin = (F.coalesce(c("_set.bit"), F.lit(0)) + c("_before") - F.coalesce(c("_set._flips"), F.lit(0))) % 2 == 1
+    taken = flips.withColumn("_begin", begin).select("file", "block", *[F.when(c("_begin"), c(f"{x}1")).otherwise(c(f"{x}0")).alias(x) for x in ("open", "first", "last")])
+    left = taken.withColumn("last", F.when(c("open"), c("last")))
+    return left.select("file", "block", "first", "last", F.last(F.when(c("last").isNotNull(), F.struct("file", "block", c("last").alias("line"))), ignorenulls=True).over(before).alias("earlier"))
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, value) of rows from their lines (ord, value, out, in), in order. The first line begins a row and the last ends one."""
+    held, rest = None, []
+
+    def full(ords: pa.Array, values: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ords, values], names=["ord", "value"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ords, values = batch.column("ord"), batch.column("value")
+        inside = _followed(_bools(batch.column("out")), _bools(batch.column("in")), held is not None)
+        starts = np.flatnonzero(~inside[:-1])
+        if held is not None:
+            # Lines of the row that an earlier batch left open.
+            n = starts[0] if len(starts) else len(values)
+            rest += values[:n].to_pylist()
+            if len(starts) or not inside[-1]:
+                yield full(held, pa.array([b"\n".join(rest)], pa.binary()))
+                held, rest = None, []
+        if inside[-1] and len(starts):
+            held, rest = ords.take(starts[-1:]), values[starts[-1] :].to_pylist()
+            values, starts = values[: starts[-1]], starts[:-1]
+        if len(starts):
+            rows = pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)) - starts[0], pa.int32()), values[starts[0] :])
+            yield full(ords.take(starts), pc.binary_join(rows, b"\n"))
+    if held is not None:
+        yield full(held, pa.array([b"\n".join(rest)], pa.binary()))
 
 
 def first_width(spark: SparkSession, path: str, line_breaks: bool = False) -> int | None:

@@ -329,6 +329,22 @@ def test_line_breaks_in_quotes_over_blocks_of_files(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_line_breaks_in_quotes_shuffle_only_rows_over_the_end_of_a_block(spark, tmp_path):
+    # Lines as long as these go to one Arrow batch of thousands; rows go on over the ends of batches too.
+    text = "".join(f'{i}\t"a\n""\n{i}"\tb"c\n{i}\tx\ty\n' for i in range(40_000))
+    (tmp_path / "a").write_text(text)
+
+    def shuffled():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    rows = sorted(var.read_calls(spark, str(tmp_path), line_breaks=True).collect(), key=lambda r: r.ord)
+    assert [r.cells for r in rows] == [x for i in range(40_000) for x in ([f"{i}", f'a\n"\n{i}', 'b"c'], [f"{i}", "x", "y"])]
+    assert sum(n for k, n in shuffled().items() if k not in before) < len(text) // 50
+
+
 def test_conversion_over_line_breaks(spark, files):
     text, body = files(spark, row(), row(start=5).replace("gene", '"ge\n\nne"'), row(start=6))
     assert [b[1] for b in body] == ["100", "5", "6"]
