@@ -35,7 +35,21 @@ def general(x: Column) -> Column:
     short = x.cast("string")
     plain = F.when(short.endswith(".0"), F.substring(short, F.lit(1), F.length(short) - 2)).otherwise(short)
     few = (F.length(short) <= DIGITS + 1) & short.rlike(r"^[0-9]++\.[0-9]++\z")
-    return F.when(few, plain).otherwise(_let(x.cast("double"), _general))
+    return F.when(few, plain).otherwise(F.coalesce(_common(x.cast("double")), _let(x.cast("double"), _general)))
+
+
+def _common(x: Column) -> Column:
+    """The text of a number from 1 to below 999999 that is not nearly half-way between two texts, null for any other.
+
+    A number of six digits has one nearest double, whose own text is those digits (or more, in JVMs whose texts are not the
+    shortest: those give null)."""
+    power = F.lit(10.0 ** (DIGITS - 1))
+    for e in range(1, DIGITS):
+        power = F.when(x >= 10.0**e, F.lit(10.0 ** (DIGITS - 1 - e))).otherwise(power)
+    big = x * power
+    text = lambda s: F.when(s.endswith(".0"), F.substring(s, F.lit(1), F.length(s) - 2)).when(F.length(s) <= DIGITS + 1, s)
+    clear = F.abs(big - F.floor(big) - 0.5) > 1e-4
+    return F.when((x >= 1) & (x < 10**DIGITS - 1) & clear, _let((F.rint(big) / power).cast("string"), text))
 
 
 def _general(x: Column) -> Column:
