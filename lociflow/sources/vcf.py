@@ -80,8 +80,8 @@ def is_gzip_path(path: str) -> bool:
 
 
 def lines(records: DataFrame) -> DataFrame:
-    """Records as text, in input order."""
-    return records.select("ord", line().alias("value")).orderBy("ord").select("value")
+    """Records as text, in input order. The text is made after the sort, whose sampling runs what is below it twice."""
+    return records.orderBy("ord").select(line().alias("value"))
 
 
 def bgzf(chunks: Iterable[bytes]) -> Iterator[bytes]:
@@ -163,13 +163,14 @@ def to_parts(records: DataFrame, path: str, head: list[str], verify: Verify = la
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(target):
         raise FileExistsError(path)
-    body = records.select(F.lit(BODY).alias("place"), "ord", line().alias("value"))
+    body = records.select(F.lit(BODY).alias("place"), F.lit(0).alias("n"), "ord", F.lit(None).cast("string").alias("value"), *[c for c in records.columns if c != "ord"])
     others = [(HEAD, x) for x in head] + ([(TAIL, "")] if compress else [])
     others = spark.createDataFrame([(p, i, x) for i, (p, x) in enumerate(others)], "place int, n int, value string").repartition(1)
-    both = others.select("place", "n", F.lit(None).cast(body.schema["ord"].dataType).alias("ord"), "value").union(body.select("place", F.lit(0), "ord", "value"))
+    both = others.unionByName(body, allowMissingColumns=True)
     seen = Observation()
-    # Counted after the sort, whose sampling runs what is below it twice.
-    ordered = both.orderBy("place", "n", "ord").observe(seen, F.count_if(F.col("place") == BODY).alias("n")).select("place", "value")
+    # Counted, and made to text, after the sort, whose sampling runs what is below it twice.
+    ordered = both.orderBy("place", "n", "ord").observe(seen, F.count_if(F.col("place") == BODY).alias("n"))
+    ordered = ordered.select("place", F.when(F.col("place") == BODY, line()).otherwise(F.col("value")).alias("value"))
     packed = spark.sparkContext.accumulator(0)
     writer = (_blocks(ordered, packed) if compress else ordered.select("value")).write
     before = spark.sparkContext.getLocalProperty("spark.job.description")
@@ -223,7 +224,7 @@ def to_one(records: DataFrame, path: str, head: list[str], verify: Verify = lamb
     target, staged = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
     files = target.getFileSystem(settings)
     seen, packed = Observation(), spark.sparkContext.accumulator(0)
-    ordered = records.select("ord", line().alias("value")).orderBy("ord").observe(seen, F.count("*").alias("n")).select("value")
+    ordered = records.orderBy("ord").observe(seen, F.count("*").alias("n")).select(line().alias("value"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n = TaskContext.get().partitionId(), 0

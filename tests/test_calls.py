@@ -424,3 +424,28 @@ def random_order(n):
     import random
 
     return random.Random(1).sample(range(1, n + 1), n)
+
+
+def test_common_numbers_need_no_long_way(spark):
+    import random
+
+    from lociflow.functions import text
+
+    rng = random.Random(8)
+    some = [rng.uniform(1, 10.0 ** rng.randrange(1, 7)) for _ in range(3000)] + [round(rng.uniform(1, 9e5), 2) for _ in range(500)]
+    edges = [1.0, 9.999994, 9.999996, 99.99996, 99999.96, 999998.4, 999998.6, 123456.0, 100000.0, 33.21928]
+    beyond = [0.999999, 999999.0, 999999.6, 1e6, 1.000005, 123456.5, -2.25, float("nan"), float("inf"), 0.0]
+    rows = spark.createDataFrame([(x,) for x in some + edges + beyond], "x double").select("x", text.general(F.col("x")).alias("g"), text._common(F.col("x")).alias("c")).collect()
+    assert all(r.g == f"{r.x:g}" for r in rows) and all(r.c in (None, r.g) for r in rows)
+    assert sum(r.c is None for r in rows[: len(some)]) < len(some) // 100 and all(r.c for r in rows[len(some) : len(some) + len(edges)])
+    assert [r.c for r in rows[-len(beyond) :]] == [None] * len(beyond)
+
+
+def test_a_conversion_sorts_keys_by_their_hash_and_makes_lines_after_the_last_sort(spark):
+    from lociflow.sources import vcf
+
+    made = spark.createDataFrame([(1, row().split("\t"))], "ord int, cells array<string>")
+    records = calls.convert(made, SAMPLE, ["chr1"])
+    plan = vcf.lines(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("END=") < plan.index("Exchange rangepartitioning(ord")
+    assert "Sort [_groupingexpression" in plan and [r.value.split("\t")[1] for r in vcf.lines(records).collect()] == ["100"]
