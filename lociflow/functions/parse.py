@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lociflow import schema
 
-INT = r"[+-]?[0-9]++"
-UNSIGNED = r"[+]?[0-9]++"
-FLOAT = r"[+-]?(?:[0-9]++\.?[0-9]*+(?:[eE][+-]?[0-9]++)?|\.[0-9]++(?:[eE][+-]?[0-9]++)?|(?i:infinity|inf|nan))"
+INT = r"[+-]?+[0-9]++"
+UNSIGNED = r"[+]?+[0-9]++"
+FLOAT = r"[+-]?+(?:[0-9]++(?:\.[0-9]*+)?+(?:[eE][+-]?+[0-9]++)?+|\.[0-9]++(?:[eE][+-]?+[0-9]++)?+|(?i:infinity|inf|nan))"
 #: Strand-bias codes.
 STRAND_BIAS = {"0": "TooFewReads", "1": "Detected", "2": "UnDetected"}
 #: What a pair of biases and structural evidence are where nothing is known of them.
@@ -105,16 +105,16 @@ FAST = DECODERS | {
     "optional": lambda s: s.try_cast("int"),
 }
 #: Forms that are decodable at sight, by kind: numbers of a few digits, so that none is out of range.
-SMALL = r"[+-]?[0-9]{1,9}+"
-FORMS = {"text": r"[^\t]*+", "int": SMALL, "unsigned": r"[+]?[0-9]{1,18}+", "float": FLOAT, "odds": FLOAT, "pair": "[012];[012]", "rate": FLOAT, "sv": rf"(?:0|[0-9]{{1,9}}+(?:-[0-9]{{1,9}}+){{2}}+(?:-[^\t]*+)?)", "optional": SMALL}
+SMALL = r"[+-]?+[0-9]{1,9}+"
+FORMS = {"text": r"[^\t]*+", "int": SMALL, "unsigned": r"[+]?+[0-9]{1,18}+", "float": FLOAT, "odds": FLOAT, "pair": "[012];[012]", "rate": FLOAT, "sv": rf"(?:[0-9]{{1,9}}+(?:-[0-9]{{1,9}}+){{2}}+(?:-[^\t]*+)?+|0)", "optional": SMALL}
 
 
 def _plain() -> str:
     """Matches the tab-joined cells of a row whose fields all have such a form."""
     form = [FORMS[kind] for _, kind in schema.FIELDS]
-    rest = r"(?:\t[\s\S]*)?"
+    rest = r"(?:\t[\s\S]*+)?+"
     for f in reversed(form[schema.REQUIRED :]):
-        rest = rf"(?:\t{f}{rest})?"
+        rest = rf"(?:\t{f}{rest})?+"
     return "^" + r"\t".join(form[: schema.REQUIRED]) + rest + r"\z"
 
 

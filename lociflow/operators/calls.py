@@ -73,10 +73,14 @@ def variants_only(typed: DataFrame) -> DataFrame:
 
 def first_of_each(typed: DataFrame, key: Sequence[str] = KEY, order: str = "ord", hashed: bool = False) -> DataFrame:
     """The first row of each key, as an aggregate: tasks combine their rows before the shuffle, so hot keys travel light.
-    With ``hashed`` the sorts of both steps compare a hash of the key first, a number, and the key's texts only where that is equal."""
+    With ``hashed`` the sorts of both steps compare a hash of the key first, a number, and the key's texts only where that is equal,
+    and rows carry their order once: ``min_by`` would hold it beside them. All columns must be orderable then."""
     rest = [c for c in typed.columns if c not in key]
-    by = [F.xxhash64(*key).alias("_hash"), *key] if hashed else key
-    first = typed.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    if hashed:
+        rest = [order, *[c for c in rest if c != order]]
+        first = typed.groupBy(F.hash(*key).alias("_hash"), *key).agg(F.min(F.struct(*rest)).alias("_first"))
+    else:
+        first = typed.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
     return first.select(*[F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in typed.columns])
 
 
@@ -88,10 +92,13 @@ def complaint(sample: str, known: Column) -> Column:
 
 def complaints(typed: DataFrame, sample: str, contigs: DataFrame | Sequence[str]) -> DataFrame:
     """Rows with one more column ``problem``: a sample or contig that is wrong. Contigs are a table of names (in its first
-    column) or a list; Spark broadcasts them if they are small."""
-    if not isinstance(contigs, DataFrame):
+    column), which Spark broadcasts if they are small, or a list: the driver holds that anyway, so it is broadcast at any length,
+    and no row is shuffled to meet it."""
+    listed = not isinstance(contigs, DataFrame)
+    if listed:
         contigs = typed.sparkSession.createDataFrame([(c,) for c in contigs], "name string")
     names = contigs.select(F.col(contigs.columns[0]).alias("_contig")).distinct()
+    names = F.broadcast(names) if listed else names
     joined = typed.join(names, F.col("contig") == F.col("_contig"), "left")
     return joined.withColumn("problem", complaint(sample, F.col("_contig").isNotNull())).drop("_contig")
 

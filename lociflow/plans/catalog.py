@@ -230,15 +230,16 @@ _add("vcf_line", vcf_line, VARIANT_SQL + f'SELECT contig AS chrom, "start" AS po
 
 
 def convert_file(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows written as text files and converted from there to part files: every line of the result."""
+    """Rows written as compressed text files and converted from there to block-gzipped part files: every line of the result."""
     work = scratch(spark)
     # The columns of lineitem are sorted, not the longer lines made of them: the sort's sampling runs what is below it twice.
     ordered = spark.read.parquet(f"{folder}/lineitem.parquet").select(*LINE_ITEM).orderBy(*LINE_ITEM)
     lines = _cells(ordered).select(F.array_join("cells", "\t").alias("value"))
-    lines.write.text(f"{work}/calls")
+    # A file is a task of the sort, so no reader misses that such files cannot be split.
+    lines.write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(f"{work}/calls")
     contigs(spark, folder).select(F.concat_ws("\t", "name", c("length").cast("string"), F.lit("0"), F.lit("60"), F.lit("61")).alias("value")).write.text(f"{work}/ref.fa.fai")
-    convert(spark, f"{work}/calls", f"{work}/vcf", f"{work}/ref.fa", "s1", skip_non_variants=True, parts=True)
-    return vcf.read_lines(spark, f"{work}/vcf").select(F.regexp_replace("value", "^##reference=.*/", "##reference=").alias("line"))
+    convert(spark, f"{work}/calls", f"{work}/vcf.gz", f"{work}/ref.fa", "s1", skip_non_variants=True, parts=True)
+    return vcf.read_lines(spark, f"{work}/vcf.gz").select(F.regexp_replace("value", "^##reference=.*/", "##reference=").alias("line"))
 
 
 _add(

@@ -48,8 +48,18 @@ def _ended() -> Column:
 
 
 def _lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return spark.read.options(**options).text(path).select(order.alias("ord"), "value")
+    """(ord, value): ord is made of numbers, that of the file among all by path in place of the path, as every shuffled row carries it."""
+    read = spark.read.options(**options).text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    # Listed by a reader that names files as the text reader does; their content is not asked for.
+    files = sorted(x[0] for x in spark.read.format("binaryFile").load(path).select("_metadata.file_path").collect())
+    if len(files) > 1:
+        numbers = spark.createDataFrame(list(enumerate(files)), "file int, path string")
+        lines = lines.join(F.broadcast(numbers), "path", "left")
+        number = F.coalesce("file", F.raise_error(F.concat(F.lit("not listed: "), F.col("path"))).cast("int"))
+    else:
+        number = F.lit(0)
+    return lines.select(F.struct(number.alias("file"), "block", "line").alias("ord"), "value")
 
 
 def rows(lines: DataFrame, closed: bool = False) -> DataFrame:
@@ -98,7 +108,7 @@ def joined(lines: DataFrame) -> DataFrame:
 
 #: What a block makes of the bit 0 and of the bit 1 that it may begin with: the bit at its end, the first line that begins
 #: outside a quoted field, and the last such line.
-TURNS = "file string, block bigint, " + ", ".join(f"open{b} boolean, first{b} bigint, last{b} bigint" for b in (0, 1))
+TURNS = "file int, block bigint, " + ", ".join(f"open{b} boolean, first{b} bigint, last{b} bigint" for b in (0, 1))
 
 
 def _followed(out: np.ndarray, stays: np.ndarray, begin: bool) -> np.ndarray:
@@ -119,14 +129,14 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> pa.RecordBatch:
         row = [*at, *(x for s in state for x in s)]
-        kinds = [pa.string(), pa.int64(), *[pa.bool_(), pa.int64(), pa.int64()] * 2]
+        kinds = [pa.int32(), pa.int64(), *[pa.bool_(), pa.int64(), pa.int64()] * 2]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in TURNS.split(", ")])
 
     for batch in batches:
         file, block, line = batch.column("ord").flatten()
         out, stays = _bools(batch.column("out")), _bools(batch.column("in"))
-        number, ids = line.to_numpy(), file.dictionary_encode().indices.to_numpy()
-        changes = (np.diff(ids) != 0) | (np.diff(block.to_numpy()) != 0)
+        number = line.to_numpy()
+        changes = (np.diff(file.to_numpy()) != 0) | (np.diff(block.to_numpy()) != 0)
         edges = [0, *(np.flatnonzero(changes) + 1), len(number)] if len(number) else []
         for i, j in itertools.pairwise(edges):
             here = (file[i].as_py(), block[i].as_py())

@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -154,8 +156,9 @@ Verify = Callable[[], None]
 def to_parts(records: DataFrame, path: str, head: list[str], verify: Verify = lambda: None) -> int:
     """Executors write part files into a folder of any file system, in order, the header first; the number of records.
 
-    The parts joined by name are the file. For a path that ends in .gz they are block-gzipped, and joined they are one
-    valid block-gzipped file. The folder gets its name when all is written and verified; nothing is left of a failed job.
+    The parts joined by name are the file. For a path that ends in .gz they are block-gzipped, each one by itself and named so that
+    readers unpack it, and joined they are one valid block-gzipped file. The folder gets its name when all is written and verified;
+    nothing is left of a failed job.
     """
     spark, compress = records.sparkSession, is_gzip_path(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -181,6 +184,9 @@ def to_parts(records: DataFrame, path: str, head: list[str], verify: Verify = la
         with Progress(count):
             (writer.option("lineSep", LAST) if compress else writer).text(staged.toString())
         verify()
+        for part in [x.getPath() for x in files.listStatus(staged) if x.getPath().getName().startswith("part-")] if compress else []:
+            if not files.rename(part, part.suffix(f".{GZIP_EXTENSION}")):
+                raise OSError(f"cannot write {path}")
         if not files.rename(staged, target):
             raise OSError(f"cannot write {path}")
     except BaseException:
@@ -195,22 +201,27 @@ def _blocks(ordered: DataFrame, packed: Accumulator) -> DataFrame:
     """Lines as blocks without their LAST byte, which the text writer adds as its line end: it takes any bytes, and brings the
     file systems and the commit of Spark's writers with it."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ended = False
 
         def texts() -> Iterator[bytes]:
             nonlocal ended
-            for pdf in batches:
-                ended |= bool((pdf["place"] == TAIL).any())
-                packed.add(int((pdf["place"] == BODY).sum()))
-                yield "".join(f"{x}\n" for x in pdf["value"][pdf["place"] != TAIL]).encode()
-
-        for block in bgzf(texts()):
-            yield pd.DataFrame({"value": [block[:-1]]})
+            for batch in batches:
+                place = batch.column("place").to_numpy()
+                ended |= bool((place == TAIL).any())
+                packed.add(int((place == BODY).sum()))
+                values = batch.column("value").cast(pa.binary()).filter(pa.array(place != TAIL))
+                if len(values):
+                    yield pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b"\n")[0].as_py() + b"\n"
+
+        def told(block: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block[:-1]], pa.binary())], names=["value"])
+
+        yield from map(told, bgzf(texts()))
         if ended:
-            yield pd.DataFrame({"value": [BGZF_END[:-1]]})
+            yield told(BGZF_END)
 
-    return ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    return ordered.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
 
 
 def to_one(records: DataFrame, path: str, head: list[str], verify: Verify = lambda: None) -> int:

@@ -449,3 +449,51 @@ def test_a_conversion_sorts_keys_by_their_hash_and_makes_lines_after_the_last_so
     plan = vcf.lines(records)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("END=") < plan.index("Exchange rangepartitioning(ord")
     assert "Sort [_groupingexpression" in plan and [r.value.split("\t")[1] for r in vcf.lines(records).collect()] == ["100"]
+
+
+def test_order_carries_numbers_of_files_in_the_order_of_their_paths(spark, tmp_path):
+    for name in ("b c", "a%20b", "ü#1", "d"):
+        (tmp_path / name).write_text(name + "\n\n" + name + " again\n")
+    with gzip.open(tmp_path / "e.gz", "wt") as out:
+        out.write("packed\n")
+    rows = var.read_calls(spark, str(tmp_path))
+    assert rows.schema["ord"].dataType.simpleString() == "struct<file:int,block:bigint,line:bigint>"
+    names = ["a%20b", "b c", "d"]
+    found = [(r.ord.file, r.cells[0]) for r in rows.orderBy("ord").collect()]
+    assert found == [(i, x) for i, n in enumerate(names) for x in (n, f"{n} again")] + [(3, "packed"), (4, "ü#1"), (4, "ü#1 again")]
+    assert [r.ord.file for r in var.read_calls(spark, str(tmp_path / "d")).collect()] == [0, 0]
+    (tmp_path / "none").mkdir()
+    assert var.read_calls(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_conversion_shuffles_an_order_once_and_no_row_for_a_list_of_contigs(spark):
+    made = spark.createDataFrame([(1, row().split("\t"))], "ord int, cells array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = calls.convert(made, SAMPLE, ["chr1"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "min_by(" not in plan and "partial_min(" in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_compressed_parts_are_unpacked_by_readers(spark, files, many_parts):
+    files(spark, *[row(start=i + 1) for i in range(700)])
+    whole = (files.folder / "out.vcf").read_text()
+    convert(spark, str(files.folder / "in.var"), str(files.folder / "parts.gz"), str(files.folder / "ref.fa"), SAMPLE, parts=True)
+    found = sorted((files.folder / "parts.gz").glob("part-*"))
+    assert "".join(gzip.decompress(p.read_bytes()).decode() for p in found) == whole
+    assert sorted(r.value for r in vcf.read_lines(spark, str(files.folder / "parts.gz")).collect()) == sorted(whole.splitlines())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_the_file_query_keeps_its_files_packed(spark, tmp_path, monkeypatch):
+    from lociflow.plans import catalog
+
+    monkeypatch.setattr(catalog, "scratch", lambda spark: f"file://{tmp_path}")
+    lines = catalog.QUERIES["convert_file"](spark, "/root/testdata/sf0.001").count()
+    size = lambda folder: sum(p.stat().st_size for p in (tmp_path / folder).glob("part-*"))
+    read = lambda folder: sum(len(gzip.decompress(p.read_bytes())) for p in (tmp_path / folder).glob("part-*"))
+    folders = sorted(x.name for x in tmp_path.iterdir() if x.name != "ref.fa.fai")
+    assert folders == ["calls", "vcf.gz"] and lines > 4000
+    assert all(size(f) < 0.4 * read(f) for f in folders)
